@@ -8,26 +8,32 @@ give the offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def hash_order(seed: int, *cols: str):
-    """A pseudo-random but repeatable 64-bit sort key."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+from gonggo.functions.joins import small_side
+
+HASH_BITS = 60
+
+
+def hash_order(seed: int, *cols: str) -> Column:
+    """A pseudo-random but repeatable sort key in 0 .. 2^60.
+
+    Taken from MD5, so other engines can repeat the same choice.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)))
+    return F.conv(F.left(digest, F.lit(HASH_BITS // 4)), 16, 10).cast("long")
 
 
 def rank_in_group(df: DataFrame, group: list[str], order_key: str, tie: str,
                   out: str = "rank", slices: int = 4096) -> DataFrame:
-    """Rank (from 1) of each row in its group by the 64-bit hash `order_key`,
-    then `tie`.
+    """Rank (from 1) of each row in its group by the hash `order_key`, then `tie`.
 
     The key is a hash, so equal-width slices hold about the same number of rows
     however many rows a group has. Adds `out` and the group's size `out`_n.
     """
-    width = (1 << 64) // slices
-    sliced = df.withColumn(
-        "_slice",
-        F.floor(F.col(order_key).cast("decimal(20,0)") / F.lit(width)).cast("long"))
+    width = (1 << HASH_BITS) // slices
+    sliced = df.withColumn("_slice", F.expr(f"{order_key} div {width}"))
     sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice")
     whole = Window.partitionBy(*group)
@@ -39,7 +45,6 @@ def rank_in_group(df: DataFrame, group: list[str], order_key: str, tie: str,
     inside = Window.partitionBy(*group, "_slice").orderBy(order_key, tie)
     ranked = sliced.withColumn("_pos", F.row_number().over(inside))
     keys = [*group, "_slice"]
-    # slices x groups rows: a bounded table, but left to the planner's own size check
-    return (ranked.join(offsets, keys)
+    return (ranked.join(small_side(offsets), keys)
             .withColumn(out, F.col("_pos") + F.col("_before"))
             .drop("_slice", "_pos", "_before"))

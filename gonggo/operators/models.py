@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gonggo.functions.joins import small_side
+from gonggo.functions.ranks import hash_order
 from gonggo.operators import features, metrics, textprep
 from gonggo.operators.urgency import is_measurable, structured_features
 from gonggo.session import cut_lineage
@@ -33,7 +34,7 @@ def prior_draw(train: DataFrame, test: DataFrame, label: str = "y", seed: int =
     """test plus p, drawn by a hash against the cumulated training shares."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
     total, upto, p = sum(r["n"] for r in counts), 0, None
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(total))
+    place = F.pmod(hash_order(seed, key), F.lit(total))
     for r in counts:
         upto += r["n"]
         p = F.when(place < upto, r[label]) if p is None else p.when(place < upto, r[label])

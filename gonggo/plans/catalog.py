@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from gonggo.plans import ingest_queries, urgency_queries  # noqa: F401
+from gonggo.plans import (  # noqa: F401
+    ingest_queries, match_queries, pool_queries, tech_queries, trend_queries, urgency_queries)
 from gonggo.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -214,7 +214,8 @@ _LEVEL_COUNTS = ", ".join(
 
 
 @query("label_distribution", over_corpus(
-    f"SELECT source, count(*) AS n, {_LEVEL_COUNTS} FROM scored GROUP BY ROLLUP (source)", *V5_SQL))
+    f"""SELECT source, count(*) AS n, {_LEVEL_COUNTS} FROM scored GROUP BY source
+        UNION ALL SELECT NULL, count(*), {_LEVEL_COUNTS} FROM scored""", *V5_SQL))
 def label_distribution(spark, sf_dir):
     return U.label_distribution(labelled(spark, sf_dir))
 
