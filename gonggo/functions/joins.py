@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gonggo.session import cut_lineage
+
 # About 50 MB of the narrow lookup rows used here.
 LOOKUP_ROWS = 500_000
 
 
 def small_side(lookup: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """`lookup` marked for broadcast if its counted size allows.
+    """A narrow lookup table, marked for broadcast if its counted size allows.
+
+    It is written to the checkpoint folder first, so counting and joining it
+    compute it once. Beyond the bound it is returned unmarked, and the join is
+    a shuffled one whose hot keys adaptive execution splits.
+    """
+    written = cut_lineage(lookup)
+    if written.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(written)
+    return written
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all of the session's shuffle partitions by `keys`.
 
-    Beyond the bound it is returned as it is, and the join is a shuffled one
-    whose hot keys adaptive execution splits.
+    For narrow inputs whose rows fan out later: adaptive execution sizes
+    partitions by the bytes going in and would give such a stage few tasks.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(lookup)
-    return lookup
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

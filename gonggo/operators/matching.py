@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gonggo.functions.joins import small_side, spread
 from gonggo.functions.regex import every
 from gonggo.operators.trends import cooccurrence, related_map
+from gonggo.session import cut_lineage
 
 FILTERS = ("experience_level", "location")
 # A query table of at most this many (query, skill) rows is sent to all tasks.
@@ -63,38 +65,49 @@ def scorer(name: str, registry: dict[str, Scorer] = SCORERS) -> Column:
     return F.round(registry[name](), 12)
 
 
-def _weights(df: DataFrame, key: list[str], idf: DataFrame, prefix: str) -> DataFrame:
+def _weights(df: DataFrame, key: str, idf: DataFrame, prefix: str,
+             carried: list[str]) -> DataFrame:
     """Per row: weighted skills and the sums of their weights (0 when unknown)."""
     w = F.coalesce("idf", F.lit(0).cast("decimal(18,12)"))
-    rows = df.select(*key, F.explode("techs").alias("tech")).join(
-        idf.select("tech", "idf"), "tech", "left").select(*key, "tech", w.alias("w"))
-    return rows.groupBy(*key).agg(
+    rows = df.select(key, *carried, F.explode("techs").alias("tech")).join(
+        idf, "tech", "left").select(key, *carried, "tech", w.alias("w"))
+    return rows.groupBy(key).agg(
+        *(F.first(c).alias(c) for c in carried),
         F.collect_list(F.struct("tech", "w")).alias(prefix + "_skills"),
-        F.sum("w").alias(prefix),
-        F.sum((F.col("w") * F.col("w")).cast("decimal(38,24)")).alias(prefix + "_sq"),
+        F.sum("w").alias(prefix), F.sum(_squared("w")).alias(prefix + "_sq"),
         F.count(F.lit(1)).alias(prefix + "_n"))
 
 
+def _squared(w: str) -> Column:
+    return (F.col(w) * F.col(w)).cast("decimal(38,24)")
+
+
 def _members(pool: DataFrame, entity: str, filters: list[str]) -> DataFrame:
     """(profile, entity, techs, …): a profile is a skill set with the filtered fields."""
-    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", "techs"),
+    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.array_sort(F.array_distinct("techs"))),
                             *(F.coalesce(F.col(f), F.lit("\x1d")) for f in filters)))
     return (pool.where(F.size("techs") > 0)
             .select(key.alias("profile"), F.col(entity).alias("entity"),
                     F.array_sort(F.array_distinct("techs")).alias("techs"), *filters))
 
 
-def _firsts(members: DataFrame, k: int, carried: list[str]) -> DataFrame:
+def _profiles(members: DataFrame, k: int, carried: list[str]) -> DataFrame:
     """Profiles with their k smallest entities.
 
     Where an entity has one profile only, no further one can reach a top k:
     all entities of a profile score the same.
     """
     nearest = Window.partitionBy("profile").orderBy("entity")
-    return (members.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
-            .groupBy("profile").agg(
-                *(F.first(c).alias(c) for c in carried),
-                F.array_sort(F.collect_list("entity")).alias("entities")))
+    kept = members.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
+    return _spread_profiles(kept.groupBy("profile").agg(
+        *(F.first(c).alias(c) for c in carried), F.min("entity").alias("entity"),
+        F.array_sort(F.collect_list("entity")).alias("entities")))
+
+
+def _spread_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles over all shuffle partitions; under a new key, since an exchange
+    on the key they are already grouped by would be optimised away."""
+    return spread(profiles.withColumn("profile", F.upper("profile")), "profile")
 
 
 def _passes(filters: list[str]) -> Column:
@@ -107,32 +120,34 @@ def _passes(filters: list[str]) -> Column:
 
 
 def _scored(queries: DataFrame, profiles: DataFrame, idf: DataFrame, filters: list[str],
-            score: Column, small_queries: bool) -> DataFrame:
-    """(query_id, profile, score, hit techs) of all profiles sharing a skill."""
+            scores: dict[str, Column], small_queries: bool) -> DataFrame:
+    """(scheme, query_id, profile, entity, score) of all profiles sharing a skill.
+
+    `profiles` is partitioned by profile, and everything up to the sums keeps
+    that partitioning; with broadcast queries the pairs are never shuffled.
+    """
     wants = ["want_" + f for f in filters]
-    mine = _weights(queries, ["query_id"], idf, "mine")
-    asked = (queries.select("query_id", *wants).join(mine, "query_id")
-             .select("query_id", *wants, "mine", "mine_sq", "mine_n",
-                     F.explode("mine_skills.tech").alias("tech")))
+    mine = _weights(queries, "query_id", idf, "mine", wants)
+    asked = mine.select("query_id", *wants, "mine", "mine_sq", "mine_n",
+                        F.explode("mine_skills.tech").alias("tech"))
     if small_queries:
         asked = F.broadcast(asked)
-    job = _weights(profiles, ["profile"], idf, "job")
-    held = (profiles.select("profile", *filters).join(job, "profile") if filters else job)
-    held = held.select("profile", *filters, "job", "job_sq", "job_n",
-                       F.inline("job_skills"))
+    held = _weights(profiles, "profile", idf, "job", ["entity", *filters]).select(
+        "profile", "entity", *filters, "job", "job_sq", "job_n", F.inline("job_skills"))
+    # constants of a side are taken as maxima: numbers keep this a hash aggregation
+    sides = ("job", "job_sq", "job_n", "mine", "mine_sq", "mine_n")
     sums = (held.join(asked, "tech").where(_passes(filters))
-            .groupBy("profile", "query_id").agg(
-                F.sum("w").alias("hit"),
-                F.sum((F.col("w") * F.col("w")).cast("decimal(38,24)")).alias("hit_sq"),
-                F.count(F.lit(1)).alias("hit_n"),
-                F.array_sort(F.collect_list("tech")).alias("matched_techs"),
-                *(F.first(c).alias(c) for c in
-                  ("job", "job_sq", "job_n", "mine", "mine_sq", "mine_n"))))
-    return sums.select("query_id", "profile", score.alias("score"), "matched_techs")
+            .groupBy("profile", "entity", "query_id").agg(
+                F.sum("w").alias("hit"), F.sum(_squared("w")).alias("hit_sq"),
+                F.count(F.lit(1)).alias("hit_n"), *(F.max(c).alias(c) for c in sides)))
+    rows = F.array(*(F.struct(F.lit(n).alias("scheme"), c.alias("score"))
+                     for n, c in scores.items()))
+    return sums.select("query_id", "profile", "entity", F.inline(rows))
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")
+    """The k best rows per scheme and query; each task drops the rest of its own first."""
+    w = Window.partitionBy("scheme", "query_id").orderBy(F.desc("score"), "entity")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -142,26 +157,60 @@ def _is_small(queries: DataFrame) -> bool:
     return n <= BROADCAST_ROWS
 
 
-def _entity_matches(queries, members, idf, k, filters, score, small, unique: bool) -> DataFrame:
-    """Top k (entity, score) per query among `members` (profile, entity, techs, …)."""
-    carried = ["techs", *filters]
-    if unique:
-        profiles = _firsts(members, k, carried)
-        scored = _scored(queries, profiles, idf, filters, score, small)
-        hits = scored.join(profiles.select("profile", "entities"), "profile") \
-            .select("query_id", "score", "matched_techs", F.explode("entities").alias("entity"))
-        return _best(hits, k)
-    # an entity with several profiles counts with its best one: pre-aggregated
-    # per (query, entity) before the shuffle, so a hot entity costs no hot task
-    profiles = members.groupBy("profile").agg(*(F.first(c).alias(c) for c in carried))
-    scored = _scored(queries, profiles, idf, filters, score, small)
-    links = members.select("profile", "entity")
-    hits = (scored.join(links, "profile").groupBy("query_id", "entity")
-            .agg(F.max(F.struct("score", "matched_techs")).alias("b"))
-            .select("query_id", "entity", "b.score", "b.matched_techs"))
+def _single_profile_matches(queries, members, idf, k, filters, scores, small) -> DataFrame:
+    """Entities with one profile: the k best profiles (by score, then first
+    entity) hold the k best entities."""
+    profiles = _profiles(members, k, ["techs", *filters])
+    best = _best(_scored(queries, profiles, idf, filters, scores, small), k).drop("entity", "rank")
+    hits = best.join(profiles.select("profile", "techs", "entities"), "profile").select(
+        "scheme", "query_id", "score", "techs", F.explode("entities").alias("entity"))
     return _best(hits, k)
 
 
+def _shared_profile_matches(queries, members, idf, k, filters, scores, small) -> DataFrame:
+    """Entities with several profiles count with their best one: the maximum is
+    pre-aggregated per (query, entity), so a hot entity makes no hot task."""
+    profiles = _spread_profiles(members.groupBy("profile").agg(
+        *(F.first(c).alias(c) for c in ["techs", *filters]), F.min("entity").alias("entity")))
+    scored = _scored(queries, profiles, idf, filters, scores, small).drop("entity")
+    links = members.select(F.upper("profile").alias("profile"), "entity", "techs")
+    hits = (scored.join(links, "profile")
+            .groupBy("scheme", "query_id", "entity").agg(F.max(F.struct("score", "techs")).alias("b"))
+            .select("scheme", "query_id", "b.score", "b.techs", "entity"))
+    return _best(hits, k)
+
+
+def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k: int,
+                          modes: list[str], registry: dict[str, Scorer] = SCORERS,
+                          entity: str = "job_id", unique_entity: bool = False,
+                          filters: tuple = ()) -> DataFrame:
+    """`top_matches` for several score modes in one pass, told apart by `scheme`."""
+    scores, names = {m: scorer(m, registry) for m in modes}, list(filters)
+    asked = cut_lineage(queries.select("query_id", F.array_distinct("techs").alias("techs"),
+                                       *("want_" + f for f in names)))
+    small = _is_small(asked)
+    idf = small_side(idf.select("tech", "idf"))
+    members = _members(pool, entity, names)
+    if unique_entity:
+        best = _single_profile_matches(asked, members, idf, k, names, scores, small)
+    else:
+        # read several times below, and narrow: written once
+        members = cut_lineage(members.distinct())
+        several = (members.groupBy("entity").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1")
+                   .select("entity"))
+        single = members.join(several, "entity", "left_anti")
+        shared = members.join(several, "entity", "left_semi")
+        best = _best(
+            _single_profile_matches(asked, single, idf, k, names, scores, small).unionByName(
+                _shared_profile_matches(asked, shared, idf, k, names, scores, small))
+            .drop("rank"), k)
+    mine = asked.select("query_id", F.col("techs").alias("_mine"))
+    return (best.join(mine, "query_id")
+            .withColumn("matched_techs", F.array_sort(F.array_intersect("techs", "_mine")))
+            .select("scheme", "query_id", "rank", F.col("entity").alias(entity), "score",
+                    "matched_techs", F.size("matched_techs").alias("matched_count")))
+
+
 def top_matches(queries: DataFrame, pool: DataFrame, idf: DataFrame, k: int = 10,
                 mode: str = DEFAULT_SCORER, registry: dict[str, Scorer] = SCORERS,
                 entity: str = "job_id", unique_entity: bool = False,
@@ -172,24 +221,8 @@ def top_matches(queries: DataFrame, pool: DataFrame, idf: DataFrame, k: int = 10
     score, then entity; an entity is listed once, with its best score.
     `unique_entity` says that no entity occurs in two pool rows.
     """
-    score, names = scorer(mode, registry), list(filters)
-    small = _is_small(queries)
-    asked = queries.select("query_id", F.array_distinct("techs").alias("techs"),
-                           *("want_" + f for f in names))
-    members = _members(pool, entity, names)
-    if unique_entity:
-        best = _entity_matches(asked, members, idf, k, names, score, small, True)
-    else:
-        members = members.distinct()
-        spread = members.groupBy("entity").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1") \
-            .select("entity")
-        single = members.join(spread, "entity", "left_anti")
-        shared = members.join(spread, "entity", "left_semi")
-        best = _best(
-            _entity_matches(asked, single, idf, k, names, score, small, True).unionByName(
-                _entity_matches(asked, shared, idf, k, names, score, small, False)).drop("rank"), k)
-    return best.select("query_id", "rank", F.col("entity").alias(entity), "score",
-                       "matched_techs", F.size("matched_techs").alias("matched_count"))
+    return top_matches_by_scheme(queries, pool, idf, k, [mode], registry, entity, unique_entity,
+                                 filters).drop("scheme")
 
 
 # ---------------------------------------------------------------- optional expansions
@@ -275,5 +308,6 @@ def text_matches(queries: DataFrame, pool: DataFrame, k: int = 10, text: str = "
     links = rows.select("profile", F.col("job_id").alias("entity")).distinct()
     ranked = (scored.join(links, "profile").groupBy("query_id", "entity")
               .agg(F.max("score").alias("score")))
-    return _best(ranked, k).select("query_id", "rank", F.col("entity").alias("job_id"), "score",
-                                   F.lit("text_overlap").alias("fallback"))
+    return _best(ranked.withColumn("scheme", F.lit("text_overlap")), k).select(
+        "query_id", "rank", F.col("entity").alias("job_id"), "score",
+        F.col("scheme").alias("fallback"))

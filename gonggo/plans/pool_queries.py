@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gonggo.operators import pool as P
 from gonggo.operators import urgency_words as W
+from gonggo.operators.techs import with_techs
 from gonggo.plans.corpus import AS_OF, over_corpus, postings
 from gonggo.plans.ingest_queries import MASTER_SQL, master
 from gonggo.plans.registry import query
@@ -68,9 +69,8 @@ pool AS (SELECT m.row_id, m.source, m.job_id, coalesce(m.title, b.title) AS titl
 
 
 def recommendable(spark, sf_dir, **options) -> DataFrame:
-    techs = skilled(spark, sf_dir).select("row_id", "techs", "skills_extra")
-    rows = master(spark, sf_dir).join(techs, "row_id")
-    return P.recommendation_pool(rows, AS_OF, backfill(spark, sf_dir), **options)
+    return P.recommendation_pool(with_techs(master(spark, sf_dir)), AS_OF,
+                                 backfill(spark, sf_dir), **options)
 
 
 @query("deadlines", over_corpus(
