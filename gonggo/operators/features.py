@@ -132,7 +132,7 @@ def struct_columns() -> list[str]:
 
 
 def stacked(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:

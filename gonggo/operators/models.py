@@ -96,8 +96,9 @@ def fit_logistic(train: DataFrame, balanced: bool = True,
 def fit_boosted(train: DataFrame, validation: DataFrame, trees: int = 400, depth: int = 7,
                 step: float = 0.2, tolerance: float = 0.01, seed: int = 42) -> BoostedModel:
     """Boosted trees per class with early stopping on the validation rows."""
-    both = train.withColumn("_val", F.lit(False)).unionByName(
-        validation.withColumn("_val", F.lit(True)), allowMissingColumns=True)
+    columns = [FEATURES, LABEL]
+    both = train.select(*columns, WEIGHT, F.lit(False).alias("_val")).unionByName(
+        validation.select(*columns, F.lit(1.0).alias(WEIGHT), F.lit(True).alias("_val")))
     classes = sorted(int(r[0]) for r in train.select(LABEL).distinct().collect())
     members = []
     for c in classes:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gonggo.functions.joins import spread
+
 # brand number -> (canonical technology, spelling used in posting text)
 BRAND_TECHS = (
     ("Python", "파이썬"), ("Java", "java"), ("JavaScript", "자바스크립트"), ("TypeScript", "typescript"),
@@ -76,7 +78,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     base = (orders.join(order_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"))
             .join(customers, "o_custkey").join(nations, "n_nationkey"))
-    base = base.select(
+    base = spread(base.select(
         F.col("o_orderkey").alias("row_id"), source_names[F.col("o_orderstatus")].alias("source"),
         F.concat_ws("-", F.col("o_custkey").cast("string"),
                     F.date_format("ordered", "yyyyMM")).alias("job_id"),
@@ -92,7 +94,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["brand_no"])))
         .alias("brands"),
         F.transform("types", lambda t: skill_names[t]).alias("hard_skills"),
-        *("has_" + k.lower() for k in TYPE_SKILLS))
+        *("has_" + k.lower() for k in TYPE_SKILLS)), "row_id")
 
     def when(flag, text):
         return F.when(F.col(flag) == 1, F.lit(text)).otherwise(F.lit(""))
