@@ -31,7 +31,7 @@ def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
     Terms are sorted inside each row; the first of equal neighbours stands for
     the document.
     """
-    ordered = df.select(F.array_sort(terms).alias("_t"))
+    ordered = df.select(F.sort_array(terms).alias("_t"))
     marked = ordered.select(F.explode(F.transform("_t", lambda t, i: F.struct(
         t.alias("term"),
         ((i == 0) | (F.get("_t", i - 1) != t)).cast("int").alias("first")))).alias("x"))

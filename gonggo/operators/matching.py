@@ -84,11 +84,11 @@ def _squared(w: str) -> Column:
 
 def _members(pool: DataFrame, entity: str, filters: list[str]) -> DataFrame:
     """(profile, entity, techs, …): a profile is a skill set with the filtered fields."""
-    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.array_sort(F.array_distinct("techs"))),
+    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.sort_array(F.array_distinct("techs"))),
                             *(F.coalesce(F.col(f), F.lit("\x1d")) for f in filters)))
     return (pool.where(F.size("techs") > 0)
             .select(key.alias("profile"), F.col(entity).alias("entity"),
-                    F.array_sort(F.array_distinct("techs")).alias("techs"), *filters))
+                    F.sort_array(F.array_distinct("techs")).alias("techs"), *filters))
 
 
 def _profiles(members: DataFrame, k: int, carried: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def _profiles(members: DataFrame, k: int, carried: list[str]) -> DataFrame:
     kept = members.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
     return _spread_profiles(kept.groupBy("profile").agg(
         *(F.first(c).alias(c) for c in carried), F.min("entity").alias("entity"),
-        F.array_sort(F.collect_list("entity")).alias("entities")))
+        F.sort_array(F.collect_list("entity")).alias("entities")))
 
 
 def _spread_profiles(profiles: DataFrame) -> DataFrame:
@@ -121,14 +121,15 @@ def _passes(filters: list[str]) -> Column:
 
 def _scored(queries: DataFrame, profiles: DataFrame, idf: DataFrame, filters: list[str],
             scores: dict[str, Column], small_queries: bool) -> DataFrame:
-    """(scheme, query_id, profile, entity, score) of all profiles sharing a skill.
+    """(slot, profile, entity, score) of all profiles sharing a skill.
 
+    A slot is a query under one scheme, as one number: _q x schemes + place.
     `profiles` is partitioned by profile, and everything up to the sums keeps
     that partitioning; with broadcast queries the pairs are never shuffled.
     """
     wants = ["want_" + f for f in filters]
-    mine = _weights(queries, "query_id", idf, "mine", wants)
-    asked = mine.select("query_id", *wants, "mine", "mine_sq", "mine_n",
+    mine = _weights(queries, "_q", idf, "mine", wants)
+    asked = mine.select("_q", *wants, "mine", "mine_sq", "mine_n",
                         F.explode("mine_skills.tech").alias("tech"))
     if small_queries:
         asked = F.broadcast(asked)
@@ -137,17 +138,17 @@ def _scored(queries: DataFrame, profiles: DataFrame, idf: DataFrame, filters: li
     # constants of a side are taken as maxima: numbers keep this a hash aggregation
     sides = ("job", "job_sq", "job_n", "mine", "mine_sq", "mine_n")
     sums = (held.join(asked, "tech").where(_passes(filters))
-            .groupBy("profile", "entity", "query_id").agg(
+            .groupBy("profile", "entity", "_q").agg(
                 F.sum("w").alias("hit"), F.sum(_squared("w")).alias("hit_sq"),
                 F.count(F.lit(1)).alias("hit_n"), *(F.max(c).alias(c) for c in sides)))
-    rows = F.array(*(F.struct(F.lit(n).alias("scheme"), c.alias("score"))
-                     for n, c in scores.items()))
-    return sums.select("query_id", "profile", "entity", F.inline(rows))
+    rows = F.array(*(F.struct((F.col("_q") * len(scores) + i).alias("slot"), c.alias("score"))
+                     for i, c in enumerate(scores.values())))
+    return sums.select("profile", "entity", F.inline(rows))
 
 
-def _best(rows: DataFrame, k: int) -> DataFrame:
-    """The k best rows per scheme and query; each task drops the rest of its own first."""
-    w = Window.partitionBy("scheme", "query_id").orderBy(F.desc("score"), "entity")
+def _best(rows: DataFrame, k: int, key: str = "slot") -> DataFrame:
+    """The k best rows per key; each task drops the rest of its own first."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "entity")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -163,7 +164,7 @@ def _single_profile_matches(queries, members, idf, k, filters, scores, small) ->
     profiles = _profiles(members, k, ["techs", *filters])
     best = _best(_scored(queries, profiles, idf, filters, scores, small), k).drop("entity", "rank")
     hits = best.join(profiles.select("profile", "techs", "entities"), "profile").select(
-        "scheme", "query_id", "score", "techs", F.explode("entities").alias("entity"))
+        "slot", "score", "techs", F.explode("entities").alias("entity"))
     return _best(hits, k)
 
 
@@ -175,8 +176,8 @@ def _shared_profile_matches(queries, members, idf, k, filters, scores, small) ->
     scored = _scored(queries, profiles, idf, filters, scores, small).drop("entity")
     links = members.select(F.upper("profile").alias("profile"), "entity", "techs")
     hits = (scored.join(links, "profile")
-            .groupBy("scheme", "query_id", "entity").agg(F.max(F.struct("score", "techs")).alias("b"))
-            .select("scheme", "query_id", "b.score", "b.techs", "entity"))
+            .groupBy("slot", "entity").agg(F.max(F.struct("score", "techs")).alias("b"))
+            .select("slot", "b.score", "b.techs", "entity"))
     return _best(hits, k)
 
 
@@ -186,7 +187,8 @@ def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k
                           filters: tuple = ()) -> DataFrame:
     """`top_matches` for several score modes in one pass, told apart by `scheme`."""
     scores, names = {m: scorer(m, registry) for m in modes}, list(filters)
-    asked = cut_lineage(queries.select("query_id", F.array_distinct("techs").alias("techs"),
+    asked = cut_lineage(queries.select(F.monotonically_increasing_id().alias("_q"), "query_id",
+                                       F.array_distinct("techs").alias("techs"),
                                        *("want_" + f for f in names)))
     small = _is_small(asked)
     idf = small_side(idf.select("tech", "idf"))
@@ -204,9 +206,12 @@ def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k
             _single_profile_matches(asked, single, idf, k, names, scores, small).unionByName(
                 _shared_profile_matches(asked, shared, idf, k, names, scores, small))
             .drop("rank"), k)
-    mine = asked.select("query_id", F.col("techs").alias("_mine"))
-    return (best.join(mine, "query_id")
-            .withColumn("matched_techs", F.array_sort(F.array_intersect("techs", "_mine")))
+    n = len(modes)
+    mine = asked.select("_q", "query_id", F.col("techs").alias("_mine"))
+    place = (F.col("slot") % n).cast("int")
+    return (best.withColumn("_q", F.expr(f"slot div {n}")).join(mine, "_q")
+            .withColumn("scheme", F.array(*(F.lit(m) for m in modes))[place])
+            .withColumn("matched_techs", F.sort_array(F.array_intersect("techs", "_mine")))
             .select("scheme", "query_id", "rank", F.col("entity").alias(entity), "score",
                     "matched_techs", F.size("matched_techs").alias("matched_count")))
 
@@ -233,7 +238,7 @@ def expand_related(queries: DataFrame, related: DataFrame) -> DataFrame:
     added = (own.join(related, "base").select("query_id", F.explode("related").alias("tech"))
              .groupBy("query_id").agg(F.collect_set("tech").alias("_more")))
     return (queries.join(added, "query_id", "left")
-            .withColumn("techs", F.array_sort(F.array_union(
+            .withColumn("techs", F.sort_array(F.array_union(
                 "techs", F.coalesce("_more", F.array().cast("array<string>")))))
             .drop("_more"))
 
@@ -266,7 +271,7 @@ def extras_in_text(queries: DataFrame, vocabulary: DataFrame, text: str = "resum
                           .alias("_pair"))
            .join(heads.where(F.length("skill") == 1), "_pair"))
     return (wide.unionByName(one).where(F.contains("_low", "skill"))
-            .groupBy("query_id").agg(F.array_sort(F.collect_set("skill")).alias("techs")))
+            .groupBy("query_id").agg(F.sort_array(F.collect_set("skill")).alias("techs")))
 
 
 # ---------------------------------------------------------------- word overlap
@@ -291,7 +296,7 @@ def text_matches(queries: DataFrame, pool: DataFrame, k: int = 10, text: str = "
                         F.size("techs").alias("mine_n"), F.explode("techs").alias("word"))
     if small:
         mine = F.broadcast(mine)
-    profile = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.array_sort("words")),
+    profile = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.sort_array("words")),
                                 *(F.coalesce(F.col(f), F.lit("\x1d")) for f in names)))
     rows = (pool.select("job_id", *names, words_of(F.col(pool_text)).alias("words"))
             .where(F.size("words") > 0).withColumn("profile", profile))
@@ -308,6 +313,6 @@ def text_matches(queries: DataFrame, pool: DataFrame, k: int = 10, text: str = "
     links = rows.select("profile", F.col("job_id").alias("entity")).distinct()
     ranked = (scored.join(links, "profile").groupBy("query_id", "entity")
               .agg(F.max("score").alias("score")))
-    return _best(ranked.withColumn("scheme", F.lit("text_overlap")), k).select(
+    return _best(ranked, k, "query_id").select(
         "query_id", "rank", F.col("entity").alias("job_id"), "score",
-        F.col("scheme").alias("fallback"))
+        F.lit("text_overlap").alias("fallback"))

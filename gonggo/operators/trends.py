@@ -49,7 +49,7 @@ def posting_sets(df: DataFrame, techs: str = "final_techs", exclude_stop_words:
     names = F.array_distinct(F.col(techs))
     if exclude_stop_words:
         names = dictionary.without_stop_words(names)
-    return (df.select(*keep, F.array_sort(names).alias("techs")).where(F.size("techs") > 0))
+    return (df.select(*keep, F.sort_array(names).alias("techs")).where(F.size("techs") > 0))
 
 
 def document_frequency(sets: DataFrame) -> DataFrame:

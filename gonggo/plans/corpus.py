@@ -56,8 +56,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def has(kind):
         return F.max((heavy & (F.col("p_type") == kind)).cast("int")).alias("has_" + kind.lower())
     return lines.join(part, "l_partkey").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.struct("l_returnflag", "brand_no"))).alias("entries"),
-        F.array_sort(F.collect_set("p_type")).alias("types"),
+        F.sort_array(F.collect_set(F.struct("l_returnflag", "brand_no"))).alias("entries"),
+        F.sort_array(F.collect_set("p_type")).alias("types"),
         F.count(F.lit(1)).alias("n_lines"), F.min("l_quantity").cast("int").alias("qty"),
         F.min("ship").alias("min_ship"), *(has(k) for k in TYPE_SKILLS))
 
@@ -91,7 +91,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_add(F.date_add("ordered", DAY_SHIFT),
                        F.pmod(F.floor("o_totalprice"), F.lit(45)).cast("int"))).alias("end"),
         F.transform("entries", lambda e: tech_names[e["brand_no"] - 1]).alias("final_techs"),
-        F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["brand_no"])))
+        F.sort_array(F.array_distinct(F.transform("entries", lambda e: e["brand_no"])))
         .alias("brands"),
         F.transform("types", lambda t: skill_names[t]).alias("hard_skills"),
         *("has_" + k.lower() for k in TYPE_SKILLS)), "row_id")

@@ -94,7 +94,7 @@ def posting_techs(spark, sf_dir):
     f"""SELECT row_id, array_to_string(list_filter(list_sort(list_distinct(final_techs)),
         lambda t: NOT list_contains({_STOP}, t)), '|') AS techs FROM postings"""))
 def stop_words_removed(spark, sf_dir):
-    kept = T.DEFAULT.without_stop_words(F.array_sort(F.array_distinct("final_techs")))
+    kept = T.DEFAULT.without_stop_words(F.sort_array(F.array_distinct("final_techs")))
     return postings(spark, sf_dir).select("row_id", F.concat_ws("|", kept).alias("techs"))
 
 

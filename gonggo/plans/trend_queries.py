@@ -93,7 +93,7 @@ def brand_cooccurrence(spark, sf_dir):
     """The same counts on the plain tables: brands ordered together."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     sets = (read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
-            .groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("techs")))
+            .groupBy("l_orderkey").agg(F.sort_array(F.collect_set("p_brand")).alias("techs")))
     return D.cooccurrence(sets, D.universe_of(sets))
 
 
