@@ -165,14 +165,19 @@ def grouped(spark, sf_dir) -> DataFrame:
 _STRATA_KEPT = _STRATA.replace("FROM documents", "FROM kept")
 
 
-@query("group_split", f"""WITH {_KEYS}, {_KEPT.replace('SELECT *', 'SELECT keyed.*, (SELECT lang FROM documents d WHERE d.doc_id = keyed.doc_id) AS lang')},
-    {_STRATA_KEPT}, stratified AS (SELECT k.doc_id, k.near_key, s.stratum FROM kept k JOIN strata s ON s.own = k.source || '__' || k.lang),
-    {_SPLIT} SELECT doc_id AS row_id, split FROM kept JOIN splits USING (near_key)""")
+_LANG = "(SELECT lang FROM documents d WHERE d.doc_id = keyed.doc_id) AS lang"
+_SPLITS = f"""WITH {_KEYS}, {_KEPT.replace('SELECT *', 'SELECT keyed.*, ' + _LANG)}, {_STRATA_KEPT},
+    stratified AS (SELECT k.doc_id, k.near_key, s.stratum FROM kept k JOIN strata s ON s.own = k.source || '__' || k.lang),
+    {_SPLIT}"""
+
+
+@query("group_split", f"{_SPLITS} SELECT doc_id AS row_id, split FROM kept JOIN splits USING (near_key)")
 def group_split(spark, sf_dir):
     return grouped(spark, sf_dir).select("row_id", "split")
 
 
-@query("shared_groups", "SELECT 0 AS shared_groups FROM (SELECT count(*) FROM documents)")
+@query("shared_groups", f"""{_SPLITS} SELECT count(*) AS shared_groups FROM (
+    SELECT near_key FROM kept JOIN splits USING (near_key) GROUP BY near_key HAVING count(DISTINCT split) > 1)""")
 def shared_groups(spark, sf_dir):
     """Groups found in more than one part; must be none."""
     return X.shared_groups(grouped(spark, sf_dir))
