@@ -88,7 +88,8 @@ _TERMS = f"""tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '{X.TOKEN
     WHERE df >= 5 AND df <= (SELECT count(*) FROM documents) * 0.9 ORDER BY cf DESC, term LIMIT 30000)"""
 
 
-@query("tfidf_vocabulary", f"WITH {_TERMS} SELECT term, df, cf, round(idf, 9) AS idf FROM vocabulary")
+@query("tfidf_vocabulary", f"WITH {_TERMS} SELECT term, df, cf, round(idf, 9) AS idf FROM vocabulary",
+       BIGINT=("cf",))
 def tfidf_vocabulary(spark, sf_dir):
     return V.vocabulary_table(read(spark, sf_dir, "documents"), "text").select(
         "term", "df", "cf", F.round("idf", 9).alias("idf"))
@@ -158,7 +159,8 @@ def kappa_by_matrix(spark, sf_dir):
 
 
 @query("confusion_matrix", over_corpus("SELECT y AS truth, " + ", ".join(
-    f"sum(CASE WHEN y_old = {c} THEN 1 ELSE 0 END) AS pred_{c}" for c in E.CLASSES) + " FROM labelled GROUP BY y", LABELLED_SQL))
+    f"sum(CASE WHEN y_old = {c} THEN 1 ELSE 0 END) AS pred_{c}" for c in E.CLASSES) + " FROM labelled GROUP BY y", LABELLED_SQL),
+       BIGINT=tuple(f"pred_{c}" for c in E.CLASSES))
 def confusion_matrix(spark, sf_dir):
     return E.confusion(labelled(spark, sf_dir), "y", "y_old")
 
@@ -167,7 +169,8 @@ def confusion_matrix(spark, sf_dir):
     f"""SELECT {c} AS label, coalesce(round(sum(CASE WHEN y = {c} AND y_old = {c} THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y_old = {c} THEN 1 ELSE 0 END), 0), 6), 0) AS precision,
       coalesce(round(sum(CASE WHEN y = {c} AND y_old = {c} THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y = {c} THEN 1 ELSE 0 END), 0), 6), 0) AS recall,
       coalesce(round(2.0 * sum(CASE WHEN y = {c} AND y_old = {c} THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y = {c} THEN 1 ELSE 0 END) + sum(CASE WHEN y_old = {c} THEN 1 ELSE 0 END), 0), 6), 0) AS f1,
-      sum(CASE WHEN y = {c} THEN 1 ELSE 0 END) AS support FROM labelled""" for c in E.CLASSES), LABELLED_SQL))
+      sum(CASE WHEN y = {c} THEN 1 ELSE 0 END) AS support FROM labelled""" for c in E.CLASSES), LABELLED_SQL),
+       BIGINT=("support",))
 def class_report(spark, sf_dir):
     return E.rounded(E.class_report(labelled(spark, sf_dir), "y", "y_old"))
 
@@ -244,7 +247,8 @@ def fallback_choice(spark, sf_dir):
     + ", ".join(f"sum(CASE WHEN p = {c} THEN 1 ELSE 0 END)" for c in E.CLASSES)
     + """) * 100 / count(*), 1) AS modal_pct FROM (SELECT base, CAST(scale AS DOUBLE) AS scale, add,
       greatest(1, least(5, CAST(floor(base + add * scale + 0.5) AS INTEGER))) AS p FROM labelled, (VALUES (3, 1.0), (2, 0.25), (1, 0.5)) v(base, scale)
-      WHERE NOT measurable) GROUP BY base, scale""", LABELLED_SQL))
+      WHERE NOT measurable) GROUP BY base, scale""", LABELLED_SQL),
+       BIGINT=("zero_evidence", *(f"level_{c}" for c in E.CLASSES)))
 def unmeasurable_shift(spark, sf_dir):
     return E.unmeasurable_shift(labelled(spark, sf_dir).where("not measurable"),
                                 [(3, 1.0), (2, 0.25), (1, 0.5)])

@@ -114,7 +114,8 @@ def pool_report(spark, sf_dir):
 
 @query("duplicate_keys", over_corpus(
     """SELECT count(*) AS duplicate_keys, coalesce(sum(c), 0) AS rows_in_them, coalesce(sum(c - 1), 0) AS repeats
-       FROM (SELECT count(*) AS c FROM postings GROUP BY source, job_id HAVING count(*) > 1)"""))
+       FROM (SELECT count(*) AS c FROM postings GROUP BY source, job_id HAVING count(*) > 1)"""),
+       BIGINT=("rows_in_them", "repeats"))
 def duplicate_keys(spark, sf_dir):
     return P.duplicate_keys(postings(spark, sf_dir))
 

@@ -72,7 +72,8 @@ def text_variants(spark, sf_dir):
 @query("overlap_report", over_corpus(
     f"""SELECT coalesce(sum(removed), 0) AS removed_chars, coalesce(sum(greatest(0, {_marks('raw_text')} - {_marks('clean')})), 0)
         AS label_matches_removed FROM (SELECT raw_text, clean, length(raw_text) - length(clean) AS removed
-        FROM (SELECT raw_text, {_clean('raw_text')} AS clean FROM postings)) WHERE removed > 0"""))
+        FROM (SELECT raw_text, {_clean('raw_text')} AS clean FROM postings)) WHERE removed > 0"""),
+       BIGINT=("removed_chars", "label_matches_removed"))
 def overlap_report(spark, sf_dir):
     return X.overlap_report(postings(spark, sf_dir))
 

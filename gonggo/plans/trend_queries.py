@@ -113,7 +113,8 @@ def mapped(spark, sf_dir):
 
 @query("region_summary", over_corpus(
     """SELECT location, max(lat) AS lat, max(lon) AS lon, count(*) AS job_count,
-       sum(len(final_techs)) AS tech_mentions FROM mapped GROUP BY location""", _MAPPED))
+       sum(len(final_techs)) AS tech_mentions FROM mapped GROUP BY location""", _MAPPED),
+       DOUBLE=("lat", "lon"), BIGINT=("tech_mentions",))
 def region_summary(spark, sf_dir):
     return D.region_summary(mapped(spark, sf_dir))
 

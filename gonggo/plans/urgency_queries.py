@@ -201,7 +201,9 @@ def _double(flag: str) -> str:
         {_double('NOT coalesce(headcount > 0, false)')} AS f_headcount_missing,
         {_double('is_urgent')} AS f_is_urgent_word, {_double('is_immediate')} AS f_is_immediate,
         {_double('is_backfill')} AS f_is_backfill, {_double('is_early_close')} AS f_is_early_close,
-        {_double('is_bonus')} AS f_has_bonus, {_double('is_many')} AS f_is_many FROM signals""", *V5_SQL[:6]))
+        {_double('is_bonus')} AS f_has_bonus, {_double('is_many')} AS f_is_many FROM signals""", *V5_SQL[:6]),
+       DOUBLE=("f_window_missing", "f_rolling", "f_headcount_missing", "f_is_urgent_word", "f_is_immediate",
+               "f_is_backfill", "f_is_early_close", "f_has_bonus", "f_is_many"))
 def structured_features(spark, sf_dir):
     return U.structured_features(postings(spark, sf_dir)).select(
         "row_id", *("f_" + n for n in W.FEATURE_NAMES))
@@ -215,7 +217,8 @@ _LEVEL_COUNTS = ", ".join(
 
 @query("label_distribution", over_corpus(
     f"""SELECT source, count(*) AS n, {_LEVEL_COUNTS} FROM scored GROUP BY source
-        UNION ALL SELECT NULL, count(*), {_LEVEL_COUNTS} FROM scored""", *V5_SQL))
+        UNION ALL SELECT NULL, count(*), {_LEVEL_COUNTS} FROM scored""", *V5_SQL),
+       BIGINT=tuple(f"level_{i}" for i in range(1, 6)))
 def label_distribution(spark, sf_dir):
     return U.label_distribution(labelled(spark, sf_dir))
 
@@ -241,7 +244,8 @@ _EVIDENCE_BY_PART = """parts_of AS (SELECT source, evidence FROM evidence
        max(CASE WHEN i = least(CAST(floor(total * CAST(0.50 AS DOUBLE)) AS BIGINT), total - 1) THEN evidence END) AS p50,
        max(CASE WHEN i = least(CAST(floor(total * CAST(0.75 AS DOUBLE)) AS BIGINT), total - 1) THEN evidence END) AS p75,
        max(CASE WHEN i = least(CAST(floor(total * CAST(0.90 AS DOUBLE)) AS BIGINT), total - 1) THEN evidence END) AS p90,
-       max(evidence) AS max_evidence FROM placed GROUP BY source""", *V2_SQL[:7], _EVIDENCE_BY_PART))
+       max(evidence) AS max_evidence FROM placed GROUP BY source""", *V2_SQL[:7], _EVIDENCE_BY_PART),
+       BIGINT=("zero_rows",))
 def evidence_quantiles(spark, sf_dir):
     return U.evidence_quantiles(U.signal_table(postings(spark, sf_dir), pack=U.V2)
                                 .select("source", "evidence"))
@@ -258,7 +262,8 @@ def evidence_buckets(spark, sf_dir):
 @query("reference_stats", over_corpus(
     f"""SELECT 'source:' || source AS part, count(*) AS n, {_LEVEL_COUNTS} FROM scored GROUP BY source
         UNION ALL SELECT 'overall', count(*), {_LEVEL_COUNTS} FROM scored
-        UNION ALL SELECT 'measurable', count(*), {_LEVEL_COUNTS} FROM scored WHERE measurable""", *V5_SQL))
+        UNION ALL SELECT 'measurable', count(*), {_LEVEL_COUNTS} FROM scored WHERE measurable""", *V5_SQL),
+       BIGINT=tuple(f"level_{i}" for i in range(1, 6)))
 def reference_stats(spark, sf_dir):
     return U.reference_stats(labelled(spark, sf_dir))
 
