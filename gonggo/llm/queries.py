@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gonggo.llm import decontaminate
+from gonggo.llm import decontaminate, token_counts
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 DECONTAMINATION_SQL = r"""
@@ -50,3 +51,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(scan["item_ids"]).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(scan["item_ids"], ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"))
+
+
+MOST_TOKENS = 512
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole text under a public byte-level vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > MOST_TOKENS).alias("over_limit"))
