@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gonggo.llm import decontaminate, token_counts
+from gonggo.llm import decontaminate, language, token_counts
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 DECONTAMINATION_SQL = r"""
@@ -63,3 +63,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens",
                           (F.col("n_tokens") > MOST_TOKENS).alias("over_limit"))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.learned(docs, ~held_out)
+    predicted = language.with_language(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                            F.col("language.score").alias("score"))
