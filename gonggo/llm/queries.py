@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gonggo.llm import decontaminate, language, token_counts
+from gonggo.llm import decontaminate, language, token_counts, url_rules
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 DECONTAMINATION_SQL = r"""
@@ -74,3 +74,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = language.with_language(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
                             F.col("language.score").alias("score"))
+
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/"))
+
+_GLOB_CASES = " OR ".join(
+    f"('.' || host || path) LIKE '{g.replace('*', '%') if g.startswith('*') else '.' + g.replace('*', '%')}'"
+    for g in url_rules.DEFAULT_GLOBS)
+_RULE_CASES = " ".join(
+    f"WHEN ('.' || host LIKE '%.{t.split('/')[0]}') AND starts_with(path, '/{t.split('/', 1)[1]}') THEN '{v}|{t}'"
+    for v, t in sorted(URL_RULES, key=lambda r: -len(r[1])))
+URL_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE {_RULE_CASES} END AS hit, CASE WHEN {_GLOB_CASES} THEN 'block' ELSE 'allow' END AS other FROM parts
+)
+SELECT page_id, host, path, split_part(hit, '|', 2) AS rule, split_part(hit, '|', 1) AS verdict
+FROM ruled WHERE hit IS NOT NULL
+UNION ALL SELECT page_id, host, path, NULL, other FROM ruled WHERE hit IS NULL
+"""
+
+
+@query("op5_url_rules", URL_SQL)
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that decides each page's URL, and the verdict."""
+    rules = url_rules.RuleSet([url_rules.Rule(v, t) for v, t in URL_RULES])
+    found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "judgement.*")

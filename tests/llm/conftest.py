@@ -8,7 +8,7 @@ TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
 @pytest.fixture(scope="session")
 def against_sql(spark):
     """Compares a query with its SQL, row by row, on the small tables."""
-    from gonggo.llm.registry import CHECKS, QUERIES
+    from gonggo.llm.queries import CHECKS, QUERIES
 
     def check(name, sf_dir=SF):
         con = duckdb.connect()

@@ -1,7 +1,6 @@
 import random
 import re
 
-import gonggo.llm.queries  # noqa: F401
 from gonggo.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
