@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gonggo.llm import decontaminate, language, token_counts, url_rules
+from gonggo.functions.stages import computed
+from gonggo.llm import chat, decontaminate, language, token_counts, url_rules
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 DECONTAMINATION_SQL = r"""
@@ -107,3 +108,44 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_rules.RuleSet([url_rules.Rule(v, t) for v, t in URL_RULES])
     found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return found.select("page_id", "judgement.*")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+_TEMPLATE = chat.Template()
+_ESCAPED = r"<\\*(?:\|turn\|>|\|text\|>|\|more\|>|\|end\|>|\|endoftext\|>|/?s>)|\[\\*/?INST\]"
+CHAT_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
+), sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_ESCAPED}')) AS text_chars,
+    length(role) + len(regexp_extract_all(role, '{_ESCAPED}')) AS role_chars,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(text_chars + CASE WHEN role = before THEN {len(_TEMPLATE.join)}
+    ELSE role_chars + {len(_TEMPLATE.start + _TEMPLATE.body + _TEMPLATE.end)} END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op1_chat", CHAT_SQL)
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back, and one whose texts hold control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    out = chat.formatted(turns.unionByName(control))
+    text = F.col("formatted")
+    read = computed(out, chat.turns_read(text).alias("turns"), chat.loss_text(text, F.col("loss_mask")).alias("loss"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length(text).cast("bigint").alias("formatted_chars"))
