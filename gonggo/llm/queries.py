@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.functions.stages import computed
-from gonggo.llm import chat, decontaminate, language, token_counts, url_rules
+from gonggo.llm import chat, decontaminate, language, packing, token_counts, url_rules
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
+from gonggo.session import written
 
 DECONTAMINATION_SQL = r"""
 WITH dw AS (
@@ -149,3 +150,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length(text).cast("bigint").alias("formatted_chars"))
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training sequences of five permitted lengths, filled with whole documents by their token counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(written(counted.select("doc_id", "n_tokens"), "lengths"))
