@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.functions.stages import computed
-from gonggo.llm import chat, decontaminate, language, packing, token_counts, url_rules
+from gonggo.llm import chat, decontaminate, language, order_minhash, packing, token_counts, url_rules
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from gonggo.session import written
 
@@ -158,3 +158,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.packed(written(counted.select("doc_id", "n_tokens"), "lengths"))
+
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of the text with its second half taken from the next document."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("doc_id", F.lit(-2**63)).alias("__key"), F.coalesce("text", F.lit("")).alias("text"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("__tie"))
+    follow = order_minhash.after("__key", "__tie")
+    blocks = order_minhash.in_blocks(docs, "__key").withColumn("__next", F.lead("text").over(follow))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half),
+                      F.substr(F.coalesce("__next", F.lit("")), F.lit(1), half))
+    signed = order_minhash.with_fingerprints(
+        computed(blocks, edited.alias("__edited")), {"__own": "text", "__changed": "__edited"})
+    narrow = signed.select(
+        "doc_id", "__key", "__tie", "__block", "__extra", "__wrap", F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("__edited", 256).alias("edited_sha256"), "__own", "__changed",
+        order_minhash.likeness(F.col("__own"), F.col("__changed")).alias("near_edited"),
+        F.lead("__own").over(follow).alias("__following"))
+    return narrow.where("NOT __extra").select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("__own")).alias("fingerprint"),
+        F.lower(F.hex("__changed")).alias("edited_fingerprint"), "near_edited",
+        order_minhash.likeness(F.col("__own"), F.col("__following")).alias("near_next"))
