@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "gonggo", master: str | None = None,
@@ -69,3 +69,29 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# What one broadcast lookup may take: its rows' bytes, as measured after it is written.
+LOOKUP_BYTES = 32 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of `df`: fixed widths as they are, texts and arrays as counted."""
+    def width(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        if kind.startswith("array"):
+            return F.size(name) * 16
+        return F.lit({"bigint": 8, "double": 8, "int": 4, "float": 4, "boolean": 1}.get(kind, 16))
+
+    parts = [F.sum(F.coalesce(width(f"`{n}`", k), F.lit(0)).cast("bigint") + 8) for n, k in df.dtypes]
+    return sum(v or 0 for v in df.agg(*parts).first())
+
+
+def lookup(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """`df` as a written stage, marked for broadcast if its measured size allows.
+
+    Beyond the bound it is returned unmarked; the join is then a shuffled one with the same result.
+    """
+    stage = written(df, "lookup")
+    return F.broadcast(stage) if measured_bytes(stage) <= max_bytes else stage
