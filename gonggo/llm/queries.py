@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.functions.stages import computed
-from gonggo.llm import chat, decontaminate, language, order_minhash, packing, token_counts, url_rules
+from gonggo.llm import (
+    chat, decontaminate, jaccard_join, language, order_minhash, packing, token_counts, url_rules)
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from gonggo.session import written
 
@@ -182,3 +183,32 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("__own")).alias("fingerprint"),
         F.lower(F.hex("__changed")).alias("edited_fingerprint"), "near_edited",
         order_minhash.likeness(F.col("__own"), F.col("__following")).alias("near_next"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words
+), grams AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS k
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared WHERE 100 * k >= 90 * (n + m - k)
+), reach(x, y) AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(min(y), doc_id)) AS component_id
+FROM sets LEFT JOIN reach ON x = doc_id GROUP BY doc_id, s
+"""
+
+
+@query("op6_jaccard_join", JACCARD_SQL)
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-copy component of each document by three-word shingles."""
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
