@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.functions.stages import computed
 from gonggo.llm import (
-    chat, decontaminate, jaccard_join, language, order_minhash, packing, token_counts, url_rules)
+    chat, decontaminate, jaccard_join, language, order_minhash, packing, suffix_dedup,
+    token_counts, url_rules)
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from gonggo.session import written
 
@@ -212,3 +213,16 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-copy component of each document by three-word shingles."""
     docs = table(spark, sf_dir, "documents")
     return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the bytes of 100-byte strings that begin earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.with_repeats(docs)
+    lengths = F.transform("repeats", lambda s: s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        F.aggregate(lengths, F.lit(0).cast("bigint"), lambda total, n: total + n).alias("n_removed"),
+        F.size("repeats").cast("bigint").alias("n_spans"),
+        suffix_dedup.kept_sha256(F.col("text"), F.col("repeats")).alias("kept_sha256"))
