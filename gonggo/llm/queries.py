@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gonggo.functions.stages import computed
 from gonggo.llm import (
     chat, decontaminate, jaccard_join, language, order_minhash, packing, suffix_dedup,
-    token_counts, url_rules)
+    token_counts, toxicity, url_rules)
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from gonggo.session import written
 
@@ -226,3 +226,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate(lengths, F.lit(0).cast("bigint"), lambda total, n: total + n).alias("n_removed"),
         F.size("repeats").cast("bigint").alias("n_spans"),
         suffix_dedup.kept_sha256(F.col("text"), F.col("repeats")).alias("kept_sha256"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is of low quality and toxic, by a chain learned from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit_chain(docs, labels, ("low_quality", "toxic"))
+    return chain.predict(docs).select("doc_id", "p_low_quality", "is_low_quality", "p_toxic", "is_toxic")
