@@ -4,23 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gonggo.session import cut_lineage
+from gonggo.session import LOOKUP_BYTES, lookup
 
-# About 50 MB of the narrow lookup rows used here.
-LOOKUP_ROWS = 500_000
 
+def small_side(table: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """A narrow lookup table, marked for broadcast if its measured bytes allow.
 
-def small_side(lookup: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """A narrow lookup table, marked for broadcast if its counted size allows.
-
-    It is written to the checkpoint folder first, so counting and joining it
-    compute it once. Beyond the bound it is returned unmarked, and the join is
-    a shuffled one whose hot keys adaptive execution splits.
+    It is written as a Parquet stage first, so measuring and joining it compute it once. Beyond
+    the bound it is returned unmarked, and the join is a shuffled one whose hot keys adaptive
+    execution splits.
     """
-    written = cut_lineage(lookup)
-    if written.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(written)
-    return written
+    return lookup(table, max_bytes)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
 from gonggo.functions.joins import small_side
 
 HASH_BITS = 60
+# Rows that one slice of a group is to hold, about.
+SLICE_ROWS = 20_000
 
 
 def hash_order(seed: int, *cols: str) -> Column:
@@ -26,13 +27,15 @@ def hash_order(seed: int, *cols: str) -> Column:
 
 
 def rank_in_group(df: DataFrame, group: list[str], order_key: str, tie: str,
-                  out: str = "rank", slices: int = 4096) -> DataFrame:
+                  out: str = "rank", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rank (from 1) of each row in its group by the hash `order_key`, then `tie`.
 
     The key is a hash, so equal-width slices hold about the same number of rows
-    however many rows a group has. Adds `out` and the group's size `out`_n.
+    however many rows a group has; how many slices there are follows from the largest group. Adds
+    `out` and the group's size `out`_n.
     """
-    width = (1 << HASH_BITS) // slices
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    width = (1 << HASH_BITS) // max(1, -(-largest // slice_rows))
     sliced = df.withColumn("_slice", F.expr(f"{order_key} div {width}"))
     sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice")

@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gonggo.functions.joins import small_side, spread
 from gonggo.functions.regex import every
 from gonggo.operators.trends import cooccurrence, related_map
-from gonggo.session import cut_lineage
+from gonggo.session import LOOKUP_BYTES, cut_lineage, measured_bytes
 
 FILTERS = ("experience_level", "location")
-# A query table of at most this many (query, skill) rows is sent to all tasks.
-BROADCAST_ROWS = 200_000
 WORD = r"[A-Za-z가-힣0-9]+"
 
 
@@ -153,9 +151,8 @@ def _best(rows: DataFrame, k: int, key: str = "slot") -> DataFrame:
 
 
 def _is_small(queries: DataFrame) -> bool:
-    """Counted, not assumed: the number of (query, skill) rows."""
-    n = queries.agg(F.coalesce(F.sum(F.size("techs")), F.lit(0))).first()[0]
-    return n <= BROADCAST_ROWS
+    """Whether the (query, skill) rows may be sent to all tasks, by their measured bytes."""
+    return measured_bytes(queries.select(F.explode("techs").alias("tech"))) <= LOOKUP_BYTES
 
 
 def _single_profile_matches(queries, members, idf, k, filters, scores, small) -> DataFrame:

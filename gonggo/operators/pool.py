@@ -131,17 +131,11 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- share still alive
 
-# Labels of the report.
-SHAPE_A = "A(jobkorea 시작~마감)"
-SHAPE_B = "B(saramin 접수기간)"
-SHAPE_B_OPEN = "B(날짜 파싱 실패, 상시채용 문구는 있음)"
-SHAPE_B_FAILED = "B(날짜 파싱 실패)"
-SHAPE_OPEN_ONLY = "상시채용 문구만 있음(마감일 섹션 자체가 없음)"
-SHAPE_NONE = "매치 없음(형식 자체가 다름 — 주로 wanted)"
-ALIVE_DATED = "생존(마감일 미도래)"
-ALIVE_OPEN = "생존(상시·수시채용)"
-GONE = "마감(마감일 지남)"
-UNDECIDED = "판단불가(마감정보 없음)"
+# Codes of the report: where the closing day was found, and what it says.
+SHAPE_A, SHAPE_B = "block", "period"
+SHAPE_B_OPEN, SHAPE_B_FAILED = "period_undated_open", "period_undated"
+SHAPE_OPEN_ONLY, SHAPE_NONE = "open_only", "none"
+ALIVE_DATED, ALIVE_OPEN, GONE, UNDECIDED = "alive_dated", "alive_open", "gone", "undecided"
 
 
 def deadline_shape(df: DataFrame, as_of, anchored: bool = True) -> DataFrame:

@@ -1,88 +1,168 @@
-"""Fixed values of the technology dictionary.
-
-Canonical names in their usual order; the alias of a name is the name itself in
-lower case without blanks and marks ("Spring Boot" -> "springboot"), unless it
-is listed in NO_PLAIN_ALIAS. Names with a blank or a dot are also aliases as
-they are written ("spring boot"). All other spellings are listed.
-"""
+"""Fixed values of the technology dictionary."""
 
 from __future__ import annotations
 
-import re
-
-CANONICAL = (
-    # languages
-    "Python", "Java", "C", "C++", "C#", "JavaScript", "TypeScript", "Kotlin", "Swift", "PHP",
-    "Go", "Ruby", "Rust", "Dart", "Scala", "R", "Perl", "Lua", "Shell", "Bash", "PowerShell",
-    # back end
-    "Spring", "Spring Boot", "Spring MVC", "Spring WebFlux", "JPA", "Hibernate", "MyBatis",
-    "Django", "FastAPI", "Flask", "Node.js", "Express", "NestJS", "Ruby on Rails", "Laravel",
-    ".NET", "ASP.NET", "GraphQL", "gRPC", "WebSocket", "REST API",
-    # front end, mobile
-    "React", "Vue.js", "Next.js", "Nuxt.js", "Angular", "Svelte", "HTML", "CSS", "Redux",
-    "Recoil", "Zustand", "React Query", "Tailwind CSS", "Bootstrap", "Styled-Components",
-    "Three.js", "WebGL", "React Native", "Flutter", "iOS", "Android",
-    # data
-    "SQL", "RDBMS", "NoSQL", "MySQL", "PostgreSQL", "Oracle", "MSSQL", "MariaDB", "MongoDB",
-    "Redis", "Elasticsearch", "DynamoDB", "Cassandra", "SQLite", "Firebase", "Firestore",
-    "Kafka", "RabbitMQ", "Hadoop", "Spark", "Airflow", "Snowflake",
-    # infrastructure
-    "AWS", "GCP", "Azure", "Docker", "Kubernetes", "Jenkins", "GitHub Actions", "CI/CD",
-    "Terraform", "Linux", "Ubuntu", "CentOS", "Nginx", "Apache", "Prometheus", "Grafana",
-    "Datadog", "ELK Stack", "ArgoCD", "Serverless",
-    # machine learning
-    "AI", "ML", "Deep Learning", "LLM", "Generative AI", "Computer Vision", "OCR", "NLP",
-    "TensorFlow", "PyTorch", "Keras", "YOLO", "MediaPipe", "OpenCV", "Pandas", "NumPy",
-    "Scikit-Learn", "Hugging Face", "LangChain", "LlamaIndex", "Vector DB", "Milvus",
-    "ChromaDB", "Pinecone", "MLOps", "MLflow", "Kubeflow", "XGBoost", "LightGBM", "Claude Code",
-    # tools
-    "Git", "GitHub", "GitLab", "Bitbucket", "Jupyter Notebook", "VS Code", "Visual Studio",
-    "IntelliJ", "Eclipse", "Postman", "Swagger", "Figma", "Notion", "Jira", "Slack", "Ajax",
-    "DevOps", "AI Agent", "pnpm", "npm", "Yarn", "Webpack", "Vite",
-)
-
-NO_PLAIN_ALIAS = (".NET", "ASP.NET", "ELK Stack", "AI Agent", "Claude Code")
-
-LATIN_ALIASES = {
-    "JavaScript": ("js",), "TypeScript": ("ts",), "Go": ("golang",),
-    "Spring": ("spring framework",), "Node.js": ("node",), "NestJS": ("nest.js",),
-    "Ruby on Rails": ("rails",), "REST API": ("restfulapi",), "React": ("reactjs",),
-    "Vue.js": ("vue",), "HTML": ("html5",), "CSS": ("css3",), "React Query": ("tanstackquery",),
-    "Tailwind CSS": ("tailwind",), "React Native": ("rn",), "PostgreSQL": ("postgres",),
-    "MSSQL": ("microsoft sql server",), "AWS": ("amazonwebservices",),
-    "GCP": ("googlecloudplatform",), "Kubernetes": ("k8s",), "GitHub Actions": ("githubaction",),
-    "ELK Stack": ("elk",), "ML": ("machinelearning",), "Deep Learning": ("dl",),
-    "Computer Vision": ("cv",), "Jupyter Notebook": ("jupyter",),
-    "VS Code": ("visualstudiocode",),
-}
-
-KOREAN_ALIASES = {
-    "Python": ("파이썬",), "Java": ("자바",), "JavaScript": ("자바스크립트",),
-    "TypeScript": ("타입스크립트",), "Kotlin": ("코틀린",), "Swift": ("스위프트",), "Ruby": ("루비",),
-    "Rust": ("러스트",), "Dart": ("다트",), "Scala": ("스칼라",), "Spring": ("스프링",),
-    "Spring Boot": ("스프링부트",), "Django": ("장고",), "Flask": ("플라스크",), "Node.js": ("노드",),
-    "Express": ("익스프레스",), "NestJS": ("네스트",), "Laravel": ("라라벨",), ".NET": ("닷넷",),
-    "GraphQL": ("그래프ql",), "React": ("리액트",), "Vue.js": ("뷰",), "Next.js": ("넥스트",),
-    "Nuxt.js": ("넉스트",), "Angular": ("앵귤러",), "Svelte": ("스벨트",), "Redux": ("리덕스",),
-    "Zustand": ("주스탠드",), "Tailwind CSS": ("테일윈드",), "Bootstrap": ("부트스트랩",),
-    "React Native": ("리액트네이티브",), "Flutter": ("플러터",), "Android": ("안드로이드",),
-    "Oracle": ("오라클",), "MariaDB": ("마리아디비",), "MongoDB": ("몽고디비",), "Redis": ("레디스",),
-    "Elasticsearch": ("엘라스틱서치",), "DynamoDB": ("다이나모디비",), "Cassandra": ("카산드라",),
-    "Firebase": ("파이어베이스",), "Kafka": ("카프카",), "RabbitMQ": ("래빗mq",), "Hadoop": ("하둡",),
-    "Spark": ("스파크",), "Airflow": ("에어플로우",), "Azure": ("애저",), "Docker": ("도커",),
-    "Kubernetes": ("쿠버네티스",), "Jenkins": ("젠킨스",), "Terraform": ("테라폼",), "Linux": ("리눅스",),
-    "Ubuntu": ("우분투",), "CentOS": ("센트오에스",), "Nginx": ("엔진엑스",), "Apache": ("아파치",),
-    "Prometheus": ("프로메테우스",), "Grafana": ("그라파나",), "Datadog": ("데이터독",),
-    "ELK Stack": ("elk스택",), "ArgoCD": ("아르고cd",), "AI": ("인공지능",), "ML": ("머신러닝",),
-    "Deep Learning": ("딥러닝",), "LLM": ("대규모언어모델",), "Generative AI": ("생성형ai",),
-    "Computer Vision": ("컴퓨터비전",), "NLP": ("자연어처리",), "TensorFlow": ("텐서플로우",),
-    "PyTorch": ("파이토치",), "Keras": ("케라스",), "YOLO": ("욜로",), "MediaPipe": ("미디어파이프",),
-    "OpenCV": ("오픈cv",), "Pandas": ("판다스",), "NumPy": ("넘파이",), "Scikit-Learn": ("사이킷런",),
-    "Hugging Face": ("허깅페이스",), "LangChain": ("랭체인",), "Vector DB": ("벡터db",), "Git": ("깃",),
-    "GitHub": ("깃허브",), "GitLab": ("깃랩",), "Jupyter Notebook": ("주피터노트북",),
-    "IntelliJ": ("인텔리제이",), "Eclipse": ("이클립스",), "Postman": ("포스트맨",),
-    "Swagger": ("스웨거",), "Figma": ("피그마",), "Webpack": ("웹팩",), "Vite": ("바이트",),
-}
+# Each technology and the lower-case spellings that stand for it.
+SPELLINGS = """
+Python: python, 파이썬
+Java: java, 자바
+C: c
+C++: c++
+C#: c#
+JavaScript: javascript, js, 자바스크립트
+TypeScript: typescript, ts, 타입스크립트
+Kotlin: kotlin, 코틀린
+Swift: swift, 스위프트
+PHP: php
+Go: go, golang
+Ruby: ruby, 루비
+Rust: rust, 러스트
+Dart: dart, 다트
+Scala: scala, 스칼라
+R: r
+Perl: perl
+Lua: lua
+Shell: shell
+Bash: bash
+PowerShell: powershell
+Spring: spring, spring framework, 스프링
+Spring Boot: springboot, 스프링부트, spring boot
+Spring MVC: springmvc, spring mvc
+Spring WebFlux: springwebflux, spring webflux
+JPA: jpa
+Hibernate: hibernate
+MyBatis: mybatis
+Django: django, 장고
+FastAPI: fastapi
+Flask: flask, 플라스크
+Node.js: nodejs, node, 노드, node.js
+Express: express, 익스프레스
+NestJS: nestjs, nest.js, 네스트
+Ruby on Rails: rubyonrails, rails, ruby on rails
+Laravel: laravel, 라라벨
+.NET: 닷넷, .net
+ASP.NET: asp.net
+GraphQL: graphql, 그래프ql
+gRPC: grpc
+WebSocket: websocket
+REST API: restapi, restfulapi, rest api
+React: react, reactjs, 리액트
+Vue.js: vuejs, vue, 뷰, vue.js
+Next.js: nextjs, 넥스트, next.js
+Nuxt.js: nuxtjs, 넉스트, nuxt.js
+Angular: angular, 앵귤러
+Svelte: svelte, 스벨트
+HTML: html, html5
+CSS: css, css3
+Redux: redux, 리덕스
+Recoil: recoil
+Zustand: zustand, 주스탠드
+React Query: reactquery, tanstackquery, react query
+Tailwind CSS: tailwindcss, tailwind, 테일윈드, tailwind css
+Bootstrap: bootstrap, 부트스트랩
+Styled-Components: styledcomponents
+Three.js: threejs, three.js
+WebGL: webgl
+React Native: reactnative, rn, 리액트네이티브, react native
+Flutter: flutter, 플러터
+iOS: ios
+Android: android, 안드로이드
+SQL: sql
+RDBMS: rdbms
+NoSQL: nosql
+MySQL: mysql
+PostgreSQL: postgresql, postgres
+Oracle: oracle, 오라클
+MSSQL: mssql, microsoft sql server
+MariaDB: mariadb, 마리아디비
+MongoDB: mongodb, 몽고디비
+Redis: redis, 레디스
+Elasticsearch: elasticsearch, 엘라스틱서치
+DynamoDB: dynamodb, 다이나모디비
+Cassandra: cassandra, 카산드라
+SQLite: sqlite
+Firebase: firebase, 파이어베이스
+Firestore: firestore
+Kafka: kafka, 카프카
+RabbitMQ: rabbitmq, 래빗mq
+Hadoop: hadoop, 하둡
+Spark: spark, 스파크
+Airflow: airflow, 에어플로우
+Snowflake: snowflake
+AWS: aws, amazonwebservices
+GCP: gcp, googlecloudplatform
+Azure: azure, 애저
+Docker: docker, 도커
+Kubernetes: kubernetes, k8s, 쿠버네티스
+Jenkins: jenkins, 젠킨스
+GitHub Actions: githubactions, githubaction, github actions
+CI/CD: cicd
+Terraform: terraform, 테라폼
+Linux: linux, 리눅스
+Ubuntu: ubuntu, 우분투
+CentOS: centos, 센트오에스
+Nginx: nginx, 엔진엑스
+Apache: apache, 아파치
+Prometheus: prometheus, 프로메테우스
+Grafana: grafana, 그라파나
+Datadog: datadog, 데이터독
+ELK Stack: elk, elk스택, elk stack
+ArgoCD: argocd, 아르고cd
+Serverless: serverless
+AI: ai, 인공지능
+ML: ml, machinelearning, 머신러닝
+Deep Learning: deeplearning, dl, 딥러닝, deep learning
+LLM: llm, 대규모언어모델
+Generative AI: generativeai, 생성형ai, generative ai
+Computer Vision: computervision, cv, 컴퓨터비전, computer vision
+OCR: ocr
+NLP: nlp, 자연어처리
+TensorFlow: tensorflow, 텐서플로우
+PyTorch: pytorch, 파이토치
+Keras: keras, 케라스
+YOLO: yolo, 욜로
+MediaPipe: mediapipe, 미디어파이프
+OpenCV: opencv, 오픈cv
+Pandas: pandas, 판다스
+NumPy: numpy, 넘파이
+Scikit-Learn: scikitlearn, 사이킷런
+Hugging Face: huggingface, 허깅페이스, hugging face
+LangChain: langchain, 랭체인
+LlamaIndex: llamaindex
+Vector DB: vectordb, 벡터db, vector db
+Milvus: milvus
+ChromaDB: chromadb
+Pinecone: pinecone
+MLOps: mlops
+MLflow: mlflow
+Kubeflow: kubeflow
+XGBoost: xgboost
+LightGBM: lightgbm
+Claude Code: claude code
+Git: git, 깃
+GitHub: github, 깃허브
+GitLab: gitlab, 깃랩
+Bitbucket: bitbucket
+Jupyter Notebook: jupyternotebook, jupyter, 주피터노트북, jupyter notebook
+VS Code: vscode, visualstudiocode, vs code
+Visual Studio: visualstudio, visual studio
+IntelliJ: intellij, 인텔리제이
+Eclipse: eclipse, 이클립스
+Postman: postman, 포스트맨
+Swagger: swagger, 스웨거
+Figma: figma, 피그마
+Notion: notion
+Jira: jira
+Slack: slack
+Ajax: ajax
+DevOps: devops
+AI Agent: ai agent
+pnpm: pnpm
+npm: npm
+Yarn: yarn
+Webpack: webpack, 웹팩
+Vite: vite, 바이트
+"""
 
 # General words that look like technologies but tell postings apart badly.
 STOP_WORDS = (
@@ -99,11 +179,7 @@ HYPERNYMS = {"Spring Boot": "Spring"}
 def default_aliases() -> dict[str, str]:
     """alias -> canonical name, in dictionary order."""
     table: dict[str, str] = {}
-    for name in CANONICAL:
-        spellings = () if name in NO_PLAIN_ALIAS else (re.sub(r"[^a-z0-9+#]", "", name.lower()),)
-        for alias in spellings + LATIN_ALIASES.get(name, ()) + KOREAN_ALIASES.get(name, ()):
-            table[alias] = name
-    for name in CANONICAL:
-        if " " in name or "." in name:
-            table.setdefault(name.lower(), name)
+    for line in SPELLINGS.strip().splitlines():
+        name, _, spellings = line.partition(": ")
+        table.update(dict.fromkeys(spellings.split(", "), name))
     return table

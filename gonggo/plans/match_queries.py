@@ -221,9 +221,6 @@ def text_fallback(spark, sf_dir):
 
 # ---------------------------------------------------------------- the check without labels
 
-QUERIES = 60
-
-
 def _hash(*parts: str) -> str:
     return "CAST(('0x' || left(md5(" + " || '|' || ".join(parts) + "), 15)) AS BIGINT)"
 
@@ -233,7 +230,7 @@ def _proxy_sql(ratios=X.RATIOS) -> str:
     return f"""
 chosen AS (SELECT row_id, job_id, techs FROM pool WHERE len(techs) >= 3 AND job_id IN (
     SELECT job_id FROM pool GROUP BY job_id HAVING count(*) = 1)
-  ORDER BY {_hash("'0'", 'row_id')}, row_id LIMIT {QUERIES}),
+  ORDER BY {_hash("'0'", 'row_id')}, row_id LIMIT {X.QUERIES}),
 asked AS (SELECT row_id AS target_row, job_id AS target, ratio, row_id || '/' || ratio AS query_id,
     list_sort(list_transform(list_slice(list_sort(list_transform(techs, lambda t: [md5('0|' || row_id || '|' || t), t])), 1,
       greatest(1, CAST(round_even(len(techs) * ratio, 0) AS INTEGER))), lambda x: x[2])) AS techs
@@ -245,7 +242,7 @@ def proxy_inputs(spark, sf_dir):
     """(pool, idf, queries); the pool is read several times, so it is written once."""
     pool = cut_lineage(recommendable(spark, sf_dir).select(
         "row_id", "job_id", "techs", "skills_extra", "location", "experience_level"))
-    return pool, weights(spark, sf_dir), cut_lineage(X.make_query_set(pool, QUERIES))
+    return pool, weights(spark, sf_dir), cut_lineage(X.make_query_set(pool))
 
 
 @query("pseudo_resumes", over_corpus(
@@ -253,7 +250,7 @@ def proxy_inputs(spark, sf_dir):
     *POOL_SQL, _proxy_sql()))
 def pseudo_resumes(spark, sf_dir):
     pool = recommendable(spark, sf_dir).select("row_id", "job_id", "techs")
-    return X.make_query_set(pool, QUERIES).select("query_id", "target", "ratio",
+    return X.make_query_set(pool).select("query_id", "target", "ratio",
                                                   F.concat_ws("|", "techs").alias("techs"))
 
 
@@ -304,5 +301,5 @@ def random_expected(spark, sf_dir):
         GROUP BY ratio""", *POOL_SQL, _proxy_sql()))
 def random_baseline(spark, sf_dir):
     pool = recommendable(spark, sf_dir).select("row_id", "job_id", "techs")
-    return X.random_baseline(pool, X.make_query_set(pool, QUERIES)).select(
+    return X.random_baseline(pool, X.make_query_set(pool)).select(
         "ratio", "n", "recall", F.round("mrr", 9).alias("mrr"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -18,10 +19,7 @@ from gonggo.plans.registry import query
 from gonggo.plans.urgency_queries import V2_SQL, V5_SQL
 from gonggo.session import cut_lineage, ensure_checkpoint_dir
 
-# Small settings that keep a fit on the test scales short; the operators'
-# defaults are the full ones.
-RECIPE = M.Recipe(max_features=2000, min_df=5)
-ITERATIONS = 8
+RECIPE = M.Recipe()
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -328,21 +326,20 @@ def _fit_figures(spark, sf_dir, fit, mode="argmax", recipe=RECIPE):
 
 @query("linear_svm_model")
 def linear_svm_model(spark, sf_dir):
-    return _fit_figures(spark, sf_dir, lambda tr: M.fit_linear_svm(tr, max_iter=ITERATIONS))
+    return _fit_figures(spark, sf_dir, lambda tr: M.fit_linear_svm(tr))
 
 
 @query("logistic_model")
 def logistic_model(spark, sf_dir):
-    return _fit_figures(spark, sf_dir, lambda tr: M.fit_logistic(tr, max_iter=ITERATIONS), "expected_round")
+    return _fit_figures(spark, sf_dir, lambda tr: M.fit_logistic(tr), "expected_round")
 
 
 @query("boosted_model")
 def boosted_model(spark, sf_dir):
     """Boosted trees per class with early stopping, and their strongest terms."""
     train, val, test = parts(spark, sf_dir)
-    small = M.Recipe(max_features=60)
-    tfidf, (tr, va, te) = M.vectors(train, [val, test], small)
-    model = M.fit_boosted(tr, va, trees=3, depth=3)
+    tfidf, (tr, va, te) = M.vectors(train, [val, test], RECIPE)
+    model = M.fit_boosted(tr, va)
     figures = E.rounded(E.evaluate(M.predict(model, te, "expected_round")), 4)
     top = spark.createDataFrame(M.importance(model, tfidf, 5), "rank int, term string, value double")
     return top.select("rank", "term", F.round("value", 4).alias("value"),
@@ -354,7 +351,7 @@ def boosted_model(spark, sf_dir):
 def model_selection(spark, sf_dir):
     """Validation figures of each kind and mode, and the test figures of the chosen one."""
     train, val, test = parts(spark, sf_dir)
-    model, figures = M.train_and_select(train, val, RECIPE, max_iter=ITERATIONS)
+    model, figures = M.train_and_select(train, val, RECIPE)
     final = M.one_row(E.evaluate(model.predict(test)), model=model.meta["model"], mode=model.mode)
     return E.rounded(M.one_row(figures, part="validation").unionByName(M.one_row(final, part="test")), 4)
 
@@ -363,8 +360,8 @@ def model_selection(spark, sf_dir):
 def saved_model(spark, sf_dir):
     """A saved and reloaded model scores the unmeasurable postings too, out of its scope."""
     train, val, _ = parts(spark, sf_dir)
-    model, _ = M.train_and_select(train, val, RECIPE, ("logistic",), max_iter=ITERATIONS)
-    path = ensure_checkpoint_dir(spark) + "/urgency_model"
+    model, _ = M.train_and_select(train, val, RECIPE, ("logistic",))
+    path = f"{ensure_checkpoint_dir(spark)}/urgency-model-{uuid.uuid4().hex}"
     model.save(spark, path)
     again = M.UrgencyModel.load(spark, path)
     scored = again.predict_with_scope(labelled(spark, sf_dir).select("row_id", "source", "raw_text", "y"))
@@ -376,13 +373,13 @@ def saved_model(spark, sf_dir):
 def transfer_study(spark, sf_dir):
     """Leave one source out, under old and new labels, with and without class weights."""
     rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
-    return E.rounded(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False), ITERATIONS), 4)
+    return E.rounded(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)), 4)
 
 
 @query("struct_ablation")
 def struct_ablation(spark, sf_dir):
     rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
-    return E.rounded(M.struct_ablation(rows, "y", RECIPE, 50, ITERATIONS), 4)
+    return E.rounded(M.struct_ablation(rows, "y", RECIPE, 50), 4)
 
 
 @query("leakage_ablation")
@@ -392,7 +389,7 @@ def leakage_ablation(spark, sf_dir):
         "row_id", "source", "raw_text", "y"), "y", least=2)), "stratum")
     split = cut_lineage(rows)
     return E.rounded(M.leakage(split.where("split = 'train'"), split.where("split = 'test'"),
-                               recipe=RECIPE, max_iter=ITERATIONS), 4)
+                               recipe=RECIPE), 4)
 
 
 @query("source_classifier")
@@ -400,7 +397,7 @@ def source_classifier(spark, sf_dir):
     """Accuracy of telling the source from the text after each cleaning stage."""
     rows = cut_lineage(X.stratified_split(postings(spark, sf_dir).select("row_id", "source", "raw_text"), "source"))
     accuracy, words = M.source_classifier(rows.where("split = 'train'"), rows.where("split = 'test'"),
-                                          RECIPE, 5, ITERATIONS)
+                                          RECIPE, 5)
     best = words.groupBy("stage").agg(F.count(F.lit(1)).alias("listed_words"))
     return E.rounded(accuracy.join(best, "stage"), 4)
 
@@ -410,6 +407,6 @@ def fallback_against_model(spark, sf_dir):
     """Constant, vocabulary fallback and the text model on the same test rows."""
     train, _, test = parts(spark, sf_dir)
     _, (tr, te) = M.vectors(train, [test], RECIPE)
-    scored = M.predict(M.fit_logistic(tr, max_iter=ITERATIONS), te, "expected_round")
+    scored = M.predict(M.fit_logistic(tr), te, "expected_round")
     return E.rounded(M.fallback_check(train, scored, {
         "vocabulary": U.fallback_level(F.col("add"), 2, 0.25), "model": F.col("p")}), 4)

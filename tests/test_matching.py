@@ -69,7 +69,7 @@ def spark_result(df, entity):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_product_matcher_equals_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(M, "LOOKUP_BYTES", 0)
     pool, queries, idf, (p, q, w) = make(spark)
     modes = list(M.SCORERS)
     got = M.top_matches_by_scheme(q, p, w, 5, modes).cache()
