@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gonggo.functions.joins import small_side
+from gonggo.session import written
 
 HASH_BITS = 60
 # Rows that one slice of a group is to hold, about.
@@ -31,9 +32,11 @@ def rank_in_group(df: DataFrame, group: list[str], order_key: str, tie: str,
     """Rank (from 1) of each row in its group by the hash `order_key`, then `tie`.
 
     The key is a hash, so equal-width slices hold about the same number of rows
-    however many rows a group has; how many slices there are follows from the largest group. Adds
-    `out` and the group's size `out`_n.
+    however many rows a group has; how many slices there are follows from the largest group. `df`
+    should be narrow: it is written once, and sizes and ranks read that. Adds `out` and the group's
+    size `out`_n.
     """
+    df = written(df, "ranked")
     largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     width = (1 << HASH_BITS) // max(1, -(-largest // slice_rows))
     sliced = df.withColumn("_slice", F.expr(f"{order_key} div {width}"))

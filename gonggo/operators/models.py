@@ -145,20 +145,18 @@ class Recipe:
     stop_words: tuple = ()
 
 
-def _prepared(df: DataFrame, recipe: Recipe, label: str | None = None) -> DataFrame:
+def _prepared(df: DataFrame, recipe: Recipe) -> DataFrame:
     out = structured_features(df) if recipe.use_struct else df
-    out = out.withColumn("_text", textprep.apply_variant(F.col("raw_text"), F.col("source"),
-                                                         recipe.variant))
-    return out.withColumn(LABEL, (F.col(label) - 1).cast("double")) if label else out
+    return out.withColumn("_text", textprep.apply_variant(F.col("raw_text"), F.col("source"),
+                                                          recipe.variant))
 
 
-def vectors(train: DataFrame, others: list[DataFrame], recipe: Recipe, label: str = "y"):
-    """(tfidf model or None, [train, *others] with features, label and weight).
+def text_vectors(train: DataFrame, others: list[DataFrame], recipe: Recipe):
+    """(tfidf model or None, [train, *others] with features); labels play no part.
 
-    The training rows are written to the checkpoint folder once, since every
-    iteration of a fit scans them.
+    The training rows are written once, since fitting scans them twice.
     """
-    tables = [_prepared(d, recipe, label) for d in [train, *others]]
+    tables = [_prepared(d, recipe) for d in [train, *others]]
     tfidf, columns = None, []
     if recipe.use_text:
         tables[0] = cut_lineage(tables[0])
@@ -168,9 +166,22 @@ def vectors(train: DataFrame, others: list[DataFrame], recipe: Recipe, label: st
         columns.append("tfidf")
     if recipe.use_struct:
         columns += features.struct_columns()
-    done = [features.stacked(t, columns, FEATURES).drop("_text", "tfidf") for t in tables]
-    done[0] = cut_lineage(features.with_class_weight(done[0], LABEL, WEIGHT))
-    return tfidf, done
+    return tfidf, [features.stacked(t, columns, FEATURES).drop("_text", "tfidf", "raw_text") for t in tables]
+
+
+def with_labels(df: DataFrame, label: str) -> DataFrame:
+    return df.withColumn(LABEL, (F.col(label) - 1).cast("double"))
+
+
+def weighted_rows(df: DataFrame, label: str) -> DataFrame:
+    """Training rows with label and class weight, written once: every iteration of a fit scans them."""
+    return cut_lineage(features.with_class_weight(with_labels(df, label), LABEL, WEIGHT))
+
+
+def vectors(train: DataFrame, others: list[DataFrame], recipe: Recipe, label: str = "y"):
+    """(tfidf model or None, [train, *others] with features, label and weight)."""
+    tfidf, done = text_vectors(train, others, recipe)
+    return tfidf, [weighted_rows(done[0], label), *(with_labels(d, label) for d in done[1:])]
 
 
 # ---------------------------------------------------------------- the urgency model
@@ -297,11 +308,11 @@ def transfer(df: DataFrame, labels: dict[str, str], recipe: Recipe = Recipe(),
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
     held_out = sorted(r[0] for r in sizes.select(source).collect())
     parts = []
-    for tag, label in labels.items():
-        for name in held_out:
-            rest, own = df.where(F.col(source) != name), df.where(F.col(source) == name)
-            tfidf, (tr, te) = vectors(rest, [own], recipe, label)
-            te = cut_lineage(te)
+    for name in held_out:
+        rest, own = df.where(F.col(source) != name), df.where(F.col(source) == name)
+        seen, unseen = (cut_lineage(d) for d in text_vectors(rest, [own], recipe)[1])
+        for tag, label in labels.items():
+            tr, te = weighted_rows(seen, label), with_labels(unseen, label)
             constant = metrics.constant_of(rest, label)
             base = metrics.evaluate(te.withColumn("p", F.lit(constant)), label).select(
                 F.col("mae").alias("base_mae"), F.col("off_by_1").alias("base_off_by_1"))

@@ -256,13 +256,13 @@ _FALLBACK = "greatest(1, least(5, CAST(floor(2 + add * 0.25 + 0.5) AS INTEGER)))
 
 
 @query("fallback_check", over_corpus(figures_sql(f"""(
-    SELECT 'constant' AS predictor, y, CAST((SELECT trunc(quantile_cont(y, 0.5)) FROM labelled WHERE source = 'saramin') AS INTEGER) AS p FROM labelled WHERE source = 'jobkorea'
-    UNION ALL SELECT 'vocabulary', y, {_FALLBACK} FROM labelled WHERE source = 'jobkorea'
-    UNION ALL SELECT 'old_rule', y, y_old FROM labelled WHERE source = 'jobkorea')""", "predictor"), LABELLED_SQL))
+    SELECT 'constant' AS predictor, y, CAST((SELECT trunc(quantile_cont(y, 0.5)) FROM labelled WHERE source = 'saramin') AS INTEGER) AS p FROM labelled WHERE source <> 'saramin'
+    UNION ALL SELECT 'vocabulary', y, {_FALLBACK} FROM labelled WHERE source <> 'saramin'
+    UNION ALL SELECT 'old_rule', y, y_old FROM labelled WHERE source <> 'saramin')""", "predictor"), LABELLED_SQL))
 def fallback_check(spark, sf_dir):
-    """Constant (median of the other source), vocabulary fallback and another predictor."""
+    """Constant (median of one source, on the others), vocabulary fallback and another predictor."""
     rows = labelled(spark, sf_dir).select("source", "y", "y_old", "add")
-    out = M.fallback_check(rows.where("source = 'saramin'"), rows.where("source = 'jobkorea'"), {
+    out = M.fallback_check(rows.where("source = 'saramin'"), rows.where("source <> 'saramin'"), {
         "vocabulary": U.fallback_level(F.col("add"), 2, 0.25), "old_rule": F.col("y_old")})
     return E.rounded(out)
 
@@ -356,30 +356,56 @@ def model_selection(spark, sf_dir):
     return E.rounded(M.one_row(figures, part="validation").unionByName(M.one_row(final, part="test")), 4)
 
 
-@query("saved_model")
+@query("saved_model", over_corpus("""SELECT source, measurable AS in_scope, count(*) AS n, true AS same_after_load
+    FROM labelled GROUP BY 1, 2""", LABELLED_SQL))
 def saved_model(spark, sf_dir):
-    """A saved and reloaded model scores the unmeasurable postings too, out of its scope."""
+    """A saved and reloaded model predicts every posting as it did before, in and out of its scope."""
     train, val, _ = parts(spark, sf_dir)
     model, _ = M.train_and_select(train, val, RECIPE, ("logistic",))
     path = f"{ensure_checkpoint_dir(spark)}/urgency-model-{uuid.uuid4().hex}"
     model.save(spark, path)
-    again = M.UrgencyModel.load(spark, path)
-    scored = again.predict_with_scope(labelled(spark, sf_dir).select("row_id", "source", "raw_text", "y"))
-    return scored.groupBy("source", "in_scope", "p").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("p") == F.col("y")).cast("double")), 4).alias("agreement"))
+    before = model.predict(labelled(spark, sf_dir).select("row_id", "source", "raw_text")).select(
+        "row_id", "source", "raw_text", F.col("p").alias("before"))
+    scored = M.UrgencyModel.load(spark, path).predict_with_scope(before)
+    return scored.groupBy("source", "in_scope").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.col("p") == F.col("before")).alias("same_after_load"))
 
 
-@query("transfer_study")
+def _held_out_sql(tag: str, y: str, weightings: tuple[str, ...]) -> str:
+    """Rows of each held-out source and the constant of the others, for one label version."""
+    return f"""SELECT '{tag}' AS label, t.source AS target, w.weighting, count(*) AS n, any_value(c.c) AS base_const,
+      round(avg(abs(t.{y} - c.c)), 4) AS base_mae, true AS complete
+    FROM measured t JOIN (SELECT s.source, CAST(trunc((SELECT quantile_cont(x.{y}, 0.5) FROM measured x
+        WHERE x.source <> s.source)) AS INTEGER) AS c FROM measured s GROUP BY s.source HAVING count(*) >= 50) c USING (source),
+      (VALUES {", ".join(f"('{w}')" for w in weightings)}) w(weighting) GROUP BY t.source, w.weighting"""
+
+
+_MEASURED = "measured AS (SELECT * FROM labelled WHERE measurable)"
+
+
+def _checked(figures: DataFrame, *keys: str) -> DataFrame:
+    """What a study rests on, and whether the model gave all figures, within their ranges."""
+    shares = [F.col(c).between(0, 1) for c in ("off_by_1", "macro_f1", "accuracy")]
+    complete = F.coalesce(F.col("mae").between(0, 4) & shares[0] & shares[1] & shares[2], F.lit(False))
+    return figures.select(*keys, "label", "target", "weighting", "n", "base_const",
+                          F.round("base_mae", 4).alias("base_mae"), complete.alias("complete"))
+
+
+@query("transfer_study", over_corpus(" UNION ALL ".join(
+    _held_out_sql(tag, y, ("balanced", "plain")) for tag, y in (("v2", "y_old"), ("v5", "y"))), LABELLED_SQL, _MEASURED))
 def transfer_study(spark, sf_dir):
     """Leave one source out, under old and new labels, with and without class weights."""
     rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
-    return E.rounded(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)), 4)
+    return _checked(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)))
 
 
-@query("struct_ablation")
+@query("struct_ablation", over_corpus(
+    f"SELECT * FROM (VALUES ('text'), ('text+struct'), ('struct')) f(feature_set), ({_held_out_sql('y', 'y', ('balanced',))})",
+    LABELLED_SQL, _MEASURED))
 def struct_ablation(spark, sf_dir):
+    """The same on text, text and structured features, and structured features only."""
     rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
-    return E.rounded(M.struct_ablation(rows, "y", RECIPE, 50), 4)
+    return _checked(M.struct_ablation(rows, "y", RECIPE, 50), "feature_set")
 
 
 @query("leakage_ablation")

@@ -47,7 +47,12 @@ def tech_extraction(spark, sf_dir):
         "row_id", F.concat_ws("|", "t").alias("techs"))
 
 
-@query("document_techs")
+_ALIASES = ", ".join(f"('{a}', '{t}')" for a, t in sorted(T.DEFAULT.aliases.items()))
+
+
+@query("document_techs", f"""SELECT tech, count(*) AS n FROM (SELECT DISTINCT doc_id, tech
+    FROM documents, (VALUES {_ALIASES}) a(alias, tech) WHERE contains(lower(text), alias)
+      AND regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(alias) || '($|[^a-z0-9])')) GROUP BY tech""")
 def document_techs(spark, sf_dir):
     """Technologies named in the documents, whole texts."""
     docs = read(spark, sf_dir, "documents")

@@ -99,13 +99,12 @@ def brand_cooccurrence(spark, sf_dir):
 
 # ---------------------------------------------------------------- regions
 
-# three nations have no coordinates, as an address service leaves some places out
 _MAPPED = """mapped AS (SELECT p.*, n_nationkey * 1.5 AS lat, n_regionkey * 10.25 AS lon
-    FROM postings p JOIN nation ON n_name = location WHERE n_nationkey >= 3)"""
+    FROM postings p JOIN nation ON n_name = location)"""
 
 
 def mapped(spark, sf_dir):
-    coords = read(spark, sf_dir, "nation").where("n_nationkey >= 3").select(
+    coords = read(spark, sf_dir, "nation").select(
         F.col("n_name").alias("location"), (F.col("n_nationkey") * 1.5).alias("lat"),
         (F.col("n_regionkey") * 10.25).alias("lon"))
     return D.on_map(postings(spark, sf_dir), coords)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -52,13 +54,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once and read it from there after.
+    """`df` written once and read from there after.
 
-    Used before a table is scanned by several jobs (model fits, scheme
-    comparisons). The files outlive any executor.
+    Used before a table is scanned by several jobs (model fits, scheme comparisons). The files
+    outlive any executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -95,3 +96,18 @@ def lookup(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """
     stage = written(df, "lookup")
     return F.broadcast(stage) if measured_bytes(stage) <= max_bytes else stage
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for the jobs that run inside; the setting is put back after.
+
+    For jobs on long texts: a task holds a few MB of them at a time, on both sides of the pipe.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
