@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -36,7 +36,7 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes as one uint8 array and its n + 1 row offsets; null counts as empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(pa.scalar("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"", column.type))
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -78,7 +78,7 @@ BLANK_WORDS = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 LETTER_WORDS = byte_table(b"", b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64."""
     p = 0xD6E8FEB86659FD93
@@ -121,7 +121,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray,
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's mapped bytes."""
-    size = 1 << max(int(len(data)).bit_length(), 16)
+    size = 1 << max(int(len(data)).bit_length(), 20)
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[table[data]] * up[:len(data)], out=total[1:])

@@ -12,18 +12,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SENT = "bucket int, block int, keys binary"
+SENT = "bucket int, keys binary, blocks binary"
 ANSWERED = "block int, keys binary"
 # Keys a sender holds before it sends them.
 HELD_KEYS = 2_000_000
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class Sender:
-    """Gathers keys by block and gives them out as packed rows; more than two of one kind go as two."""
+    """Gathers keys and their blocks, and gives them out as packed rows, one for each bucket.
+
+    What a sender meets twice it knows to be repeated: it tells the blocks itself, in rows that only pass
+    through (their bucket is below 0), and the bucket gets the key once, without a block to answer.
+    """
 
     def __init__(self, buckets: int):
         self.buckets, self.keys, self.blocks, self.held = buckets, [], [], 0
@@ -40,58 +44,72 @@ class Sender:
             return
         keys, blocks = np.concatenate(self.keys), np.concatenate(self.blocks).astype(np.int32)
         self.keys, self.blocks, self.held = [], [], 0
-        order = np.lexsort((keys, blocks))
+        order = np.argsort(keys, kind="stable")
         keys, blocks = keys[order], blocks[order]
-        third = np.zeros(len(keys), bool)
-        third[2:] = (keys[2:] == keys[:-2]) & (blocks[2:] == blocks[:-2])
-        keys, blocks = keys[~third], blocks[~third]
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        twice = again.copy()
+        twice[:-1] |= again[1:]
+        yield from self._pass(keys[twice], blocks[twice])
+        blocks[twice] = -1
+        keys, blocks = keys[~again], blocks[~again]
         buckets = ((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
-        new = np.ones(len(keys), bool)
-        new[1:] = (blocks[1:] != blocks[:-1]) | (buckets[1:] != buckets[:-1])
-        begin = np.flatnonzero(new)
-        ends = np.append(begin[1:], len(keys))
-        for low in range(0, len(begin), 2000):
-            part = slice(low, low + 2000)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(buckets[begin[part]]), pa.array(blocks[begin[part]]),
-                pa.array([keys[a:b].tobytes() for a, b in zip(begin[part], ends[part])], pa.binary())],
-                ["bucket", "block", "keys"])
-
-
-def _answers(blocks: list[int], packed: list[bytes]) -> pa.RecordBatch | None:
-    keys = [np.frombuffer(p, np.uint64) for p in packed]
-    every = np.sort(np.concatenate(keys))
-    again = np.unique(every[1:][every[1:] == every[:-1]])
-    if not len(again):
-        return None
-    out = []
-    for block, own in zip(blocks, keys):
-        own = np.unique(own)
-        at = np.minimum(np.searchsorted(again, own), len(again) - 1)
-        if (found := own[again[at] == own]).size:
-            out.append((block, found.tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()),
-                                       pa.array([k for _, k in out], pa.binary())], ["block", "keys"])
+        begin = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        yield self._rows(buckets[begin], np.split(keys, begin[1:]), np.split(blocks, begin[1:]))
+
+    def _pass(self, keys: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            order = np.lexsort((keys, blocks))
+            keys, blocks = keys[order], blocks[order]
+            begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+            yield self._rows(-1 - blocks[begin], [np.unique(k) for k in np.split(keys, begin[1:])], [np.zeros(0, np.int32)] * len(begin))
+
+    @staticmethod
+    def _rows(buckets: np.ndarray, keys: list[np.ndarray], blocks: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()),
+             pa.array([b.tobytes() for b in blocks], pa.binary())], ["bucket", "keys", "blocks"])
+
+
+def _answers(bucket: int, packed: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """Each block's keys of one bucket that came more than once, or from a sender that knew it."""
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in packed])
+    if bucket < 0:
+        return pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([np.unique(keys).tobytes()], pa.binary())],
+                                          ["block", "keys"])
+    blocks = np.concatenate([np.frombuffer(b, np.int32) for _, b in packed])
+    order = np.argsort(keys, kind="stable")
+    keys, blocks = keys[order], blocks[order]
+    repeated = blocks < 0
+    repeated[1:] |= keys[1:] == keys[:-1]
+    repeats = np.unique(keys[repeated])
+    asked = is_known(keys, repeats) & (blocks >= 0)
+    keys, blocks = keys[asked], blocks[asked]
+    order = np.argsort(blocks, kind="stable")
+    keys, blocks = keys[order], blocks[order]
+    begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else np.zeros(0, np.int64)
+    parts = np.split(keys, begin[1:]) if len(begin) else []
+    return pa.RecordBatch.from_arrays([pa.array(blocks[begin], pa.int32()), pa.array([np.unique(p).tobytes() for p in parts], pa.binary())],
+                                      ["block", "keys"])
 
 
 def repeated(sent: DataFrame) -> DataFrame:
     """For each block, its keys that were sent at least twice in all, in any blocks.
 
-    A key comes to its bucket at most twice from each batch of a block, so a key that a third of all
-    rows hold is no larger there than the number of blocks. A task holds one bucket at a time.
+    A key comes to its bucket at most once from each batch of keys, so one that a third of all rows
+    hold is no larger there than the number of batches. A task holds one bucket at a time.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, blocks, packed = None, [], []
+        current, packed = None, []
         for batch in batches:
-            for bucket, block, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != current:
-                    if packed and (out := _answers(blocks, packed)):
-                        yield out
-                    current, blocks, packed = bucket, [], []
-                blocks.append(block)
-                packed.append(keys)
-        if packed and (out := _answers(blocks, packed)):
-            yield out
+            for bucket, keys, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != current and packed:
+                    yield _answers(current, packed)
+                    packed = []
+                current = bucket
+                packed.append((keys, blocks))
+        if packed:
+            yield _answers(current, packed)
 
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, ANSWERED)
 

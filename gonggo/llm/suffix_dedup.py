@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.bytetext import mix
 from gonggo.llm.names import fresh
-from gonggo.session import lookup, written
+from gonggo.session import arrow_rows, lookup, written
 
 LENGTH, GRAM = 100, 32
 # Different surroundings of one gram that a task sorts as one suffix array; more are split by string.
-GROUP_ROWS = 2048
+GROUP_ROWS = 512
+# Texts or contexts that one Arrow batch holds.
+BATCH_ROWS = 1000
 _PLACE_BITS = np.uint64(28)
 
 
@@ -129,7 +131,7 @@ _ARROW_SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc (a null id comes first), tie (text hash), block and text."""
-    blocks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = exchange.bucket_count(docs.sparkSession)
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)).alias("doc"),
                         F.xxhash64(value).alias("tie"), value.alias("text"))
@@ -255,7 +257,7 @@ def _split_groups(hot: DataFrame, length: int) -> DataFrame:
     learns which of its strings begin earlier elsewhere, and knows the order of its own.
     """
     spark = hot.sparkSession
-    buckets, blocks = exchange.bucket_count(spark), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = blocks = exchange.bucket_count(spark)
     hot = written(hot.withColumn("block", F.pmod(F.xxhash64("doc", "tie", "at"), F.lit(blocks)).cast("int")), "split")
 
     def send(rows: pa.Table) -> pa.Table:
@@ -333,7 +335,8 @@ def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", d
     `group_rows` are split over all tasks, string by string, with the same result.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    spans = lookup(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        spans = lookup(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows))
     d, t, doc, tie, found = fresh(docs, "d", "t", "doc", "tie", "found")
     spans = spans.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(found))
     keyed = docs.withColumns({d: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)), t: F.xxhash64(value)})
