@@ -19,11 +19,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.components import components
-from gonggo.session import lookup, written
+from gonggo.session import arrow_rows, lookup, written
 
 # Counters of the frequency sketch (1 MB when broadcast as classes) and the longest l.
 SLOTS, LONGEST_MATCH = 1 << 20, 8
+# 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
+# Texts or sets that one Arrow batch holds.
+BATCH_ROWS = 1000
 _SLOT_SHIFT, _PART = np.uint64(44), 4096
+_CELL = np.dtype([("slot", "u2"), ("count", "u4")])
 
 
 @dataclass(frozen=True)
@@ -78,18 +83,20 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
             for low, high in bytetext.slices(offsets):
                 hashes, _ = shingles(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
                 total += np.bincount((hashes >> _SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
-        yield from _parts(total.reshape(-1, _PART))
-
-    def _parts(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)),
-                                          pa.array([rows[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
+        met = np.flatnonzero(total)
+        cells = np.empty(len(met), _CELL)
+        cells["slot"], cells["count"] = met % _PART, total[met]
+        parts, begin = np.unique(met // _PART, return_index=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts.astype(np.int32)), pa.array([c.tobytes() for c in np.split(cells, begin[1:])][:len(parts)], pa.binary())],
+            ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+                cells = np.frombuffer(counts, _CELL)
+                total.setdefault(part, np.zeros(_PART, np.int64))[cells["slot"]] += cells["count"]
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
                                               pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
@@ -105,7 +112,8 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 _PREFIXES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("n", T.LongType()),
-    T.StructField("sid", T.LongType()), T.StructField("ell", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    T.StructField("sid", T.LongType()), T.StructField("ell", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("odd", T.ArrayType(T.LongType()))])
 _SET_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -145,8 +153,20 @@ def _match_lengths(classes: np.ndarray, hashes: np.ndarray, first: np.ndarray, s
     return ell
 
 
+def parity_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row, which of 64 * SKETCH_WORDS cells an odd number of its n-grams falls into.
+
+    Two sets differ in at least as many n-grams as their sketches differ in bits.
+    """
+    bits = 64 * SKETCH_WORDS
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    cells = np.bincount(row * bits + (bytetext.mix(hashes) % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
+    return np.packbits((cells & 1).astype(bool).reshape(len(sizes), bits), axis=1).view(np.int64)
+
+
 def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, block, n (set size), sid (hash of the set), ell and prefix of each document, as a written stage."""
+    """doc_id, block, n (set size), sid (hash of the set), ell, tokens (the prefix) and odd (the parity
+    sketch) of each document, as a written stage."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text, rule.n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,18 +183,24 @@ def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "
                 tokens = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(hashes[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(np.full(high - low, block, np.int32)),
-                     pa.array(sizes.astype(np.int64)), pa.array(sid), pa.array(ell.astype(np.int32)), tokens],
-                    ["doc_id", "block", "n", "sid", "ell", "tokens"])
+                     pa.array(sizes.astype(np.int64)), pa.array(sid), pa.array(ell.astype(np.int32)), tokens,
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SKETCH_WORDS, pa.int32()),
+                                              pa.array(parity_sketches(hashes, sizes).ravel()))],
+                    ["doc_id", "block", "n", "sid", "ell", "tokens", "odd"])
 
     chosen = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
     return written(chosen.mapInArrow(read, _PREFIXES), "prefixes")
 
 
-_POSTINGS = "token long, sid long, n long, ell int, pos int"
+_POSTINGS = "token long, sid long, n long, ell int, pos int, most long"
 
 
-def postings(stage: DataFrame) -> DataFrame:
-    """token, sid, n, ell, pos: the prefix n-grams that several documents have, once per set."""
+def postings(stage: DataFrame, rule: Rule) -> DataFrame:
+    """token, sid, n, ell, pos, most: the prefix n-grams that several documents have, once per set.
+
+    `most` is the largest overlap the set can have with any other: its size without the n-grams of its
+    prefix that no other document has. Sets for which that is not enough are left out.
+    """
     spark = stage.sparkSession
     buckets = exchange.bucket_count(spark)
 
@@ -195,30 +221,62 @@ def postings(stage: DataFrame) -> DataFrame:
         row = np.repeat(np.arange(len(counts)), counts)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
         keep = exchange.is_known(tokens.view(np.uint64), keys)
-        of = pa.array(row[keep])
-        return pa.table({"token": tokens[keep], "sid": rows["sid"].take(of), "n": rows["n"].take(of),
-                         "ell": rows["ell"].take(of), "pos": pos[keep].astype(np.int32)})
+        n = rows["n"].to_numpy()
+        most = n - counts + np.bincount(row[keep], minlength=len(counts))
+        keep &= (most >= rule.least_overlap(n))[row]
+        of = row[keep]
+        return pa.table({"token": tokens[keep], "sid": rows["sid"].take(pa.array(of)), "n": n[of],
+                         "ell": rows["ell"].take(pa.array(of)), "pos": pos[keep].astype(np.int32), "most": most[of]})
 
     some = stage.where("n > 0")
     answers = exchange.repeated(some.select("block", "tokens").mapInArrow(send, exchange.SENT))
     found = some.select("block", "sid", "n", "ell", "tokens").groupBy("block").cogroup(
         answers.groupBy("block")).applyInArrow(match, _POSTINGS)
     return written(found.groupBy("token", "sid").agg(
-        F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos")), "postings")
+        F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos"), F.min("most").alias("most")),
+        "postings")
+
+
+def _renamed(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"])
+    return _renamed(rows, side).withColumnRenamed(f"token_{side}", "token")
 
 
 def _matches(rule: Rule) -> Column:
     """Whether an n-gram lies within both prefixes of the pair's own l."""
     need = rule.need(F.col("n_x"), F.col("n_y"))
     ell = F.least("ell_x", "ell_y")
-    return ((need <= F.least("n_x", "n_y")) & (F.col("pos_x") < F.col("n_x") - need + ell)
+    return ((need <= F.least("most_x", "most_y")) & (F.col("pos_x") < F.col("n_x") - need + ell)
             & (F.col("pos_y") < F.col("n_y") - need + ell))
 
 
+def _first_match(rule: Rule) -> Column:
+    """Whether an n-gram lies where the first one that a linked pair shares must lie: in both shortest prefixes."""
+    need = rule.need(F.col("n_x"), F.col("n_y"))
+    return ((need <= F.least("most_x", "most_y")) & (F.col("pos_x") <= F.col("n_x") - need)
+            & (F.col("pos_y") <= F.col("n_y") - need))
+
+
+def _may_be_near(rule: Rule) -> Column:
+    """Whether the sketches leave room for a link: they differ in no more bits than the sets may in n-grams."""
+    differ = sum((F.bit_count(F.col("odd_x")[i].bitwiseXOR(F.col("odd_y")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return differ <= F.col("n_x") + F.col("n_y") - 2 * rule.need(F.col("n_x"), F.col("n_y"))
+
+
+def _shares_enough(rule: Rule) -> Column:
+    """Whether the pair's prefixes, as long as its own l asks for, share l n-grams."""
+    need = rule.need(F.col("n_x"), F.col("n_y"))
+    ell = F.least(F.least("ell_x", "ell_y").cast("bigint"), need)
+
+    def prefix(side: str) -> Column:
+        return F.slice(f"tokens_{side}", F.lit(1), (F.col(f"n_{side}") - need + ell).cast("int"))
+
+    return F.size(F.array_intersect(prefix("x"), prefix("y"))) >= ell
+
+
 def _candidates(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (sid_x, sid_y) that share as many prefix n-grams as their l asks for."""
     need = F.least(F.least("ell_x", "ell_y").cast("bigint"), rule.need(F.col("n_x"), F.col("n_y")))
@@ -239,19 +297,25 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
     @F.arrow_udf(T.StructType([T.StructField("sid", T.LongType()), T.StructField("members", T.BinaryType())]))
     def sets(column: pa.Array) -> pa.Array:
         data, offsets = bytetext.text_bytes(column)
-        sids, members = [], []
+        sids, members, sizes_of = [], [], []
         for low, high in bytetext.slices(offsets):
             hashes, first, sizes, sid = _sorted_sets(
                 data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rule.n)
             sids.append(sid)
-            members += [hashes[a:a + k].tobytes() for a, k in zip(first.tolist(), sizes.tolist())]
+            members.append(hashes)
+            sizes_of.append(sizes)
+        where = (np.concatenate([[0], np.cumsum(np.concatenate(sizes_of or [[]]))]) * 8).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(where) - 1, [
+            None, pa.py_buffer(where), pa.py_buffer(np.concatenate(members or [np.zeros(0, np.uint64)]))])
         return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(sids) if sids else [], pa.int64()), pa.array(members, pa.binary())], ["sid", "members"])
+            [pa.array(np.concatenate(sids) if sids else [], pa.int64()), packed], ["sid", "members"])
 
     @F.arrow_udf(T.BooleanType())
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([rule.links(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
-                         for a, b in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+        x, in_x = bytetext.text_bytes(left)
+        y, in_y = bytetext.text_bytes(right)
+        return pa.array([rule.links(x[a:b].view(np.uint64), y[c:d].view(np.uint64))
+                         for a, b, c, d in zip(in_x, in_x[1:], in_y, in_y[1:])], pa.bool_())
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("__id"), F.col(text).cast("string").alias("__text"))
     read = texts.join(chosen, texts["__id"].eqNullSafe(chosen["__id"])).select("sid", sets("__text").alias("__set"))
@@ -267,13 +331,14 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
 
     First, each set is compared with one other: of those that come first in the lists of its n-grams
     (the ones whose own rare n-grams are fewest), the one it meets most often. In a group of near copies
-    that is its common source, so few components are left in each list. Then every pair of different
-    components that shares enough n-grams is compared. Pairs already connected need no comparison, so
-    a group of copies does not cost the square of its size and no link between components is missed.
+    that is its common source, so few components are left in each list. Then pairs of different
+    components are made, by the n-grams that a linked pair's first shared one can be and as far as their
+    sketches leave room, and those that share as many as their l asks for are compared. Pairs already connected need no comparison, so a group of
+    linked copies does not cost the square of its size, and no link between components is missed.
     """
-    rows = postings(stage)
-    heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos")])
+    rows = postings(stage, rule)
+    heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell", "most")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos", "most")])
     met = _candidates(_side(rows, "x").join(heads, "token").where("sid_x <> sid_y"), rule)
     star = met.groupBy("sid_x").agg(F.max(F.struct("shared", "sid_y")).alias("best"))
     star = written(star.select(F.least("sid_x", "best.sid_y").alias("a"), F.greatest("sid_x", "best.sid_y").alias("b")).distinct(), "pairs")
@@ -285,10 +350,17 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     several = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("k")).where("k > 1")
     open_rows = written(placed.join(several.select("token", "major"), "token"), "open")
+    asked = lookup(open_rows.select("sid").distinct())
+    own = stage.join(asked, "sid").select("sid", "tokens", "odd").dropDuplicates(["sid"])
+    prefix = lookup(own.select("sid", "tokens"))
+    open_rows = open_rows.join(lookup(own.select("sid", "odd")), "sid")
     minor = _side(open_rows.where("comp <> major"), "x").drop("major_x")
-    pairs = minor.join(_side(open_rows, "y"), "token").where(
-        "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)")
-    rest = _candidates(pairs, rule).select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+    met = minor.join(_side(open_rows, "y"), "token").where(
+        "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)").where(
+        _first_match(rule) & _may_be_near(rule)).select(
+        *[f"{c}_{side}" for side in "xy" for c in ("sid", "n", "ell")]).distinct()
+    rest = met.join(_renamed(prefix, "x"), "sid_x").join(_renamed(prefix, "y"), "sid_y").where(_shares_enough(rule)).select(
+        F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     second = verified(rest, stage, docs, rule, text=text, doc_id=doc_id)
     return components(first.unionByName(second))
@@ -307,8 +379,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, text: str = "tex
     Sets are compared by 64-bit hashes of their n-grams; equal hashes of different n-grams are not
     expected below some 10**9 in one pair.
     """
-    stage = prefixes(docs, rule, text=text, doc_id=doc_id)
-    roots = set_components(stage, docs, rule, text=text, doc_id=doc_id)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        stage = prefixes(docs, rule, text=text, doc_id=doc_id)
+        roots = set_components(stage, docs, rule, text=text, doc_id=doc_id)
     ids = stage.select("doc_id", "n", "sid")
     rooted = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(
         roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gonggo.llm import jaccard_join
@@ -83,6 +84,15 @@ def test_edges(spark):
     assert sorted(map(tuple, rows)) == [(0, 0), (1, 0), (1, 0), (1, 1)]
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [rng.choice(300, rng.integers(0, 80), replace=False).astype(np.uint64) for _ in range(30)]
+    odd = jaccard_join.parity_sketches(np.concatenate(sets), np.array([len(s) for s in sets])).view(np.uint8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.unpackbits(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
