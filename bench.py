@@ -15,7 +15,7 @@ from gonggo.session import build_session
 HEADLINE = (
     "related_techs", "cooccurrence", "region_top_techs", "tech_extraction", "posting_techs",
     "urgency_scores", "label_distribution", "reference_stats", "deadlines", "recommendation_pool",
-    "tech_idf", "recommend_length_norm", "compare_schemes", "text_fallback", "source_stop_words",
+    "tech_idf", "recommend_length_norm", "text_fallback", "source_stop_words",
     "copy_stats", "group_split", "tfidf_vocabulary", "fallback_grid", "page_texts",
     "logistic_model",
 )
