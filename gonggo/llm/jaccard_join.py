@@ -192,14 +192,14 @@ def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "
     return written(chosen.mapInArrow(read, _PREFIXES), "prefixes")
 
 
-_POSTINGS = "token long, sid long, n long, ell int, pos int, most long"
+_POSTINGS = "token long, sid long, n long, ell int, pos int"
 
 
-def postings(stage: DataFrame, rule: Rule) -> DataFrame:
-    """token, sid, n, ell, pos, most: the prefix n-grams that several documents have, once per set.
+def postings(stage: DataFrame) -> DataFrame:
+    """token, sid, n, ell, pos: the prefix n-grams that several documents have in their prefixes, once per set.
 
-    `most` is the largest overlap the set can have with any other: its size without the n-grams of its
-    prefix that no other document has. Sets for which that is not enough are left out.
+    An n-gram left out may still lie behind another document's prefix, so what is left of a set says nothing
+    about its largest overlap.
     """
     spark = stage.sparkSession
     buckets = exchange.bucket_count(spark)
@@ -221,20 +221,16 @@ def postings(stage: DataFrame, rule: Rule) -> DataFrame:
         row = np.repeat(np.arange(len(counts)), counts)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
         keep = exchange.is_known(tokens.view(np.uint64), keys)
-        n = rows["n"].to_numpy()
-        most = n - counts + np.bincount(row[keep], minlength=len(counts))
-        keep &= (most >= rule.least_overlap(n))[row]
-        of = row[keep]
-        return pa.table({"token": tokens[keep], "sid": rows["sid"].take(pa.array(of)), "n": n[of],
-                         "ell": rows["ell"].take(pa.array(of)), "pos": pos[keep].astype(np.int32), "most": most[of]})
+        of = pa.array(row[keep])
+        return pa.table({"token": tokens[keep], "sid": rows["sid"].take(of), "n": rows["n"].take(of),
+                         "ell": rows["ell"].take(of), "pos": pos[keep].astype(np.int32)})
 
     some = stage.where("n > 0")
     answers = exchange.repeated(some.select("block", "tokens").mapInArrow(send, exchange.SENT))
     found = some.select("block", "sid", "n", "ell", "tokens").groupBy("block").cogroup(
         answers.groupBy("block")).applyInArrow(match, _POSTINGS)
     return written(found.groupBy("token", "sid").agg(
-        F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos"), F.min("most").alias("most")),
-        "postings")
+        F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos")), "postings")
 
 
 def _renamed(rows: DataFrame, side: str) -> DataFrame:
@@ -249,15 +245,13 @@ def _matches(rule: Rule) -> Column:
     """Whether an n-gram lies within both prefixes of the pair's own l."""
     need = rule.need(F.col("n_x"), F.col("n_y"))
     ell = F.least("ell_x", "ell_y")
-    return ((need <= F.least("most_x", "most_y")) & (F.col("pos_x") < F.col("n_x") - need + ell)
-            & (F.col("pos_y") < F.col("n_y") - need + ell))
+    return (F.col("pos_x") < F.col("n_x") - need + ell) & (F.col("pos_y") < F.col("n_y") - need + ell)
 
 
 def _first_match(rule: Rule) -> Column:
     """Whether an n-gram lies where the first one that a linked pair shares must lie: in both shortest prefixes."""
     need = rule.need(F.col("n_x"), F.col("n_y"))
-    return ((need <= F.least("most_x", "most_y")) & (F.col("pos_x") <= F.col("n_x") - need)
-            & (F.col("pos_y") <= F.col("n_y") - need))
+    return (F.col("pos_x") <= F.col("n_x") - need) & (F.col("pos_y") <= F.col("n_y") - need)
 
 
 def _may_be_near(rule: Rule) -> Column:
@@ -336,9 +330,9 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
     sketches leave room, and those that share as many as their l asks for are compared. Pairs already connected need no comparison, so a group of
     linked copies does not cost the square of its size, and no link between components is missed.
     """
-    rows = postings(stage, rule)
-    heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell", "most")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos", "most")])
+    rows = postings(stage)
+    heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos")])
     met = _candidates(_side(rows, "x").join(heads, "token").where("sid_x <> sid_y"), rule)
     star = met.groupBy("sid_x").agg(F.max(F.struct("shared", "sid_y")).alias("best"))
     star = written(star.select(F.least("sid_x", "best.sid_y").alias("a"), F.greatest("sid_x", "best.sid_y").alias("b")).distinct(), "pairs")

@@ -76,6 +76,30 @@ def test_against_brute_force(spark):
         assert got(spark, docs, rule) == brute(docs, rule)
 
 
+def with_additions(rng, shares):
+    """Pairs of a text and the same with some % rare words at its end or in its middle, over frequent n-grams.
+
+    A third text makes the shared n-grams frequent; its own rare words keep them out of its prefix.
+    """
+    docs = []
+    for group, share in enumerate(shares):
+        base = [f"s{group}_{i}" for i in range(rng.randrange(100, 260))]
+        extra = [f"r{group}_{i}" for i in range(len(base) * share // 100)]
+        at = len(base) if group % 2 else len(base) // 2
+        docs += [(3 * group, " ".join(base)), (3 * group + 1, " ".join(base[:at] + extra + base[at:])),
+                 (3 * group + 2, " ".join(base * 40 + [f"f{group}_{i}" for i in range(len(base))]))]
+    return docs
+
+
+def test_added_rare_words(spark):
+    """Rare words in one text's prefix push shared n-grams out of it; the pair still links."""
+    for rule, shares in ((Rule(3, 90, 100), range(3, 11)), (Rule(5, 80, 100), range(3, 24))):
+        docs = with_additions(random.Random(11), shares)
+        want = brute(docs, rule)
+        assert sum(want[d][1] < d for d in want) > 4
+        assert got(spark, docs, rule) == want
+
+
 def test_edges(spark):
     assert got(spark, [], Rule()) == {}
     assert got(spark, [(None, "a b c d"), (3, "a b c d"), (4, None)], Rule()) == {None: (2, 3), 3: (2, 3), 4: (0, 4)}
