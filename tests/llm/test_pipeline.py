@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ import corpus_pipeline
 from gonggo.llm import decontaminate, packing
 
 from test_decontaminate import brute as brute_contamination
-from test_jaccard_join import brute as brute_components
+from test_jaccard_join import brute as brute_components, with_additions
 from test_packing import whole
 from test_suffix_dedup import brute as brute_repeats
 
@@ -81,3 +83,12 @@ def test_empty_and_repeated(spark, name):
         assert stage(spark, twice, SF).count() == 1
     elif name != "packing":
         assert stage(spark, twice, SF).count() in (0, 2)
+
+
+def test_near_copies_with_an_added_piece(spark):
+    """Near copies that differ by added rare words: only the first stays."""
+    docs = with_additions(random.Random(5), range(3, 24, 2))
+    rows = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    components = brute_components(docs, corpus_pipeline.NEAR)
+    assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in docs if components[d][1] == d)
+    assert len(rows) < len(docs) - 4
