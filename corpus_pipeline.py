@@ -32,16 +32,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Repeated rows of one id and text are copies, too. Documents without words or without an id stay.
+    Repeated rows of one id and text are copies, too. Documents without words or without an id stay. Of an
+    id that has several texts, only those go that are near copies of a document with a smaller id.
     """
     found = written(jaccard_join.jaccard_components(docs, NEAR), "near")
-    later = lookup(found.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    again = lookup(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    later = lookup(found.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id", "sid").distinct())
+    again = lookup(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(later.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    sid, = fresh(docs, "sid")
+    several = docs.join(again, "doc_id", "left_semi").withColumn(sid, jaccard_join.set_hash(F.col("text"), NEAR.n))
+    several = several.join(later.withColumnRenamed("sid", sid), ["doc_id", sid], "left_anti")
+    once = several.where(F.col(sid).isNotNull()).dropDuplicates(["doc_id", "text"])
+    return (kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(once.select(*docs.columns))
+            .unionByName(several.where(F.col(sid).isNull()).select(*docs.columns)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,6 +135,20 @@ def _sorted_sets(data: np.ndarray, offsets: np.ndarray, n: int, classes: np.ndar
     return hashes, first, sizes, bytetext.mix(sid + sizes.astype(np.uint64)).view(np.int64)
 
 
+def set_hash(text: Column, n: int) -> Column:
+    """The `sid` of a text's set of n-grams; null if it has none."""
+    @F.arrow_udf(T.LongType())
+    def read(column: pa.Array) -> pa.Array:
+        data, offsets = bytetext.text_bytes(column)
+        out = [pa.array([], pa.int64())]
+        for low, high in bytetext.slices(offsets):
+            _, _, sizes, sid = _sorted_sets(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
+            out.append(pa.array(sid, mask=sizes == 0))
+        return pa.concat_arrays(out)
+
+    return read(text.cast("string"))
+
+
 def _match_lengths(classes: np.ndarray, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
     """Each row's l of least estimated cost: postings met in the prefix, and candidates to verify.
 

@@ -92,3 +92,13 @@ def test_near_copies_with_an_added_piece(spark):
     components = brute_components(docs, corpus_pipeline.NEAR)
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in docs if components[d][1] == d)
     assert len(rows) < len(docs) - 4
+
+
+def test_texts_of_one_id(spark):
+    """Of an id with several texts, only the copy of an earlier document goes."""
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f g"), (3, "a b c d e f g"), (3, "h i j k l m n"), (3, None), (3, None), (3, " "),
+         (4, "o p q r s t"), (4, "o p q r s t"), (None, "a b c d e f g"), (5, "h i j k l m n")], "doc_id long, text string")
+    rows = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [
+        (1, "a b c d e f g"), (3, "h i j k l m n"), (3, None), (3, None), (3, " "), (4, "o p q r s t"), (None, "a b c d e f g")]))
