@@ -20,10 +20,13 @@ VOCABULARY = "byte_bpe_50k.json"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go.
 
-    The model learns from the documents themselves, except one in four, which are held out.
+    The model learns from the documents themselves, except one in four, which are held out. Without any
+    label to learn from, all documents with a letter stay.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = language.learned(docs, ~held_out)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     name, = fresh(docs, "language")
     found = language.with_language(docs, model, out=name)
     return found.where(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns)

@@ -102,3 +102,9 @@ def test_texts_of_one_id(spark):
     rows = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [
         (1, "a b c d e f g"), (3, "h i j k l m n"), (3, None), (3, None), (3, " "), (4, "o p q r s t"), (None, "a b c d e f g")]))
+
+
+def test_corpus_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "日本", None), (3, "12 %", None), (4, "", None), (5, None, None)],
+                                 "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()) == [1, 2]
