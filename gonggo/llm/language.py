@@ -8,15 +8,17 @@ kernel ridge regression on these vectors gives a value for each language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gonggo.llm.bytetext import text_bytes
+from gonggo.session import lookup, written
 
-# Bounds of the fit: labelled rows of each language and in all, and landmarks of each language.
+# Bounds of the fit: different labelled texts of each language and in all, and landmarks of each language.
 ROWS_PER_LANGUAGE, ROWS, LANDMARKS_PER_LANGUAGE = 300, 3000, 32
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -104,27 +106,40 @@ def fit(languages: list[str], seen: np.ndarray, labels: np.ndarray,
 
 def training_rows(docs: DataFrame, learn: Column, text: str, lang: str,
                   rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """About `rows` labelled texts of each language, packed as their presence bits.
+    """The `rows` different labelled texts of each language with the smallest hashes, packed as their presence bits.
 
-    Chosen by a hash of the text at each language's own rate, so no language is missed and no group is
-    sorted; what leaves a task is at most 16 KB per text, however long it is.
+    Copies of a text count once, so no language is missed and no copy group comes whole. Of each language
+    only about twice as many hashes as asked for are ranked; what leaves a task is at most 16 KB per
+    text, however long it is.
     """
     labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("__lang").count().collect()}
+        F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang")).withColumn(
+        "__order", F.xxhash64("__text"))
+    texts = written(labelled.select("__lang", "__order").distinct(), "labelled")
+    counts = {r[0]: r[1] for r in texts.groupBy("__lang").count().collect()}
     rows = min(rows, ROWS // max(len(counts), 1))
-    rates = F.create_map(*[x for k, n in sorted(counts.items())
-                           for x in (F.lit(k), F.lit(int(min(1.0, rows / n) * 1_000_000)))]) if counts else None
-    if rates is None:
-        return labelled.select("__lang", F.lit(None).cast("binary").alias("__bits")).limit(0)
-
-    @F.arrow_udf(T.BinaryType())
-    def packed(column: pa.Array) -> pa.Array:
-        data, offsets = text_bytes(column)
-        return pa.array([np.packbits(presence(data[a:b])).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
-
-    chosen = labelled.where(F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < rates[F.col("__lang")])
-    return chosen.select("__lang", packed("__text").alias("__bits"), F.xxhash64("__text").alias("__order"))
+    if not counts:
+        return labelled.select("__lang", F.lit(None).cast("binary").alias("__bits"), "__order").limit(0)
+    limits = F.create_map(*[x for k, n in sorted(counts.items()) for x in (
+        F.lit(k), F.lit(min((1 << 63) - 1, ((2 * rows + 100) << 64) // n - (1 << 63))).cast("bigint"))])
+    place = F.row_number().over(Window.partitionBy("__lang").orderBy("__order"))
+    smallest = texts.where(F.col("__order") <= limits[F.col("__lang")]).withColumn("__place", place)
+    chosen = lookup(smallest.where(F.col("__place") <= rows).select("__lang", "__order"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            first = [i for i, key in enumerate(keys) if not (key in met or met.add(key))]
+            if first:
+                one = batch.take(pa.array(first))
+                data, offsets = text_bytes(one.column(2))
+                bits = [np.packbits(presence(data[a:b])).tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.array(bits, pa.binary()), one.column(1)],
+                                                 ["__lang", "__bits", "__order"])
+
+    taken = labelled.join(chosen, ["__lang", "__order"]).select("__lang", "__order", "__text")
+    return taken.mapInArrow(packed, "__lang string, __bits binary, __order long").dropDuplicates(["__lang", "__order"])
 
 
 def learned(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang",

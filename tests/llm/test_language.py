@@ -65,3 +65,13 @@ def test_edges(spark):
     none = language.with_language(docs, None).select("language.*").distinct().collect()
     assert none == [("und", 0.0)]
     assert language.with_language(docs.limit(0), model).count() == 0
+
+
+def test_copies_count_once(spark):
+    """The bound holds with a large copy group, and a language of few much-repeated texts is not missed."""
+    docs = [(f"the cat {i % 3}", "en") for i in range(900)] + [(f"le chat {i % 2}", "fr") for i in range(700)]
+    docs += [(f"ein ding {i}", "de") for i in range(1000)]
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(5)
+    rows = language.training_rows(df, F.lit(True), "text", "lang").collect()
+    assert {k: sum(r["__lang"] == k for r in rows) for k in ("de", "en", "fr")} == {"de": 300, "en": 3, "fr": 2}
+    assert language.learned(df, F.lit(True)).languages == ["de", "en", "fr"]
