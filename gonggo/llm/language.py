@@ -86,7 +86,9 @@ def fit(languages: list[str], seen: np.ndarray, labels: np.ndarray,
     slots = np.flatnonzero(seen[chosen].any(axis=0))
     sizes = seen.sum(axis=1, dtype=np.int64)
     scaled = seen[np.ix_(chosen, slots)].T.astype(np.float32) * normed(sizes[chosen])[None, :]
-    kernel = (seen[:, slots].astype(np.float32) @ scaled) * normed(sizes)[:, None]
+    # Row by row block, as single-precision copies of all rows would be the largest thing in the driver.
+    kernel = np.concatenate([seen[low:low + 128, slots].astype(np.float32) @ scaled for low in range(0, len(seen), 128)])
+    kernel *= normed(sizes)[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     keep = values > 1e-6 * values.max()
     to_features = vectors[:, keep] / np.sqrt(values[keep])
@@ -153,13 +155,14 @@ def learned(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "
     if not bits:
         return None
     names = sorted(set(languages))
-    seen = np.unpackbits(np.array(bits), axis=1, count=SLOTS)
-    some = seen.any(axis=1)
+    bits = np.array(bits)
+    some = bits.any(axis=1)
     labels = np.searchsorted(names, languages)
     kept = sorted(set(labels[some].tolist()))
     if not kept:
         return None
-    return fit([names[k] for k in kept], seen[some], np.searchsorted(kept, labels[some]), landmarks)
+    seen = np.unpackbits(bits[some], axis=1, count=SLOTS)
+    return fit([names[k] for k in kept], seen, np.searchsorted(kept, labels[some]), landmarks)
 
 
 def _predict(column: pa.Array, model: Model, batch: int = 128) -> list[dict]:
