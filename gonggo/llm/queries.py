@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.functions.stages import computed
 from gonggo.llm import (
-    chat, decontaminate, jaccard_join, language, order_minhash, packing, suffix_dedup,
-    token_counts, toxicity, url_rules)
+    chat, decontaminate, jaccard_join, language, order_minhash, packing, prefix_trie, segment_search,
+    suffix_dedup, token_counts, toxicity, turn_repair, url_rules)
 from gonggo.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 from gonggo.session import written
 
@@ -235,3 +235,168 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.fit_chain(docs, labels, ("low_quality", "toxic"))
     return chain.predict(docs).select("doc_id", "p_low_quality", "is_low_quality", "p_toxic", "is_toxic")
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in DuckDB."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END"
+    return (f"xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(({text})[i]) AS BIGINT)), "
+            f"lambda c, b: list_reduce(range(8), lambda x, k: {step}, xor(c, b)), CAST(4294967295 AS BIGINT)), "
+            "CAST(4294967295 AS BIGINT))")
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named FROM conversations
+), dealt AS (
+  SELECT *, {_crc32_sql("named")} % 20 AS k FROM drawn
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM dealt WHERE k <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN again > 1 THEN 'duplicate'
+      WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two
+  FROM numbered
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), inserts(place, after, letters, parts) AS (
+  VALUES ('0', '0', '', []), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []),
+    ('0', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('a', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:']),
+    ('0', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+    ('a', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', 'II', ['assistant:', 'user:'])
+), keeps(place, after) AS (
+  VALUES ('0', 's'), ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')
+), rerolls(place, after, role) AS (
+  VALUES ('0', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')
+), acts AS (
+  SELECT conv_id, i, p.place, p.place AS after, 'D' AS letter, 4 AS cost, [] AS part
+  FROM faulty, (VALUES ('0'), ('s'), ('u'), ('a')) p(place)
+  UNION ALL
+  SELECT conv_id, i, place, after, 'K', CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, [role || ':' || text]
+  FROM faulty JOIN keeps ON initial = after WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, place, after, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, [r.role || ':' || text]
+  FROM faulty, rerolls r WHERE fault NOT IN ('blank', 'duplicate')
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS place, '' AS audit, 0 AS cost, CAST([] AS VARCHAR[]) AS parts FROM counted
+  UNION ALL
+  SELECT conv_id, i, place, audit, cost, parts FROM (
+    SELECT p.conv_id, a.i, a.after AS place, p.audit || n.letters || a.letter AS audit,
+      p.cost + 3 * length(n.letters) + a.cost AS cost, p.parts || n.parts || a.part AS parts
+    FROM paths p JOIN inserts n ON n.place = p.place
+    JOIN acts a ON a.conv_id IS NOT DISTINCT FROM p.conv_id AND a.i = p.i + 1 AND a.place = n.after
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, place, length(audit) ORDER BY cost, audit) = 1
+), best AS (
+  SELECT p.conv_id, p.audit || n.letters AS audit, p.cost + 3 * length(n.letters) AS cost, p.parts || n.parts AS parts
+  FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+  JOIN inserts n ON n.place = p.place AND n.after IN ('0', 'a')
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + 3 * length(n.letters), p.audit || n.letters) = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(parts, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """`turns` with one row in 20 each dropped (`there` is false), emptied, without .!?, twice, or of role user."""
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                     F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    drawn = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                         (F.crc32(named.cast("binary")) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return drawn.select(
+        "conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        (F.col("k") != 0).alias("there"), F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+@query("op11_turn_repair", REPAIR_SQL)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by row and repaired: its faults, and the cheapest edits that mend it."""
+    turns = damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.reports(turn_repair.repaired(turns, there=F.col("there")))
+
+
+SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM ranked QUALIFY rank <= 5
+"""
+
+
+@query("op12_segment_search", SEARCH_SQL)
+def op12_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors with the largest inner product for every vector whose id is divisible by 50."""
+    return segment_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+HEAD_TURNS = 6
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest, chars) AS nth FROM turns
+), convs AS (
+  SELECT conv_id, {_crc32_sql("c")} % {HEAD_TURNS} AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM own)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.nth, digest, chars FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.nth <= h
+  UNION ALL
+  SELECT c.conv_id, 1, o.nth, digest, chars FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.nth > h
+), whole AS (
+  SELECT conv_id, coalesce(string_agg(digest, '' ORDER BY part, nth), '') AS path, list(chars ORDER BY part, nth) FILTER (nth IS NOT NULL) AS chars,
+    CAST(count(nth) AS BIGINT) AS n
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), members AS (
+  SELECT conv_id, depth, left(path, 32 * depth) AS node, n = depth AS ended, coalesce(chars[depth], 0) AS last_chars
+  FROM (SELECT *, unnest(range(0, n + 1)) AS depth FROM whole)
+), nodes AS (
+  SELECT depth, node, min(conv_id) AS least, count(*) AS n_convs, max(last_chars) AS last_chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM members GROUP BY depth, node
+), up AS (
+  SELECT c.node, left(c.node, 32 * (c.depth - 1)) AS parent FROM nodes c WHERE depth > 0
+), families AS (
+  SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent
+), above AS (
+  SELECT left(node, 32 * unnest(range(0, depth + 1))) AS node, CASE WHEN f.n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+    (n_convs - 1) * last_chars AS saved
+  FROM nodes LEFT JOIN families f USING (node)
+), sums AS (
+  SELECT node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY node
+)
+SELECT n.least AS conv_id, n.depth, p.least AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN families USING (node) LEFT JOIN up USING (node) LEFT JOIN nodes p ON p.node = up.parent
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All common beginnings of the conversations, each begun like the first of its hundred."""
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEAD_TURNS
+    return prefix_trie.trie_nodes(prefix_trie.headed(own, F.col("conv_id") - F.col("conv_id") % 100, heads, HEAD_TURNS - 1))

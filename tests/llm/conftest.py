@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 @pytest.fixture(scope="session")
@@ -14,12 +14,13 @@ def against_sql(spark):
         con = duckdb.connect()
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-        want = con.sql(CHECKS[name]).df()
-        got = QUERIES[name](spark, sf_dir).toPandas()
-        assert sorted(got.columns) == sorted(want.columns)
-        names = sorted(got.columns)
-        rows = [sorted(map(repr, df[names].astype(object).where(df[names].notna(), None)
-                           .itertuples(index=False, name=None))) for df in (got, want)]
+        done = con.execute(CHECKS[name])
+        columns = [c[0] for c in done.description]
+        want = [dict(zip(columns, row)) for row in done.fetchall()]
+        frame = QUERIES[name](spark, sf_dir)
+        got = [row.asDict() for row in frame.collect()]
+        assert sorted(frame.columns) == sorted(columns)
+        rows = [sorted(repr([r[c] for c in sorted(columns)]) for r in side) for side in (got, want)]
         assert rows[0] == rows[1]
-        return got
+        return frame.toPandas()
     return check
