@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,12 +116,23 @@ def _scan_batch(column: pa.Array, before: pa.Array, test: TestWindows) -> list[d
     return out
 
 
+_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
 def _items(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, str | None]]:
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
     for row in rows.where("i IS NOT NULL").toLocalIterator():
         yield row.i, row.t
 
 
+def _pieces(text: str, n_words: int, most: int) -> Iterator[tuple[str, int]]:
+    """The text in pieces of up to `most` windows each, and how many they are; no window is lost between them."""
+    words = [m.span() for m in _WORDS.finditer(text)]
+    for at in range(0, max(len(words) - n_words + 1, 1), most):
+        part = words[at:at + most + n_words - 1]
+        yield (text[part[0][0]:part[-1][1]] if part else ""), max(len(part) - n_words + 1, 1)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", n_words: int = N_WORDS, out: str = "contamination",
                   max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -151,10 +163,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     waiting: list[tuple[str, str | None]] = []
     size = 0
     for item in _items(benchmark, item_id, item_text):
-        waiting.append(item)
-        size += max(len((item[1] or "").split()), 1)
-        if size >= max_windows:
-            result, waiting, size = written(scanned(result, waiting), "decontaminate"), [], 0
+        for piece, windows in _pieces(item[1] or "", n_words, max_windows):
+            waiting.append((item[0], piece))
+            size += windows
+            if size >= max_windows:
+                result, waiting, size = written(scanned(result, waiting), "decontaminate"), [], 0
     return scanned(result, waiting)
 
 

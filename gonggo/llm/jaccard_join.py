@@ -82,7 +82,8 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
             data, offsets = bytetext.text_bytes(batch.column(0))
             for low, high in bytetext.slices(offsets):
                 hashes, _ = shingles(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
-                total += np.bincount((hashes >> _SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
+                met, times = np.unique(hashes >> _SLOT_SHIFT, return_counts=True)
+                total[met.astype(np.int64)] += times
         met = np.flatnonzero(total)
         cells = np.empty(len(met), _CELL)
         cells["slot"], cells["count"] = met % _PART, total[met]

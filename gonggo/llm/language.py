@@ -20,6 +20,8 @@ from gonggo.session import lookup, written
 
 # Bounds of the fit: different labelled texts of each language and in all, and landmarks of each language.
 ROWS_PER_LANGUAGE, ROWS, LANDMARKS_PER_LANGUAGE = 300, 3000, 32
+# Languages that are learned; with more, each of them would have few rows.
+LANGUAGES = 300
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -110,7 +112,8 @@ def training_rows(docs: DataFrame, learn: Column, text: str, lang: str,
                   rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The `rows` different labelled texts of each language with the smallest hashes, packed as their presence bits.
 
-    Copies of a text count once, so no language is missed and no copy group comes whole. Of each language
+    Copies of a text count once, so no language is missed and no copy group comes whole. Of more than
+    `LANGUAGES` values of `lang` those with the most different texts are learned. Of each language
     only about twice as many hashes as asked for are ranked; what leaves a task is at most 16 KB per
     text, however long it is.
     """
@@ -118,7 +121,8 @@ def training_rows(docs: DataFrame, learn: Column, text: str, lang: str,
         F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang")).withColumn(
         "__order", F.xxhash64("__text"))
     texts = written(labelled.select("__lang", "__order").distinct(), "labelled")
-    counts = {r[0]: r[1] for r in texts.groupBy("__lang").count().collect()}
+    known = texts.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES)
+    counts = {r[0]: r[1] for r in known.collect()}
     rows = min(rows, ROWS // max(len(counts), 1))
     if not counts:
         return labelled.select("__lang", F.lit(None).cast("binary").alias("__bits"), "__order").limit(0)
@@ -168,9 +172,9 @@ def learned(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "
 def _predict(column: pa.Array, model: Model, batch: int = 128) -> list[dict]:
     out: list[dict] = []
     data, offsets = text_bytes(column)
-    texts = column.to_pylist()
-    for low in range(0, len(texts), batch):
-        high = min(low + batch, len(texts))
+    for low in range(0, len(column), batch):
+        high = min(low + batch, len(column))
+        texts = column.slice(low, batch).to_pylist()
         seen = np.zeros((high - low, len(model.slots)), np.uint8)
         sizes = np.zeros(high - low, np.int64)
         for i in range(low, high):
@@ -180,7 +184,7 @@ def _predict(column: pa.Array, model: Model, batch: int = 128) -> list[dict]:
         values = model.values(seen, sizes)
         best, shares = values.argmax(axis=1), _scores(values).max(axis=1)
         for i in range(low, high):
-            if texts[i] is None or not any(map(str.isalpha, texts[i])):
+            if texts[i - low] is None or not any(map(str.isalpha, texts[i - low])):
                 out.append({"lang": UNKNOWN, "score": 0.0})
             else:
                 out.append({"lang": model.languages[best[i - low]], "score": float(shares[i - low])})

@@ -64,3 +64,12 @@ def test_edges(spark):
     assert rows[1]["__part0"] == 1 and [tuple(s) for s in rows[1].contamination.spans] == [(2, 15)]
     assert found(decontaminate.contamination(docs, items.limit(0)))[1] == (5, 0, [])
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_windows_of_unspaced_words_count(spark):
+    pieces = list(decontaminate._pieces(".".join(f"w{i}" for i in range(5000)), 10, 500))
+    assert sum(n for _, n in pieces) == 4991 and max(n for _, n in pieces) == 500
+    assert pieces[0][0].endswith(".w508") and pieces[1][0].startswith("w500.")
+    assert list(decontaminate._pieces("", 10, 500)) == [("", 1)] and list(decontaminate._pieces("?a b!", 10, 500)) == [("a b", 1)]
+    docs, items = make(spark, [(1, "w3 w4 w5 w6"), (2, "w9 w8 w7")], [(1, ".".join(f"w{i}" for i in range(40)))])
+    assert found(decontaminate.contamination(docs, items, n_words=3, max_windows=2)) == {1: (4, 4, ["1"]), 2: (3, 0, [])}

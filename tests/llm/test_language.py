@@ -75,3 +75,10 @@ def test_copies_count_once(spark):
     rows = language.training_rows(df, F.lit(True), "text", "lang").collect()
     assert {k: sum(r["__lang"] == k for r in rows) for k in ("de", "en", "fr")} == {"de": 300, "en": 3, "fr": 2}
     assert language.learned(df, F.lit(True)).languages == ["de", "en", "fr"]
+
+
+def test_very_many_languages(spark):
+    docs = [(f"the cat number {i}", "en") for i in range(30)] + [(f"le chat {i}", "fr") for i in range(20)]
+    docs += [(f"mot {i}", f"l{i:04}") for i in range(3500)]
+    model = language.learned(spark.createDataFrame(docs, "text string, lang string").repartition(5), F.lit(True))
+    assert {"en", "fr"} <= set(model.languages) and len(model.languages) == language.LANGUAGES
