@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gonggo.llm import decontaminate, jaccard_join, language, packing, suffix_dedup, token_counts
 from gonggo.llm.names import fresh
-from gonggo.session import lookup, written
+from gonggo.session import arrow_rows, lookup, written
 
 NEAR = jaccard_join.Rule(n=5, num=80, den=100)
 VOCABULARY = "byte_bpe_50k.json"
+# Whole rows that one Arrow batch holds.
+TEXT_ROWS = 1000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     name, = fresh(docs, "language")
-    found = language.with_language(docs, model, out=name)
-    return found.where(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns)
+    # Written here, as the batches are bounded only while this runs.
+    with arrow_rows(spark, TEXT_ROWS):
+        found = language.with_language(docs, model, out=name)
+        return written(found.where(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns), "known")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
