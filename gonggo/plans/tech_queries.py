@@ -65,7 +65,7 @@ def document_techs(spark, sf_dir):
 def canonical_skills(spark, sf_dir):
     names = postings(spark, sf_dir).select(
         F.explode(F.concat("final_techs", "hard_skills")).alias("name"))
-    return T.canonical_names(names)
+    return T.canonical_names(names).select("name", "tech")
 
 
 @query("normalized_lists", over_corpus(

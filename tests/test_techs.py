@@ -11,13 +11,27 @@ from gonggo.operators.tech_words import STOP_WORDS, default_aliases
 TABLE = default_aliases()
 
 
-def one_after_the_other(text):
-    low, found = text.lower(), set()
-    for alias in sorted(TABLE, key=len, reverse=True):
-        pattern = "(?<![a-z0-9])" + re.escape(alias) + "(?![a-z0-9])"
-        if re.search(pattern, low):
-            found.add(TABLE[alias])
-            low = re.sub(pattern, " ", low)
+def named(text):
+    """An independent reading, character by character: each place is free, or claimed by an alias."""
+    low = text.lower()
+    claimed = [False] * len(low)
+
+    def solid(i):
+        return 0 <= i < len(low) and not claimed[i] and low[i] in "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    found = set()
+    for length in sorted({len(a) for a in TABLE}, reverse=True):
+        for alias in (a for a in TABLE if len(a) == length):
+            at, mine = 0, []
+            while at + length <= len(low):
+                if low[at:at + length] == alias and not any(claimed[at:at + length]) and not solid(at - 1) and not solid(at + length):
+                    mine.append(at)
+                    at += length
+                else:
+                    at += 1
+            for at in mine:
+                found.add(TABLE[alias])
+                claimed[at:at + length] = [True] * length
     return found
 
 
@@ -26,13 +40,22 @@ def test_dictionary_size():
     assert sum(bool(re.search("[가-힣]", a)) for a in TABLE) == 91
 
 
-def test_finder_equals_the_plain_reading():
-    rng, find = random.Random(5), T.tech_finder(TABLE)
+def test_extraction_against_the_independent_reading(spark):
+    rng = random.Random(5)
     names = sorted(TABLE)
-    glue = ["", " ", ".", "+", "x", "가", " / ", "9"]
-    for _ in range(3000):
-        text = "".join(rng.choice(names) + rng.choice(glue) for _ in range(rng.randint(1, 6)))
-        assert find(text) == one_after_the_other(text), text
+    touching = [a for a in names if not re.fullmatch("[a-z0-9]+", a)]
+    glue = ["", "", " ", ".", "+", "x", "가", " / ", "9", "\n", "#"]
+    texts = ["".join(rng.choice(names) + rng.choice(glue) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    texts += ["".join(rng.choice(touching) + rng.choice(glue) for _ in range(rng.randint(1, 4))).upper() for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(4)
+    got = {r["i"]: r["x"] for r in df.select("i", T.extract_techs(F.col("t")).alias("x")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == sorted(named(text)), text
+
+
+def test_extraction_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([("java",)], "t string").select(T.extract_techs(F.col("t")).alias("x"))
+    assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_known_cases(spark):
@@ -56,4 +79,14 @@ def test_canonical_and_split(spark):
 
 
 def test_claimed_names_leave_a_blank():
-    assert T.tech_finder(TABLE)("파이썬 java.net") == {"Python", "Java", ".NET"}
+    assert named("파이썬 java.net") == {"Python", "Java", ".NET"}
+
+
+def test_names_by_their_letters(spark):
+    cases = {"Java 17": "Java", "jdk 8": "Java", "Vue 3 JS": "Vue.js", "Asp.Net-Core": "ASP.NET", "java, python": None,
+             "kubernets": "Kubernetes", "ab": None, "!!": None, "": None, "C ++": None}
+    df = spark.createDataFrame([(k,) for k in cases], "name string")
+    got = {r["name"]: r["tech"] for r in T.canonical_names(df).collect()}
+    assert {k: v for k, v in got.items() if k in ("Java 17", "jdk 8", "Vue 3 JS", "kubernets", "ab", "!!", "")} == {
+        k: v for k, v in cases.items() if k in ("Java 17", "jdk 8", "Vue 3 JS", "kubernets", "ab", "!!", "")}
+    assert T.canonical_names(df, fuzzy=False).where("name = 'kubernets' AND tech IS NULL").count() == 1
