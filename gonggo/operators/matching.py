@@ -1,19 +1,24 @@
 """Matching résumés to postings by weighted skill overlap.
 
-All queries are answered in one plan. The pool is reduced to profiles first
-(equal skill sets are scored once, each keeping its k first postings), profiles
-and the pairs made of them stay on the partitions of that one shuffle, and
-only each partition's best k per query travel on.
+All queries are answered in one plan. The pool is reduced to profiles first (equal skill sets are scored
+once, each keeping its k first postings). Skills are taken heaviest first: what a profile can still reach
+is bounded by the query's lighter skills, and pairs that cannot reach the query's k-th score are left out
+before they are scored. Only each partition's best k per query travel on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gonggo.functions.joins import small_side, spread
 from gonggo.functions.regex import every
+from gonggo.functions.stages import computed
+from gonggo.operators.pool import recommendation_pool, tech_idf
+from gonggo.operators.techs import expand_hypernyms, extract_techs
 from gonggo.operators.trends import cooccurrence, related_map
 from gonggo.session import LOOKUP_BYTES, cut_lineage, measured_bytes
 
@@ -63,30 +68,39 @@ def scorer(name: str, registry: dict[str, Scorer] = SCORERS) -> Column:
     return F.round(registry[name](), 12)
 
 
+# Scorers that look at numbers of skills alone.
+_BY_COUNT = (SCORERS["jaccard"],)
+# About so many profiles are scored first, for scores that the rest must reach.
+SEED_PROFILES = 2000
+_SUM, _SQUARES = "decimal(28,12)", "decimal(38,24)"
+
+
 def _weights(df: DataFrame, key: str, idf: DataFrame, prefix: str,
              carried: list[str]) -> DataFrame:
     """Per row: weighted skills and the sums of their weights (0 when unknown)."""
     w = F.coalesce("idf", F.lit(0).cast("decimal(18,12)"))
     rows = df.select(key, *carried, F.explode("techs").alias("tech")).join(
-        idf, "tech", "left").select(key, *carried, "tech", w.alias("w"))
+        idf, "tech", "left").select(key, *carried, "tech", w.alias("w"), F.col("idf").isNotNull().alias("known"))
     return rows.groupBy(key).agg(
         *(F.first(c).alias(c) for c in carried),
-        F.collect_list(F.struct("tech", "w")).alias(prefix + "_skills"),
-        F.sum("w").alias(prefix), F.sum(_squared("w")).alias(prefix + "_sq"),
+        F.collect_list(F.struct("w", "tech", "known", _squared(F.col("w")).alias("sq"),
+                                (F.col("w") * 10**12).cast("long").alias("units"))).alias(prefix + "_skills"),
+        F.sum("w").alias(prefix), F.sum(_squared(F.col("w"))).alias(prefix + "_sq"),
         F.count(F.lit(1)).alias(prefix + "_n"))
 
 
-def _squared(w: str) -> Column:
-    return (F.col(w) * F.col(w)).cast("decimal(38,24)")
+def _squared(w: Column) -> Column:
+    return (w * w).cast(_SQUARES)
 
 
 def _members(pool: DataFrame, entity: str, filters: list[str]) -> DataFrame:
-    """(profile, entity, techs, …): a profile is a skill set with the filtered fields."""
-    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.sort_array(F.array_distinct("techs"))),
-                            *(F.coalesce(F.col(f), F.lit("\x1d")) for f in filters)))
+    """(profile, entity, row, techs, …): a profile is a skill set with the filtered fields; `row` is the
+    entity's first pool row of that profile."""
+    techs = F.sort_array(F.array_distinct("techs"))
+    key = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", techs), *(F.coalesce(F.col(f), F.lit("\x1d")) for f in filters)))
+    row = "row_id" if "row_id" in pool.columns else entity
     return (pool.where(F.size("techs") > 0)
-            .select(key.alias("profile"), F.col(entity).alias("entity"),
-                    F.sort_array(F.array_distinct("techs")).alias("techs"), *filters))
+            .select(key.alias("profile"), F.col(entity).alias("entity"), F.col(row).alias("row"), techs.alias("techs"), *filters))
 
 
 def _profiles(members: DataFrame, k: int, carried: list[str]) -> DataFrame:
@@ -108,6 +122,22 @@ def _spread_profiles(profiles: DataFrame) -> DataFrame:
     return spread(profiles.withColumn("profile", F.upper("profile")), "profile")
 
 
+def _doubled(*names: str) -> dict[str, Column]:
+    """The exact sums under e_<name>, and as doubles, for bounds, under their own names."""
+    return {"e_" + n: F.col(n) for n in names} | {n: F.col(n).cast("double") for n in names}
+
+
+def _summed(profiles: DataFrame, idf: DataFrame, by_count: bool) -> DataFrame:
+    """`profiles` with the sums of their weights, as a written stage."""
+    carried = [c for c in profiles.columns if c != "profile"]
+    if by_count:
+        zero = F.lit(0)
+        out = profiles.select("*", zero.cast(_SUM).alias("job"), zero.cast(_SQUARES).alias("job_sq"), F.size("techs").cast("long").alias("job_n"))
+    else:
+        out = _weights(profiles, "profile", idf, "job", carried).drop("job_skills")
+    return cut_lineage(out.withColumns(_doubled("job", "job_sq")))
+
+
 def _passes(filters: list[str]) -> Column:
     """Both sides must be known for a filter to reject."""
     ok = F.lit(True)
@@ -117,31 +147,68 @@ def _passes(filters: list[str]) -> Column:
     return ok
 
 
-def _scored(queries: DataFrame, profiles: DataFrame, idf: DataFrame, filters: list[str],
-            scores: dict[str, Column], small_queries: bool) -> DataFrame:
-    """(slot, profile, entity, score) of all profiles sharing a skill.
+def _lists(asked: DataFrame, idf: DataFrame, filters: list[str], only_known: bool) -> DataFrame:
+    """A row per query and skill: the skill, the sums over it and all lighter skills of the query (rest),
+    those skills (later), and the names of the heavier ones (earlier).
 
-    A slot is a query under one scheme, as one number: _q x schemes + place.
-    `profiles` is partitioned by profile, and everything up to the sums keeps
-    that partitioning; with broadcast queries the pairs are never shuffled.
+    A profile whose heaviest skill shared with the query is this one can get no more than the rest.
     """
     wants = ["want_" + f for f in filters]
-    mine = _weights(queries, "_q", idf, "mine", wants)
-    asked = mine.select("_q", *wants, "mine", "mine_sq", "mine_n",
-                        F.explode("mine_skills.tech").alias("tech"))
-    if small_queries:
-        asked = F.broadcast(asked)
-    held = _weights(profiles, "profile", idf, "job", ["entity", *filters]).select(
-        "profile", "entity", *filters, "job", "job_sq", "job_n", F.inline("job_skills"))
-    # constants of a side are taken as maxima: numbers keep this a hash aggregation
-    sides = ("job", "job_sq", "job_n", "mine", "mine_sq", "mine_n")
-    sums = (held.join(asked, "tech").where(_passes(filters))
-            .groupBy("profile", "entity", "_q").agg(
-                F.sum("w").alias("hit"), F.sum(_squared("w")).alias("hit_sq"),
-                F.count(F.lit(1)).alias("hit_n"), *(F.max(c).alias(c) for c in sides)))
-    rows = F.array(*(F.struct((F.col("_q") * len(scores) + i).alias("slot"), c.alias("score"))
+    mine = _weights(asked, "_q", idf, "mine", wants)
+    skills = F.filter("mine_skills", lambda s: s["known"]) if only_known else F.col("mine_skills")
+    ranked = mine.select("_q", *wants, "mine", "mine_sq", "mine_n", F.reverse(F.array_sort(skills)).alias("ranked"))
+    rows = ranked.select("*", F.posexplode("ranked").alias("at", "skill")).select(
+        "_q", *wants, "mine", "mine_sq", "mine_n", F.col("skill.tech").alias("tech"),
+        F.slice("ranked", F.col("at") + 1, F.size("ranked")).alias("later"),
+        F.slice("ranked", F.lit(1), F.col("at"))["tech"].alias("earlier"))
+    zero = F.lit(0.0)
+    return rows.withColumns(_doubled("mine", "mine_sq")).select(
+        "*", F.aggregate("later", zero, lambda t, x: t + x["w"].cast("double")).alias("rest"),
+        F.aggregate("later", zero, lambda t, x: t + x["sq"].cast("double")).alias("rest_sq"), F.size("later").cast("long").alias("rest_n"))
+
+
+def _shared_sums(squares: bool) -> dict[str, Column]:
+    """What the skills in `shared` add up to, exactly: weights in whole units of 10**-12, squares as decimals."""
+    units = F.aggregate("shared", F.lit(0).cast("long"), lambda t, s: t + s["units"])
+    sq = F.aggregate("shared", F.lit(0).cast(_SQUARES), lambda t, s: (t + s["sq"]).cast(_SQUARES)) if squares else F.lit(0).cast(_SQUARES)
+    return {"hit": (units.cast("decimal(20,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast(_SUM),
+            "hit_sq": sq, "hit_n": F.size("shared").cast("long")}
+
+
+def _floors(best: DataFrame, lists: DataFrame, k: int, n: int) -> DataFrame:
+    """`lists` with the score that a slot of the query has k results of, -1 where it has fewer."""
+    reached = best.where(F.col("rank") == k).groupBy(F.expr(f"slot div {n}").alias("_q")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("slot") % n).cast("int").alias("i"), "score"))).alias("_reached"))
+    at_least = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("_reached", i), F.lit(-1.0)))
+    return lists.drop("floor").join(reached, "_q", "left").withColumn("floor", at_least).drop("_reached")
+
+
+def _scored(lists: DataFrame, profiles: DataFrame, filters: list[str], scores: dict[str, Column], small: bool,
+            by_count: bool) -> DataFrame:
+    """(slot, profile, entity, score) of the profiles that share a skill and reach the slot's floor.
+
+    A slot is a query under one scheme, as one number: _q x schemes + place. All scores grow with what is
+    shared, and a pair shares no more than the smaller of the profile and the query's rest. Only pairs
+    whose score of that much would reach a floor are looked at, each by the heaviest skill it shares.
+    With broadcast lists nothing but the answers is shuffled.
+    """
+    sums = ("job", "job_sq", "e_job", "e_job_sq", "job_n")
+    held = profiles.select("profile", "entity", *filters, "techs", *sums, F.explode("techs").alias("tech"))
+    pairs = held.join(F.broadcast(lists) if small else lists, "tech").where(_passes(filters))
+    most = pairs.withColumns({"hit": F.least("job", "rest"), "hit_sq": F.least("job_sq", "rest_sq"), "hit_n": F.least("job_n", "rest_n")})
+    likely = most.where(reduce(lambda a, b: a | b, (c + 1e-9 >= F.col("floor")[i] for i, c in enumerate(scores.values()))))
+    first = likely.where(~F.arrays_overlap("techs", "earlier"))
+    hits = (F.array_intersect("techs", F.col("later")["tech"]) if by_count
+            else F.filter("later", lambda s: F.array_contains("techs", s["tech"])))
+    shared = computed(first, hits.alias("shared"),
+                      keep=("profile", "entity", "_q", "floor", "e_job", "e_job_sq", "job_n", "e_mine", "e_mine_sq", "mine_n"))
+    shared = shared.withColumnsRenamed({f"e_{n}": n for n in ("job", "job_sq", "mine", "mine_sq")})
+    squares = any("_sq" in str(c) for c in scores.values())
+    sums = {"hit_n": F.size("shared").cast("long")} if by_count else _shared_sums(squares)
+    exact = computed(shared, *(c.alias(n) for n, c in sums.items()))
+    rows = F.array(*(F.struct((F.col("_q") * len(scores) + i).alias("slot"), c.alias("score"), F.col("floor")[i].alias("least"))
                      for i, c in enumerate(scores.values())))
-    return sums.select("profile", "entity", F.inline(rows))
+    return exact.select("profile", "entity", F.inline(rows)).where("score >= least").drop("least")
 
 
 def _best(rows: DataFrame, k: int, key: str = "slot") -> DataFrame:
@@ -151,59 +218,68 @@ def _best(rows: DataFrame, k: int, key: str = "slot") -> DataFrame:
 
 
 def _is_small(queries: DataFrame) -> bool:
-    """Whether the (query, skill) rows may be sent to all tasks, by their measured bytes."""
-    return measured_bytes(queries.select(F.explode("techs").alias("tech"))) <= LOOKUP_BYTES
+    """Whether the rows may be sent to all tasks, by their measured bytes."""
+    return measured_bytes(queries) <= LOOKUP_BYTES
 
 
-def _single_profile_matches(queries, members, idf, k, filters, scores, small) -> DataFrame:
+def _single_profile_matches(lists, members, idf, k, filters, scores, by_count) -> DataFrame:
     """Entities with one profile: the k best profiles (by score, then first
-    entity) hold the k best entities."""
-    profiles = _profiles(members, k, ["techs", *filters])
-    best = _best(_scored(queries, profiles, idf, filters, scores, small), k).drop("entity", "rank")
+    entity) hold the k best entities. A few profiles are scored before the others, for the floors."""
+    profiles = _summed(_profiles(members, k, ["techs", *filters]), idf, by_count)
+    n, small = len(scores), _is_small(lists.select("_q", "later", "earlier"))
+    seeds = profiles.where(F.pmod(F.xxhash64("profile"), F.lit(max(1, profiles.count() // SEED_PROFILES))) == 0)
+    open_lists = lists.withColumn("floor", F.array_repeat(F.lit(-1.0), n))
+    floors = cut_lineage(_floors(_best(_scored(open_lists, seeds, filters, scores, small, by_count), k), lists, k, n))
+    best = _best(_scored(floors, profiles, filters, scores, small, by_count), k).drop("entity", "rank")
     hits = best.join(profiles.select("profile", "techs", "entities"), "profile").select(
         "slot", "score", "techs", F.explode("entities").alias("entity"))
     return _best(hits, k)
 
 
-def _shared_profile_matches(queries, members, idf, k, filters, scores, small) -> DataFrame:
-    """Entities with several profiles count with their best one: the maximum is
-    pre-aggregated per (query, entity), so a hot entity makes no hot task."""
-    profiles = _spread_profiles(members.groupBy("profile").agg(
-        *(F.first(c).alias(c) for c in ["techs", *filters]), F.min("entity").alias("entity")))
-    scored = _scored(queries, profiles, idf, filters, scores, small).drop("entity")
-    links = members.select(F.upper("profile").alias("profile"), "entity", "techs")
-    hits = (scored.join(links, "profile")
-            .groupBy("slot", "entity").agg(F.max(F.struct("score", "techs")).alias("b"))
-            .select("slot", "b.score", "b.techs", "entity"))
-    return _best(hits, k)
+def _shared_profile_matches(lists, members, idf, filters, scores, by_count) -> DataFrame:
+    """Entities with several profiles count with their best one, and of equally good ones the one that
+    comes first in the pool: pre-aggregated per (query, entity), so a hot entity makes no hot task."""
+    profiles = _summed(_spread_profiles(members.groupBy("profile").agg(
+        *(F.first(c).alias(c) for c in ["techs", *filters]), F.min("entity").alias("entity"))), idf, by_count)
+    scored = _scored(lists, profiles, filters, scores, _is_small(lists.select("_q", "later", "earlier")), by_count).drop("entity")
+    links = members.select(F.upper("profile").alias("profile"), "entity", "row", "techs")
+    return (scored.join(links, "profile").groupBy("slot", "entity")
+            .agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "techs")).alias("b"))
+            .select("slot", (-F.col("b.less")).alias("score"), "b.techs", "entity"))
 
 
 def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k: int,
                           modes: list[str], registry: dict[str, Scorer] = SCORERS,
                           entity: str = "job_id", unique_entity: bool = False,
-                          filters: tuple = ()) -> DataFrame:
-    """`top_matches` for several score modes in one pass, told apart by `scheme`."""
-    scores, names = {m: scorer(m, registry) for m in modes}, list(filters)
+                          filters: tuple = (), only_known: bool = False) -> DataFrame:
+    """`top_matches` for several score modes in one pass, told apart by `scheme`.
+
+    `only_known` says that skills without a weight occur in no posting.
+    """
+    scores, names, n = {m: scorer(m, registry) for m in modes}, list(filters), len(modes)
+    by_count = all(registry[m] in _BY_COUNT for m in modes)
     asked = cut_lineage(queries.select(F.monotonically_increasing_id().alias("_q"), "query_id",
                                        F.array_distinct("techs").alias("techs"),
                                        *("want_" + f for f in names)))
-    small = _is_small(asked)
     idf = small_side(idf.select("tech", "idf"))
+    lists = cut_lineage(_lists(asked, idf, names, only_known))
     members = _members(pool, entity, names)
     if unique_entity:
-        best = _single_profile_matches(asked, members, idf, k, names, scores, small)
+        best = _single_profile_matches(lists, members, idf, k, names, scores, by_count)
     else:
         # read several times below, and narrow: written once
-        members = cut_lineage(members.distinct())
-        several = (members.groupBy("entity").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1")
-                   .select("entity"))
-        single = members.join(several, "entity", "left_anti")
-        shared = members.join(several, "entity", "left_semi")
-        best = _best(
-            _single_profile_matches(asked, single, idf, k, names, scores, small).unionByName(
-                _shared_profile_matches(asked, shared, idf, k, names, scores, small))
-            .drop("rank"), k)
-    n = len(modes)
+        members = cut_lineage(members.groupBy("profile", "entity").agg(
+            F.min("row").alias("row"), *(F.first(c).alias(c) for c in ["techs", *names])))
+        several = cut_lineage(members.groupBy("entity").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1").select("entity"))
+        if several.isEmpty():
+            best = _single_profile_matches(lists, members, idf, k, names, scores, by_count)
+        else:
+            single = members.join(several, "entity", "left_anti")
+            shared = members.join(several, "entity", "left_semi")
+            alone = cut_lineage(_single_profile_matches(lists, single, idf, k, names, scores, by_count))
+            floors = cut_lineage(_floors(alone, lists, k, n))
+            best = _best(alone.drop("rank").unionByName(
+                _shared_profile_matches(floors, shared, idf, names, scores, by_count)), k)
     mine = asked.select("_q", "query_id", F.col("techs").alias("_mine"))
     place = (F.col("slot") % n).cast("int")
     return (best.withColumn("_q", F.expr(f"slot div {n}")).join(mine, "_q")
@@ -216,15 +292,15 @@ def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k
 def top_matches(queries: DataFrame, pool: DataFrame, idf: DataFrame, k: int = 10,
                 mode: str = DEFAULT_SCORER, registry: dict[str, Scorer] = SCORERS,
                 entity: str = "job_id", unique_entity: bool = False,
-                filters: tuple = ()) -> DataFrame:
+                filters: tuple = (), only_known: bool = False) -> DataFrame:
     """(query_id, rank, entity, score, matched_techs, matched_count).
 
     queries: query_id, techs and, for each filter, want_<filter>. Ordered by
-    score, then entity; an entity is listed once, with its best score.
-    `unique_entity` says that no entity occurs in two pool rows.
+    score, then entity; an entity is listed once, with its best score, and of equally good postings with
+    the skills of the one with the smallest row_id. `unique_entity` says that no entity occurs in two pool rows.
     """
     return top_matches_by_scheme(queries, pool, idf, k, [mode], registry, entity, unique_entity,
-                                 filters).drop("scheme")
+                                 filters, only_known).drop("scheme")
 
 
 # ---------------------------------------------------------------- optional expansions
@@ -283,33 +359,67 @@ def text_matches(queries: DataFrame, pool: DataFrame, k: int = 10, text: str = "
                  pool_text: str = "raw_text", filters: tuple = ()) -> DataFrame:
     """Postings by word-set overlap (Jaccard), for résumés without any known skill.
 
-    Postings with the same words (and filtered fields) are compared once.
+    A search for the k most similar sets: words are taken rarest first, and a posting is met by the rarest
+    word it shares. How similar it can still be then follows from the words left over, so the frequent
+    ones are hardly looked at once a query has k results. Postings with the same words (and filtered
+    fields) are compared once.
     """
     names = list(filters)
-    asked = queries.select("query_id", *("want_" + f for f in names),
-                           words_of(F.col(text)).alias("techs")).where(F.size("techs") > 0)
-    small = _is_small(asked)
-    mine = asked.select("query_id", *("want_" + f for f in names),
-                        F.size("techs").alias("mine_n"), F.explode("techs").alias("word"))
-    if small:
-        mine = F.broadcast(mine)
-    profile = F.md5(F.concat_ws("\x1f", F.concat_ws("\x1e", F.sort_array("words")),
-                                *(F.coalesce(F.col(f), F.lit("\x1d")) for f in names)))
-    rows = (pool.select("job_id", *names, words_of(F.col(pool_text)).alias("words"))
-            .where(F.size("words") > 0).withColumn("profile", profile))
-    profiles = rows.groupBy("profile").agg(F.first("words").alias("words"),
-                                           *(F.first(f).alias(f) for f in names))
-    shared = (profiles.select("profile", *names, F.size("words").alias("job_n"),
-                              F.explode("words").alias("word"))
-              .join(mine, "word").where(_passes(names))
-              .groupBy("profile", "query_id").agg(F.count(F.lit(1)).alias("hit_n"),
-                                                  F.first("job_n").alias("job_n"),
-                                                  F.first("mine_n").alias("mine_n")))
-    scored = shared.select("profile", "query_id", F.round(
-        F.col("hit_n") / (F.col("job_n") + F.col("mine_n") - F.col("hit_n")), 12).alias("score"))
-    links = rows.select("profile", F.col("job_id").alias("entity")).distinct()
-    ranked = (scored.join(links, "profile").groupBy("query_id", "entity")
-              .agg(F.max("score").alias("score")))
-    return _best(ranked, k, "query_id").select(
-        "query_id", "rank", F.col("entity").alias("job_id"), "score",
-        F.lit("text_overlap").alias("fallback"))
+    wants = ["want_" + f for f in names]
+    asked = cut_lineage(queries.select("query_id", *wants, words_of(F.col(text)).alias("techs")).where(F.size("techs") > 0))
+    rows = cut_lineage(pool.select("job_id", *names, words_of(F.col(pool_text)).alias("techs")).where(F.size("techs") > 0))
+    wanted = small_side(asked.select(F.explode("techs").alias("tech")).distinct())
+    df = rows.select(F.explode("techs").alias("tech")).join(wanted, "tech").groupBy("tech").agg(F.count(F.lit(1)).alias("df"))
+    rarity = df.select("tech", (F.lit(1.0) / F.col("df")).cast("decimal(18,12)").alias("idf"))
+    best = top_matches(asked, rows, rarity, k, "jaccard", filters=filters, only_known=True)
+    return best.select("query_id", "rank", "job_id", "score", F.lit("text_overlap").alias("fallback"))
+
+
+# ---------------------------------------------------------------- the entry
+
+@dataclass(frozen=True)
+class Flags:
+    """What may be switched on beside the plain match; `related_share` is how often a technology must come along."""
+    hypernyms: bool = False
+    related: bool = False
+    extras: bool = False
+    text_fallback: bool = False
+    related_share: float = 0.5
+
+
+def recommend(resumes: DataFrame, corpus: DataFrame, as_of, k: int = 10, filters: tuple = (), flags: Flags = Flags(),
+              mode: str = DEFAULT_SCORER, backfill: DataFrame | None = None, only_open: bool = False) -> DataFrame:
+    """(query_id, rank, job_id, score, matched_techs, matched_count, fallback) of each résumé's k best postings.
+
+    resumes: query_id, resume_text and, for each of `filters`, want_<filter>; corpus: postings with techs and
+    skills_extra, best as a written stage, since it is read several times. The pool is that of `as_of`;
+    weights come from the whole corpus. A résumé without any
+    skill gets nothing, or, with the flag, postings by the overlap of words (fallback `text_overlap`).
+    """
+    if mode not in SCORERS:
+        raise ValueError(f"unknown score mode {mode!r}; known: {', '.join(SCORERS)}")
+    none = F.array().cast("array<string>")
+    wants = ["want_" + f for f in filters]
+    idf = cut_lineage(tech_idf(corpus))
+    pool = recommendation_pool(corpus, as_of, backfill, only_open).select(
+        "row_id", "job_id", *FILTERS, "techs", "skills_extra", *(["raw_text"] if flags.text_fallback else []))
+    pool = cut_lineage(pool)
+    mine = resumes.select("query_id", "resume_text", *wants, extract_techs(F.col("resume_text")).alias("techs"))
+    if flags.hypernyms:
+        mine = mine.withColumn("techs", expand_hypernyms(F.col("techs")))
+    mine = cut_lineage(mine)
+    jobs = pool
+    if flags.related:
+        sets = corpus.where(F.size("techs") > 0).select("row_id", "techs")
+        mine = expand_related(mine, build_related_map(sets, idf, flags.related_share))
+    if flags.extras:
+        extra = extras_in_text(resumes, extra_vocabulary(corpus)).withColumnRenamed("techs", "_extra")
+        mine = mine.join(extra, "query_id", "left").withColumn("techs", F.array_union("techs", F.coalesce("_extra", none))).drop("_extra")
+        jobs = jobs.withColumn("techs", F.array_union("techs", "skills_extra"))
+    mine = cut_lineage(mine)
+    best = top_matches(mine.where(F.size("techs") > 0), jobs, idf, k, mode, filters=filters).withColumn("fallback", F.lit(None).cast("string"))
+    if not flags.text_fallback:
+        return best
+    rest = text_matches(mine.where(F.size("techs") == 0).drop("techs"), pool, k, filters=filters)
+    return best.unionByName(rest.select("query_id", "rank", "job_id", "score", none.alias("matched_techs"),
+                                        F.lit(0).alias("matched_count"), "fallback"))

@@ -16,9 +16,9 @@ EXPERIENCE_WORDS = {
 }
 
 
-def raw_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The corpus in the shape of the three sites' own files, numbered by row_id."""
-    rows = postings(spark, sf_dir)
+def raw_sources(spark, sf_dir, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The corpus (`rows`, if it is at hand) in the shape of the three sites' own files, numbered by row_id."""
+    rows = postings(spark, sf_dir) if rows is None else rows
 
     def of(source):
         return rows.where(F.col("source") == source)
@@ -40,9 +40,9 @@ def raw_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return wanted, jobkorea, saramin
 
 
-def master(spark, sf_dir) -> DataFrame:
+def master(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """The merged master table with row_id."""
-    return S.merge(*raw_sources(spark, sf_dir), "row_id")
+    return S.merge(*raw_sources(spark, sf_dir, rows), "row_id")
 
 
 _LEVEL = """CASE source

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from gonggo.operators import matching as M
 from gonggo.operators import pool as P
 from gonggo.operators import proxy as X
-from gonggo.operators.techs import expand_hypernyms, extract_techs
-from gonggo.plans.corpus import BRAND_TECHS, over_corpus, read
-from gonggo.plans.pool_queries import IDF_SQL, POOL_SQL, recommendable
+from gonggo.operators.techs import expand_hypernyms, extract_techs, with_techs
+from gonggo.plans.corpus import AS_OF, BRAND_TECHS, over_corpus, postings, read
+from gonggo.plans.ingest_queries import master
+from gonggo.plans.pool_queries import IDF_SQL, POOL_SQL, backfill, recommendable
 from gonggo.plans.registry import query
 from gonggo.plans.tech_queries import skilled
 from gonggo.session import cut_lineage
@@ -49,8 +50,15 @@ def asked(spark, sf_dir) -> DataFrame:
     return resumes(spark, sf_dir).withColumn("techs", extract_techs(F.col("resume_text")))
 
 
-def weights(spark, sf_dir) -> DataFrame:
-    return P.tech_idf(skilled(spark, sf_dir))
+def corpus_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The corpus with its skills, written once, and the side table: pool and weights are taken from these."""
+    rows = cut_lineage(postings(spark, sf_dir))
+    return cut_lineage(with_techs(master(spark, sf_dir, rows))), backfill(spark, sf_dir, rows)
+
+
+def pool_and_weights(spark, sf_dir, **options) -> tuple[DataFrame, DataFrame]:
+    rows, side = corpus_rows(spark, sf_dir)
+    return P.recommendation_pool(rows, AS_OF, side, **options), P.tech_idf(rows)
 
 
 # sums over shared skills and over each side; `side` tables hold (id, techs)
@@ -96,15 +104,15 @@ def best_sql(score: str, k: int = 10) -> str:
     """Best score per (query, entity), then the k best."""
     return f"""SELECT query_id, r AS rank, entity, round(score, 9) AS score, matched FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS r FROM (
-          SELECT query_id, entity, max(score) AS score, max(matched) FILTER (score = top) AS matched FROM (
-            SELECT query_id, entity, matched, score, max(score) OVER (PARTITION BY query_id, entity) AS top
-            FROM (SELECT query_id, entity, matched, round({score}, 12) AS score FROM sides))
+          SELECT query_id, entity, max(score) AS score, arg_min(matched, row_id) FILTER (score = top) AS matched FROM (
+            SELECT query_id, entity, row_id, matched, score, max(score) OVER (PARTITION BY query_id, entity) AS top
+            FROM (SELECT query_id, entity, row_id, matched, round({score}, 12) AS score FROM sides))
           GROUP BY query_id, entity)) WHERE r <= {k}"""
 
 
-def shown(best: DataFrame) -> DataFrame:
+def shown(best: DataFrame, *more: str) -> DataFrame:
     return best.select("query_id", "rank", "job_id", F.round("score", 9).alias("score"),
-                       F.concat_ws("|", "matched_techs").alias("matched_techs"))
+                       F.concat_ws("|", "matched_techs").alias("matched_techs"), *more)
 
 
 _SHOWN = "SELECT query_id, rank, entity AS job_id, score, array_to_string(matched, '|') AS matched_techs FROM ({})"
@@ -113,8 +121,7 @@ for _mode in M.SCORERS:
     @query(f"recommend_{_mode}", over_corpus(_SHOWN.format(best_sql(SCORE_SQL[_mode])), *POOL_SQL, IDF_SQL, RESUME_SQL,
                                              *match_sql("resumes", "pool", "job_id")))
     def recommend(spark, sf_dir, mode=_mode):
-        return shown(M.top_matches(asked(spark, sf_dir), recommendable(spark, sf_dir),
-                                   weights(spark, sf_dir), 10, mode))
+        return shown(M.top_matches(asked(spark, sf_dir), *pool_and_weights(spark, sf_dir), 10, mode))
 
 
 _PASS = " AND ".join(f"(q.want_{f} IS NULL OR p.{f} IS NULL OR q.want_{f} = p.{f})" for f in M.FILTERS)
@@ -125,16 +132,14 @@ _PASS = " AND ".join(f"(q.want_{f} IS NULL OR p.{f} IS NULL OR q.want_{f} = p.{f
     *match_sql("resumes", "pool", "job_id", _PASS)))
 def recommend_filtered(spark, sf_dir):
     """Hard filters on level and place; a value missing on either side passes."""
-    return shown(M.top_matches(asked(spark, sf_dir), recommendable(spark, sf_dir),
-                               weights(spark, sf_dir), 10, filters=M.FILTERS))
+    return shown(M.top_matches(asked(spark, sf_dir), *pool_and_weights(spark, sf_dir), 10, filters=M.FILTERS))
 
 
 @query("recommend_open_only", over_corpus(
     _SHOWN.format(best_sql(SCORE_SQL["length_norm"], 5)), *POOL_SQL, IDF_SQL, RESUME_SQL,
     "live AS (SELECT * FROM pool WHERE status IN ('open', 'rolling'))", *match_sql("resumes", "live", "job_id")))
 def recommend_open_only(spark, sf_dir):
-    return shown(M.top_matches(asked(spark, sf_dir), recommendable(spark, sf_dir, only_open=True),
-                               weights(spark, sf_dir), 5))
+    return shown(M.top_matches(asked(spark, sf_dir), *pool_and_weights(spark, sf_dir, only_open=True), 5))
 
 
 @query("recommend_hypernyms", over_corpus(
@@ -143,21 +148,22 @@ def recommend_open_only(spark, sf_dir):
        THEN ['Spring'] ELSE [] END)) AS techs) FROM resumes)""", *match_sql("wider", "pool", "job_id")))
 def recommend_hypernyms(spark, sf_dir):
     wider = asked(spark, sf_dir).withColumn("techs", expand_hypernyms(F.col("techs")))
-    return shown(M.top_matches(wider, recommendable(spark, sf_dir), weights(spark, sf_dir)))
+    return shown(M.top_matches(wider, *pool_and_weights(spark, sf_dir)))
 
 
-_RELATED = """held AS (SELECT row_id, unnest(techs) AS tech FROM skilled),
+RELATED_SHARE = 0.4
+_RELATED = f"""held AS (SELECT row_id, unnest(techs) AS tech FROM skilled),
   together AS (SELECT a.tech AS base, b.tech, count(*) AS n FROM held a JOIN held b USING (row_id)
     WHERE a.tech <> b.tech AND a.tech IN (SELECT tech FROM idf) AND b.tech IN (SELECT tech FROM idf) GROUP BY 1, 2),
   alone AS (SELECT tech AS base, count(*) AS match_count FROM held GROUP BY 1),
   related AS (SELECT base, list(tech ORDER BY r) AS related FROM (SELECT base, tech,
     row_number() OVER (PARTITION BY base ORDER BY n DESC, tech) AS r FROM together JOIN alone USING (base)
-    WHERE n >= match_count * 0.4) WHERE r <= 2 GROUP BY base)"""
+    WHERE n >= match_count * {RELATED_SHARE}) WHERE r <= 2 GROUP BY base)"""
 
 
 def related(spark, sf_dir) -> DataFrame:
-    sets = skilled(spark, sf_dir).select("row_id", "techs").where(F.size("techs") > 0)
-    return M.build_related_map(sets, weights(spark, sf_dir), 0.4)
+    rows = cut_lineage(skilled(spark, sf_dir).select("row_id", "techs"))
+    return M.build_related_map(rows.where(F.size("techs") > 0), P.tech_idf(rows), RELATED_SHARE)
 
 
 @query("related_expansion", over_corpus(
@@ -189,13 +195,57 @@ def extra_skills(spark, sf_dir):
     wide_pool AS (SELECT * REPLACE (list_distinct(list_concat(techs, skills_extra)) AS techs) FROM pool)""",
     *match_sql("wider", "wide_pool", "job_id")))
 def recommend_with_extras(spark, sf_dir):
-    rows = skilled(spark, sf_dir)
+    rows, side = corpus_rows(spark, sf_dir)
     found = M.extras_in_text(resumes(spark, sf_dir), M.extra_vocabulary(rows)) \
         .withColumnRenamed("techs", "extra")
     mine = asked(spark, sf_dir).join(found, "query_id", "left").withColumn(
         "techs", F.array_union("techs", F.coalesce("extra", F.array().cast("array<string>"))))
-    pool = recommendable(spark, sf_dir).withColumn("techs", F.array_union("techs", "skills_extra"))
-    return shown(M.top_matches(mine, pool, weights(spark, sf_dir)))
+    pool = P.recommendation_pool(rows, AS_OF, side).withColumn("techs", F.array_union("techs", "skills_extra"))
+    return shown(M.top_matches(mine, pool, P.tech_idf(rows)))
+
+
+# Every fifth résumé names no skill at all.
+_PLAIN = "저는 새로운 업무 안내 온라인 모집인원 "
+
+
+def mixed_resumes(spark, sf_dir) -> DataFrame:
+    plain = F.concat(F.lit(_PLAIN), F.lower("want_place"), F.lit(" 개발자"))
+    named = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("want_place"))
+    return resumes(spark, sf_dir).join(F.broadcast(named), "query_id").withColumn(
+        "resume_text", F.when(F.col("query_id") % 5 == 4, plain).otherwise(F.col("resume_text"))).drop("want_place")
+
+
+_WORDS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z가-힣0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 2))"
+
+
+@query("recommend", over_corpus(
+    _SHOWN.format(best_sql(SCORE_SQL["length_norm"])).replace("AS matched_techs", "AS matched_techs, CAST(NULL AS VARCHAR) AS fallback")
+    + """ UNION ALL SELECT query_id, r, job_id, round(score, 9), '', 'text_overlap' FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, job_id) AS r FROM (
+        SELECT query_id, job_id, max(score) AS score FROM likeness GROUP BY ALL)) WHERE r <= 10""",
+    *POOL_SQL, IDF_SQL, RESUME_SQL.replace("resumes AS", "skilful AS"), _RELATED,
+    f"""resumes AS (SELECT s.* REPLACE (CASE WHEN query_id % 5 = 4 THEN [] ELSE techs END AS techs,
+        CASE WHEN query_id % 5 = 4 THEN '{_PLAIN}' || lower(n_name) || ' 개발자' ELSE resume_text END AS resume_text)
+      FROM skilful s JOIN nation ON n_nationkey = query_id),
+    general AS (SELECT * REPLACE (list_concat(techs, CASE WHEN list_contains(techs, 'Spring Boot') THEN ['Spring'] ELSE [] END) AS techs) FROM resumes),
+    companions AS (SELECT query_id, unnest(related) AS tech FROM (SELECT query_id, unnest(techs) AS base FROM general) JOIN related USING (base)),
+    vocabulary AS (SELECT skill FROM (SELECT unnest(skills_extra) AS skill FROM skilled) GROUP BY skill HAVING count(*) >= 5),
+    mentioned AS (SELECT query_id, skill AS tech FROM resumes, vocabulary WHERE contains(lower(resume_text), skill)),
+    added AS (SELECT query_id, list(tech) AS more FROM (SELECT * FROM companions UNION ALL SELECT * FROM mentioned) GROUP BY query_id),
+    wider AS (SELECT g.* REPLACE (list_distinct(list_concat(techs, coalesce(more, []))) AS techs) FROM general g LEFT JOIN added USING (query_id)),
+    wide_pool AS (SELECT * REPLACE (list_distinct(list_concat(techs, skills_extra)) AS techs) FROM pool),
+    mine_w AS (SELECT *, {_WORDS.format('resume_text')} AS words FROM wider WHERE len(techs) = 0),
+    job_w AS (SELECT *, {_WORDS.format('raw_text')} AS words FROM pool),
+    likeness AS (SELECT query_id, job_id, round(len(list_intersect(q.words, p.words))
+        / (len(q.words) + len(p.words) - len(list_intersect(q.words, p.words))), 12) AS score
+      FROM mine_w q JOIN job_w p ON {_PASS} AND len(list_intersect(q.words, p.words)) > 0)""",
+    *match_sql("wider", "wide_pool", "job_id", _PASS)))
+def recommend_resumes(spark, sf_dir):
+    """The matcher's one entry, with its filters and all its flags; résumés without skills go by their words."""
+    rows, side = corpus_rows(spark, sf_dir)
+    best = M.recommend(mixed_resumes(spark, sf_dir), rows, AS_OF, 10, M.FILTERS,
+                       M.Flags(True, True, True, True, RELATED_SHARE), backfill=side)
+    return shown(best, "fallback")
 
 
 @query("text_fallback", """
@@ -240,9 +290,9 @@ asked AS (SELECT row_id AS target_row, job_id AS target, ratio, row_id || '/' ||
 
 def proxy_inputs(spark, sf_dir):
     """(pool, idf, queries); the pool is read several times, so it is written once."""
-    pool = cut_lineage(recommendable(spark, sf_dir).select(
-        "row_id", "job_id", "techs", "skills_extra", "location", "experience_level"))
-    return pool, weights(spark, sf_dir), cut_lineage(X.make_query_set(pool))
+    pool, idf = pool_and_weights(spark, sf_dir)
+    pool = cut_lineage(pool.select("row_id", "job_id", "techs", "skills_extra", "location", "experience_level"))
+    return pool, idf, cut_lineage(X.make_query_set(pool))
 
 
 @query("pseudo_resumes", over_corpus(

@@ -12,6 +12,7 @@ from gonggo.plans.ingest_queries import MASTER_SQL, master
 from gonggo.plans.registry import query
 from gonggo.plans.tech_queries import FOUND_SQL, LISTED_SQL, skilled
 from gonggo.plans.urgency_queries import V5_SQL, _always_open, _date, _has
+from gonggo.session import cut_lineage
 
 
 def _latest(column: str, pattern: str) -> str:
@@ -29,9 +30,9 @@ _STATUS = f"""CASE WHEN {{0}} >= DATE '{AS_OF}' THEN 'open' WHEN {{0}} < DATE '{
     WHEN {{1}} THEN 'rolling' ELSE 'unknown' END"""
 
 
-def backfill(spark, sf_dir) -> DataFrame:
+def backfill(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """A side table for the saramin postings, one row per job_id."""
-    rows = postings(spark, sf_dir).where("source = 'saramin'")
+    rows = (postings(spark, sf_dir) if rows is None else rows).where("source = 'saramin'")
     first = rows.groupBy("job_id").agg(F.min(F.struct(
         "row_id", "title_text", "company_name", "place", "end", "qty", "n_lines")).alias("r"))
     r = F.col("r")
@@ -69,8 +70,9 @@ pool AS (SELECT m.row_id, m.source, m.job_id, coalesce(m.title, b.title) AS titl
 
 
 def recommendable(spark, sf_dir, **options) -> DataFrame:
-    return P.recommendation_pool(with_techs(master(spark, sf_dir)), AS_OF,
-                                 backfill(spark, sf_dir), **options)
+    rows = cut_lineage(postings(spark, sf_dir))
+    return P.recommendation_pool(with_techs(master(spark, sf_dir, rows)), AS_OF,
+                                 backfill(spark, sf_dir, rows), **options)
 
 
 @query("deadlines", over_corpus(

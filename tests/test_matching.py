@@ -86,6 +86,67 @@ def test_baseline_schemes_equal_brute_force(spark):
         assert spark_result(got.where(F.col("scheme") == mode), "row_id") == want, mode
 
 
+def test_few_seeds_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(M, "SEED_PROFILES", 5)
+    pool, queries, idf, (p, q, w) = make(spark, 7)
+    got = M.top_matches_by_scheme(q, p, w, 3, list(M.SCORERS)).cache()
+    for mode in M.SCORERS:
+        want = {k: v for k, v in brute(pool, queries, idf, mode, 3, True).items() if v}
+        assert spark_result(got.where(F.col("scheme") == mode), "job_id") == want, mode
+
+
+def test_no_bound_lies_below_a_score():
+    """Every score grows with what is shared, so the score of the most that can be shared bounds it."""
+    rng = random.Random(3)
+    for _ in range(300):
+        mine, job = ({t: rng.choice([0, .3, 1.2, 2.5]) for t in rng.sample(TECHS, rng.randint(1, 6))} for _ in range(2))
+        job = {t: mine.get(t, w) for t, w in job.items()}
+        sums = [(sum(side.values()), sum(w * w for w in side.values()), len(side)) for side in (mine, job)]
+        hit = {t: w for t, w in mine.items() if t in job}
+        shared = (sum(hit.values()), sum(w * w for w in hit.values()), len(hit))
+        most = tuple(min(a, b) for a, b in zip(*sums))
+
+        def scores(h):
+            (m, m2, mn), (j, j2, jn) = sums
+            return (h[0], h[0] / (math.sqrt(j) or 1), h[2] / (mn + jn - h[2]), h[1] / ((math.sqrt(m2) or 1) * (math.sqrt(j2) or 1)),
+                    h[0] / jn, h[0] / (j or 1), h[0] / (j + m - h[0]) if j + m > h[0] else 0)
+        assert all(a <= b + 1e-12 for a, b in zip(scores(shared)[:6], scores(most)[:6]))
+
+
+def test_equal_scores_show_the_first_posting(spark):
+    p = spark.createDataFrame([(3, "same", ["A", "X"], None), (2, "same", ["B", "X"], None), (5, "other", ["A"], None)],
+                              "row_id long, job_id string, techs array<string>, location string")
+    q = spark.createDataFrame([(1, ["A", "B"])], "query_id long, techs array<string>")
+    w = spark.createDataFrame([("A", 1.0), ("B", 1.0), ("X", 3.0)], "tech string, idf double").withColumn("idf", F.col("idf").cast("decimal(18,12)"))
+    got = {r["job_id"]: r["matched_techs"] for r in M.top_matches(q, p, w).collect()}
+    assert got == {"same": ["B"], "other": ["A"]}
+
+
+def test_recommend(spark):
+    rows = [(i, f"j{i}", "wanted", f"title {i}", "company", "서울" if i % 2 else None, None, techs, extra, text)
+            for i, (techs, extra, text) in enumerate([
+                (["Python"], [], "python api"), (["Python", "Django"], ["엑셀"], "django server"), (["Java"], [], "java spring"),
+                (["Spring"], [], "spring boot"), ([], ["엑셀"], "office work"), ([], [], "plain words here")] * 6)]
+    corpus = spark.createDataFrame(rows, """row_id long, job_id string, source string, title string, company string, location string,
+        experience_level string, techs array<string>, skills_extra array<string>, raw_text string""").cache()
+    asks = spark.createDataFrame([(1, "python", "서울"), (2, "Spring Boot", None), (3, "plain words", None), (4, None, None)],
+                                 "query_id long, resume_text string, want_location string")
+
+    def run(**how):
+        out = {}
+        for r in M.recommend(asks, corpus, "2026-06-20", 4, **how).orderBy("query_id", "rank").collect():
+            out.setdefault(r["query_id"], []).append((r["job_id"], r["fallback"]))
+        return out
+    plain = run()
+    assert set(plain) == {1} and [j for j, _ in plain[1]] == ["j0", "j12", "j18", "j24"]
+    assert [j for j, _ in run(filters=("location",))[1]] == ["j0", "j12", "j18", "j24"]
+    every = run(flags=M.Flags(True, True, True, True))
+    assert [j for j, _ in every[2]] == ["j15", "j21", "j27", "j3"] and 4 not in every
+    assert every[3] == [(j, "text_overlap") for j in ("j11", "j17", "j23", "j29")]
+    with pytest.raises(ValueError):
+        M.recommend(asks, corpus, "2026-06-20", mode="nope")
+
+
 def test_filters_pass_missing_values(spark):
     pool, queries, idf, (p, q, w) = make(spark, 3)
     got = spark_result(M.top_matches(q, p, w, 6, filters=("location",)), "job_id")
