@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gonggo.functions.dates import date_in
 from gonggo.functions.nulls import blank_to_null
@@ -12,6 +12,7 @@ from gonggo.functions.regex import every, first, found
 from gonggo.functions.stages import computed
 from gonggo.operators import urgency, urgency_words as W
 from gonggo.operators.trends import of_sources
+from gonggo.session import cut_lineage
 
 # How a deadline is written.
 LABELLED_DATE = r"마감일\s*[:\s]?\s*(20\d\d)\s*[.\-/년]\s*(\d{1,2})\s*[.\-/월]\s*(\d{1,2})"
@@ -77,13 +78,18 @@ def fill_from_backfill(df: DataFrame, backfill: DataFrame | None) -> DataFrame:
 
 def recommendation_pool(df: DataFrame, as_of, backfill: DataFrame | None = None,
                         only_open: bool = False, require_techs: bool = False,
-                        sources=None) -> DataFrame:
+                        sources=None, seen: Observation | None = None) -> DataFrame:
     """Postings with a title and a company, with deadline and status on `as_of`.
 
     `df` holds techs and skills_extra. The status is computed for the day
-    asked, never stored with the postings.
+    asked, never stored with the postings. `seen` observes, in the pass that makes the pool, how many
+    postings there were (rows), the side table named (merged), and still have no title or company (unnamed).
     """
     filled = with_deadline(fill_from_backfill(of_sources(df, sources), backfill))
+    if seen is not None:
+        nameless = F.col("title").isNull() | F.col("company").isNull()
+        filled = filled.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("merged").alias("merged"),
+                                F.count_if(nameless).alias("unnamed"))
     filled = filled.where("title is not null and company is not null")
     dated = F.col("bf_deadline").isNotNull()
     pool = filled.select(
@@ -99,13 +105,21 @@ def recommendation_pool(df: DataFrame, as_of, backfill: DataFrame | None = None,
     return pool
 
 
-def check_backfill(pool: DataFrame, backfill: DataFrame | None) -> list[str]:
-    """Warnings for the two ways a backfill silently fails to work."""
-    if backfill is None or backfill.where("status = 'ok'").limit(1).count() == 0:
-        return ["no backfill: saramin postings without title and company are left out"]
-    if pool.where("merged").limit(1).count() == 0:
-        return ["the backfill filled no posting"]
-    return []
+NO_BACKFILL = "no backfill: postings without title and company are left out"
+
+
+def guarded_pool(df: DataFrame, as_of, backfill: DataFrame | None = None, **options) -> tuple[DataFrame, dict]:
+    """The pool as a written stage, and what was observed while it was made: rows, merged, unnamed, warning.
+
+    Without a side table the warning says what that leaves out. One that fills nothing is an error, since
+    the pool would be silently short. No pass is made but the one that writes the pool.
+    """
+    seen = Observation()
+    pool = cut_lineage(recommendation_pool(df, as_of, backfill, seen=seen, **options))
+    figures = {k: int(v) for k, v in seen.get.items()}
+    if backfill is not None and figures["rows"] and not figures["merged"]:
+        raise ValueError("the backfill filled no posting")
+    return pool, figures | {"warning": NO_BACKFILL if backfill is None else None}
 
 
 def pool_report(pool: DataFrame) -> DataFrame:

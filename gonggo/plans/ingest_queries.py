@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gonggo.functions.nulls import blank_to_null, nan_to_null
 from gonggo.plans.corpus import over_corpus, postings, read
 from gonggo.plans.registry import query
+from gonggo.session import cut_lineage, shared_folder
 from gonggo.sources import postings as S
 
 # order priority -> experience as a jobkorea page words it
@@ -121,3 +122,56 @@ def blank_values(spark, sf_dir):
     number = F.when(F.col("c_nationkey") == 5, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
     return customer.select("c_custkey", blank_to_null(spelled).alias("name"),
                            nan_to_null(number).alias("balance"))
+
+
+_FILES = ("wanted_cleaned_techs2.json", "jobkorea_cleaned_techs2.json", "saramin_cleaned_techs2.json")
+_ORDER = "CASE source WHEN 'wanted' THEN 0 WHEN 'jobkorea' THEN 1 ELSE 2 END"
+
+
+@query("ingested_files", over_corpus(
+    f"""SELECT source, count(*) AS n, sum(count(*)) OVER (ORDER BY {_ORDER}) - count(*) AS first_id,
+        sum(count(*)) OVER (ORDER BY {_ORDER}) - 1 AS last_id, count(*) AS n_ids, 0 AS changed_ids,
+        sum(length(raw_text)) AS chars, count(experience_level) AS with_level
+        FROM master GROUP BY source""", MASTER_SQL), BIGINT=("n", "first_id", "last_id", "n_ids", "changed_ids", "chars", "with_level"))
+def ingested_files(spark, sf_dir):
+    """The corpus written as the sites' files of JSON lines and read back twice, in pieces of two sizes, with
+    numbers that must be dense and the same."""
+    folder = shared_folder(spark, "sources")
+    for name, rows in zip(_FILES, raw_sources(spark, sf_dir, cut_lineage(postings(spark, sf_dir)))):
+        rows.drop("row_id").write.option("ignoreNullFields", False).json(f"{folder}/{name}")
+    once = cut_lineage(S.ingest(spark, folder, lines=True))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(1 << 20))
+    try:
+        again = cut_lineage(S.ingest(spark, folder, lines=True).select("row_id", F.xxhash64("source", "job_id", "raw_text").alias("other")))
+    finally:
+        spark.conf.set(size, before)
+    both = once.withColumn("mine", F.xxhash64("source", "job_id", "raw_text")).join(again, "row_id", "left")
+    long = lambda c, name: c.cast("long").alias(name)
+    return both.groupBy("source").agg(
+        long(F.count(F.lit(1)), "n"), long(F.min("row_id"), "first_id"), long(F.max("row_id"), "last_id"),
+        long(F.count_distinct("row_id"), "n_ids"), long(F.count_if(~F.col("mine").eqNullSafe(F.col("other"))), "changed_ids"),
+        long(F.sum(F.length("raw_text")), "chars"), long(F.count("experience_level"), "with_level"))
+
+
+@query("master_versions", over_corpus(
+    """SELECT 'raw' AS version, source, count(*) AS n, 0 AS score, sum(length(raw_text)) AS chars FROM master GROUP BY source
+       UNION ALL SELECT 'v5', source, count(*), sum(CASE WHEN source = 'wanted' THEN 10 - old_label ELSE old_label END),
+       sum(length(raw_text)) FROM master GROUP BY source""", MASTER_SQL), BIGINT=("n", "score", "chars"))
+def master_versions(spark, sf_dir):
+    """Two label versions in one table; of the second, one source is then replaced and the others stay."""
+    folder = shared_folder(spark, "versions")
+    rows = cut_lineage(postings(spark, sf_dir))
+    labels = rows.select("row_id", "old_label")
+    plain = master(spark, sf_dir, rows).select(*S.MASTER.names)
+    scored = cut_lineage(plain.drop("urgency_score").join(labels, "row_id").withColumnRenamed("old_label", "urgency_score").select(*S.MASTER.names))
+    S.write_version(plain, folder, "raw")
+    S.write_version(scored, folder, "v5")
+    S.write_version(scored.where("source = 'wanted'").withColumn("urgency_score", 10 - F.col("urgency_score")), folder, "v5")
+
+    def figures(version):
+        return S.read_version(spark, folder, version).groupBy("source").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("urgency_score"), F.lit(0)).cast("long").alias("score"),
+            F.sum(F.length("raw_text")).cast("long").alias("chars")).withColumn("version", F.lit(version))
+    return figures("raw").unionByName(figures("v5"))

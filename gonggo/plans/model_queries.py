@@ -408,6 +408,20 @@ def struct_ablation(spark, sf_dir):
     return _checked(M.struct_ablation(rows, "y", RECIPE, 50), "feature_set")
 
 
+@query("transfer_figures")
+def transfer_figures(spark, sf_dir):
+    """The transfer study's own figures: kappa, error and gain of the model in each held-out source."""
+    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    return E.rounded(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)), 4)
+
+
+@query("struct_figures")
+def struct_figures(spark, sf_dir):
+    """The figures of the study on text and structured features."""
+    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    return E.rounded(M.struct_ablation(rows, "y", RECIPE, 50), 4)
+
+
 @query("leakage_ablation")
 def leakage_ablation(spark, sf_dir):
     """How much of the score comes from the phrases the labels were made of."""
@@ -420,11 +434,13 @@ def leakage_ablation(spark, sf_dir):
 
 @query("source_classifier")
 def source_classifier(spark, sf_dir):
-    """Accuracy of telling the source from the text after each cleaning stage."""
+    """Accuracy of telling the source from the text after each cleaning stage, and the words that tell it."""
     rows = cut_lineage(X.stratified_split(postings(spark, sf_dir).select("row_id", "source", "raw_text"), "source"))
     accuracy, words = M.source_classifier(rows.where("split = 'train'"), rows.where("split = 'test'"),
                                           RECIPE, 5)
-    best = words.groupBy("stage").agg(F.count(F.lit(1)).alias("listed_words"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("source", "rank", "term"))),
+                        lambda w: F.concat(w["source"], F.lit(":"), w["term"]))
+    best = words.groupBy("stage").agg(F.count(F.lit(1)).alias("listed_words"), F.array_join(named, "|").alias("top_words"))
     return E.rounded(accuracy.join(best, "stage"), 4)
 
 

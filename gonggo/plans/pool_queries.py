@@ -167,3 +167,20 @@ def skill_idf(spark, sf_dir):
     """The same weights with skills outside the dictionary."""
     return P.tech_idf(skilled(spark, sf_dir), include_extra=True).select(
         "tech", "df", F.round(F.col("idf").cast("double"), 9).alias("idf"))
+
+
+@query("pool_guards", over_corpus(
+    f"""SELECT 'with backfill' AS pool, count(*) AS rows_seen, count(*) FILTER ((m.title IS NULL AND b.title IS NOT NULL)
+        OR (m.company IS NULL AND b.company IS NOT NULL)) AS merged, count(*) FILTER (coalesce(m.title, b.title) IS NULL
+        OR coalesce(m.company, b.company) IS NULL) AS unnamed, CAST(NULL AS VARCHAR) AS warning FROM master m
+        LEFT JOIN backfill b ON b.job_id = m.job_id AND m.source = 'saramin' AND b.status = 'ok'
+        UNION ALL SELECT 'without', count(*), 0, count(*) FILTER (title IS NULL OR company IS NULL), '{P.NO_BACKFILL}' FROM master""",
+    BACKFILL_SQL, MASTER_SQL), BIGINT=("rows_seen", "merged", "unnamed"))
+def pool_guards(spark, sf_dir):
+    """What the pool's own pass observes, with and without the side table."""
+    rows = cut_lineage(postings(spark, sf_dir))
+    plain = cut_lineage(with_techs(master(spark, sf_dir, rows), text=None))
+    found = [(name, P.guarded_pool(plain, AS_OF, side)[1]) for name, side in (
+        ("with backfill", backfill(spark, sf_dir, rows)), ("without", None))]
+    return spark.createDataFrame([(n, f["rows"], f["merged"], f["unnamed"], f["warning"]) for n, f in found],
+                                 "pool string, rows_seen long, merged long, unnamed long, warning string")

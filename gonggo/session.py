@@ -62,12 +62,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return written(df)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that all executors see."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """`df` as a Parquet stage in the shared folder, read back.
 
     Unlike a checkpoint it is read with column pruning and pushed-down filters.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from gonggo.functions.joins import small_side
 from gonggo.functions.nulls import nan_to_null
 from gonggo.functions.regex import first, stripped
 
@@ -44,19 +45,34 @@ def master_path(folder: str, version: str = "v5") -> str:
     return os.path.join(folder, VERSIONS[version])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array file, or a folder of them."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON array file or a folder of them; with `lines`, one object a line, which many tasks read in pieces.
+
+    Adds where a row comes from: _file, _block (first byte of the piece) and _at (growing inside a piece).
+    """
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at"))
+
+
+PLACE = ("_file", "_block", "_at")
 
 
-def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """Numbers the rows once, at ingest: unique, and growing in file order.
+def with_row_id(df: DataFrame, order: str = "source_no", out: str = "row_id") -> DataFrame:
+    """Numbers rows that `read_json` read, 0, 1, 2 ... by `order`, file and place in the file.
 
-    (source, job_id) is not a key, so everything later is joined by this number.
-    Numbers have gaps between partitions, so no pass over the data is needed.
-    Write the result before using it; do not number the same files twice.
+    (source, job_id) is not a key, so everything later is joined by this number. Each piece of a file is
+    counted first; the pieces before it give its offset. So the numbers have no gaps and depend on
+    nothing but the files: however often they are read, and in whatever pieces, they are the same.
     """
-    return df.select(F.monotonically_increasing_id().alias(out), "*")
+    piece = [order, "_file", "_block"]
+    counts = df.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per piece of a file, so this window and the lookup stay small
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = df.join(small_side(offsets), piece)
+    return rows.select((F.col("_before") + F.col("_at") - F.col("_first")).alias(out),
+                       *(c for c in df.columns if c not in (order, *PLACE)))
 
 
 # ---------------------------------------------------------------- experience levels
@@ -128,12 +144,13 @@ def merge(wanted: DataFrame, jobkorea: DataFrame, saramin: DataFrame, *keep: str
             .unionByName(from_saramin(saramin, *keep)))
 
 
-def ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """The three JSON files of a folder as one numbered master table."""
+def ingest(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """The three JSON files (or, with `lines`, files or folders of JSON lines) of a folder as one numbered master table."""
     files = {"wanted_cleaned_techs2.json": WANTED, "jobkorea_cleaned_techs2.json": JOBKOREA,
              "saramin_cleaned_techs2.json": SARAMIN}
-    parts = [read_json(spark, os.path.join(folder, n), s) for n, s in files.items()]
-    return with_row_id(merge(*parts))
+    parts = [read_json(spark, os.path.join(folder, n), s, lines).withColumn("source_no", F.lit(i))
+             for i, (n, s) in enumerate(files.items())]
+    return with_row_id(merge(*parts, "source_no", *PLACE))
 
 
 def write_master(df: DataFrame, folder: str, version: str) -> None:
@@ -149,6 +166,25 @@ def read_master(spark: SparkSession, folder: str, version: str = "v5") -> DataFr
     return spark.read.schema(MASTER).parquet(master_path(folder, version))
 
 
+def write_version(df: DataFrame, folder: str, version: str) -> None:
+    """Rows of one label version into a table of all versions: of that version, the sources that `df` holds
+    are replaced, everything else stays."""
+    master_path(folder, version)
+    (df.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version", "source").parquet(os.path.join(folder, "master_versions")))
+
+
+def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
+    """One version of that table; only its folders are read. A version that is not there is an error."""
+    master_path(folder, version)
+    table = spark.read.schema(T.StructType([*MASTER.fields, T.StructField("version", _S)])).parquet(
+        os.path.join(folder, "master_versions"))
+    rows = table.where(F.col("version") == version).drop("version")
+    if rows.isEmpty():
+        raise ValueError(f"label version {version!r} has not been written")
+    return rows
+
+
 # ---------------------------------------------------------------- lists and profiles
 
 def parse_list(cell: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gonggo.operators import pool as P
@@ -60,9 +62,14 @@ def test_pool_options_and_warnings(spark):
     whole = corpus(spark)
     pool = P.recommendation_pool(whole, AS_OF, None)
     assert [r["row_id"] for r in pool.orderBy("row_id").collect()] == [3, 4]
-    assert P.check_backfill(pool, None)
+    stage, seen = P.guarded_pool(whole, AS_OF)
+    assert stage.count() == pool.count() and seen["warning"] == P.NO_BACKFILL
+    assert (seen["rows"], seen["merged"], seen["unnamed"]) == (whole.count(), 0, whole.count() - pool.count())
     assert [r["row_id"] for r in P.recommendation_pool(
         whole, AS_OF, None, True, True, ["jobkorea"]).collect()] == [4]
     empty = spark.createDataFrame([("99", "a", "b", None, None, None, "ok")], SIDE)
-    assert P.check_backfill(P.recommendation_pool(whole, AS_OF, empty), empty) == ["the backfill filled no posting"]
+    with pytest.raises(ValueError):
+        P.guarded_pool(whole, AS_OF, empty)
+    side = spark.createDataFrame([("7", "제목", "회사", None, None, None, "ok")], SIDE)
+    assert P.guarded_pool(whole, AS_OF, side)[1]["merged"] >= 1
     assert P.duplicate_keys(whole).first()["repeats"] == 1

@@ -35,11 +35,44 @@ def test_ingest_write_read(spark, tmp_path):
     assert [(r["source"], r["job_id"], r["raw_text"], r["experience_level"]) for r in back] == [
         ("wanted", "1", "m\n\nq", "3~5년차"), ("jobkorea", "2", "x", "신입"),
         ("saramin", "3", "y", None), ("saramin", "3", "z", None)]
-    assert len({r["row_id"] for r in back}) == 4
+    assert [r["row_id"] for r in back] == [0, 1, 2, 3]
     with pytest.raises(ValueError):
         S.master_path("x", "v9")
 
 
+def test_row_numbers_are_dense_whatever_the_pieces(spark, tmp_path):
+    for name, key in (("wanted", "job_id"), ("jobkorea", "공고번호"), ("saramin", "공고번호")):
+        folder = tmp_path / f"{name}_cleaned_techs2.json"
+        folder.mkdir()
+        for part, n in (("a", 700), ("b", 0), ("c", 40)):
+            (folder / f"part-{part}.json").write_text("".join(json.dumps({key: f"{part}{i}", "note": "x" * 50}) + "\n" for i in range(n)), encoding="utf-8")
+    ids = []
+    for size in ("134217728", "4096"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = S.ingest(spark, str(tmp_path), lines=True).select("row_id", "source", "job_id").orderBy("row_id").collect()
+        ids.append(rows)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ids[0] == ids[1] and [r["row_id"] for r in ids[0]] == list(range(2220))
+    assert [(r["source"], r["job_id"]) for r in ids[0]] == [
+        (s, f"{p}{i}") for s in ("wanted", "jobkorea", "saramin") for p, n in (("a", 700), ("c", 40)) for i in range(n)]
+
+
+def test_versions(spark, tmp_path):
+    rows = [(i, s, str(i), None, None, None, None, f"{v} {i}", [], [], [], [], [], i, None) for v in ("x",) for i, s in enumerate(["wanted", "saramin", "saramin"])]
+    df = spark.createDataFrame(rows, S.MASTER)
+    folder = str(tmp_path)
+    S.write_version(df, folder, "raw")
+    S.write_version(df, folder, "v5")
+    S.write_version(df.where("source = 'saramin' AND row_id = 1").withColumn("raw_text", F.lit("new")), folder, "v5")
+    got = {v: sorted((r["row_id"], r["raw_text"]) for r in S.read_version(spark, folder, v).collect()) for v in ("raw", "v5")}
+    assert got == {"raw": [(0, "x 0"), (1, "x 1"), (2, "x 2")], "v5": [(0, "x 0"), (1, "new")]}
+    for unknown in ("v9", "v4"):
+        with pytest.raises(ValueError):
+            S.read_version(spark, folder, unknown)
+
+
 def test_list_cells(spark):
     cases = {"['a', 'b']": ["a", "b"], '["it\'s"]': ["it's"], "[]": [], "[1, 2]": [], "['a'": [], None: [], "x": []}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
