@@ -211,6 +211,26 @@ def _scored(lists: DataFrame, profiles: DataFrame, filters: list[str], scores: d
     return exact.select("profile", "entity", F.inline(rows)).where("score >= least").drop("least")
 
 
+def _scored_together(asked: DataFrame, profiles: DataFrame, idf: DataFrame, filters: list[str],
+                     scores: dict[str, Column], small: bool) -> DataFrame:
+    """`_scored` for several schemes: no bound holds for all of them, so what each pair shares is summed once
+    and scored under every scheme. `profiles` stay on their partitions up to the sums."""
+    wants = ["want_" + f for f in filters]
+    mine = _weights(asked, "_q", idf, "mine", wants).select(
+        "_q", *wants, "mine", "mine_sq", "mine_n", F.explode("mine_skills.tech").alias("tech"))
+    held = _weights(profiles.select("profile", "entity", *filters, "techs"), "profile", idf, "job", ["entity", *filters]).select(
+        "profile", "entity", *filters, "job", "job_sq", "job_n", F.inline("job_skills")).drop("known", "units")
+    # constants of a side are taken as maxima: numbers keep this a hash aggregation
+    sides = ("job", "job_sq", "job_n", "mine", "mine_sq", "mine_n")
+    sums = (held.join(F.broadcast(mine) if small else mine, "tech").where(_passes(filters))
+            .groupBy("profile", "entity", "_q").agg(
+                F.sum("w").alias("hit"), F.sum("sq").alias("hit_sq"), F.count(F.lit(1)).alias("hit_n"),
+                *(F.max(c).alias(c) for c in sides)))
+    rows = F.array(*(F.struct((F.col("_q") * len(scores) + i).alias("slot"), c.alias("score"))
+                     for i, c in enumerate(scores.values())))
+    return sums.select("profile", "entity", F.inline(rows))
+
+
 def _best(rows: DataFrame, k: int, key: str = "slot") -> DataFrame:
     """The k best rows per key; each task drops the rest of its own first."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "entity")
@@ -222,26 +242,35 @@ def _is_small(queries: DataFrame) -> bool:
     return measured_bytes(queries) <= LOOKUP_BYTES
 
 
-def _single_profile_matches(lists, members, idf, k, filters, scores, by_count) -> DataFrame:
+def _single_profile_matches(asked, lists, members, idf, k, filters, scores, small, by_count) -> DataFrame:
     """Entities with one profile: the k best profiles (by score, then first
     entity) hold the k best entities. A few profiles are scored before the others, for the floors."""
-    profiles = _summed(_profiles(members, k, ["techs", *filters]), idf, by_count)
-    n, small = len(scores), _is_small(lists.select("_q", "later", "earlier"))
+    profiles = _profiles(members, k, ["techs", *filters])
+    if len(scores) > 1:
+        best = _best(_scored_together(asked, profiles, idf, filters, scores, small), k).drop("entity", "rank")
+        return _entities(best, profiles, k)
+    profiles = _summed(profiles, idf, by_count)
+    n = len(scores)
     seeds = profiles.where(F.pmod(F.xxhash64("profile"), F.lit(max(1, profiles.count() // SEED_PROFILES))) == 0)
     open_lists = lists.withColumn("floor", F.array_repeat(F.lit(-1.0), n))
     floors = cut_lineage(_floors(_best(_scored(open_lists, seeds, filters, scores, small, by_count), k), lists, k, n))
     best = _best(_scored(floors, profiles, filters, scores, small, by_count), k).drop("entity", "rank")
+    return _entities(best, profiles, k)
+
+
+def _entities(best: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
     hits = best.join(profiles.select("profile", "techs", "entities"), "profile").select(
         "slot", "score", "techs", F.explode("entities").alias("entity"))
     return _best(hits, k)
 
 
-def _shared_profile_matches(lists, members, idf, filters, scores, by_count) -> DataFrame:
+def _shared_profile_matches(asked, lists, members, idf, filters, scores, small, by_count) -> DataFrame:
     """Entities with several profiles count with their best one, and of equally good ones the one that
     comes first in the pool: pre-aggregated per (query, entity), so a hot entity makes no hot task."""
-    profiles = _summed(_spread_profiles(members.groupBy("profile").agg(
-        *(F.first(c).alias(c) for c in ["techs", *filters]), F.min("entity").alias("entity"))), idf, by_count)
-    scored = _scored(lists, profiles, filters, scores, _is_small(lists.select("_q", "later", "earlier")), by_count).drop("entity")
+    profiles = _spread_profiles(members.groupBy("profile").agg(
+        *(F.first(c).alias(c) for c in ["techs", *filters]), F.min("entity").alias("entity")))
+    scored = (_scored_together(asked, profiles, idf, filters, scores, small) if len(scores) > 1
+              else _scored(lists, _summed(profiles, idf, by_count), filters, scores, small, by_count)).drop("entity")
     links = members.select(F.upper("profile").alias("profile"), "entity", "row", "techs")
     return (scored.join(links, "profile").groupBy("slot", "entity")
             .agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "techs")).alias("b"))
@@ -263,23 +292,24 @@ def top_matches_by_scheme(queries: DataFrame, pool: DataFrame, idf: DataFrame, k
                                        *("want_" + f for f in names)))
     idf = small_side(idf.select("tech", "idf"))
     lists = cut_lineage(_lists(asked, idf, names, only_known))
+    small = _is_small(lists.select("_q", "later", "earlier") if n == 1 else asked.select("_q", F.explode("techs").alias("tech")))
     members = _members(pool, entity, names)
     if unique_entity:
-        best = _single_profile_matches(lists, members, idf, k, names, scores, by_count)
+        best = _single_profile_matches(asked, lists, members, idf, k, names, scores, small, by_count)
     else:
         # read several times below, and narrow: written once
         members = cut_lineage(members.groupBy("profile", "entity").agg(
             F.min("row").alias("row"), *(F.first(c).alias(c) for c in ["techs", *names])))
         several = cut_lineage(members.groupBy("entity").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1").select("entity"))
         if several.isEmpty():
-            best = _single_profile_matches(lists, members, idf, k, names, scores, by_count)
+            best = _single_profile_matches(asked, lists, members, idf, k, names, scores, small, by_count)
         else:
             single = members.join(several, "entity", "left_anti")
             shared = members.join(several, "entity", "left_semi")
-            alone = cut_lineage(_single_profile_matches(lists, single, idf, k, names, scores, by_count))
+            alone = cut_lineage(_single_profile_matches(asked, lists, single, idf, k, names, scores, small, by_count))
             floors = cut_lineage(_floors(alone, lists, k, n))
             best = _best(alone.drop("rank").unionByName(
-                _shared_profile_matches(floors, shared, idf, names, scores, by_count)), k)
+                _shared_profile_matches(asked, floors, shared, idf, names, scores, small, by_count)), k)
     mine = asked.select("_q", "query_id", F.col("techs").alias("_mine"))
     place = (F.col("slot") % n).cast("int")
     return (best.withColumn("_q", F.expr(f"slot div {n}")).join(mine, "_q")
