@@ -89,7 +89,7 @@ def measured_bytes(df: DataFrame) -> int:
         if kind == "array<string>":
             return F.aggregate(name, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
         if kind.startswith("array"):
-            return F.size(name) * (64 if "struct" in kind else 16)
+            return F.size(name) * (64 if "string" in kind else 16)
         return F.lit({"bigint": 8, "double": 8, "int": 4, "float": 4, "boolean": 1}.get(kind, 16))
 
     parts = [F.sum(F.coalesce(width(f"`{n}`", k), F.lit(0)).cast("bigint") + 8) for n, k in df.dtypes]
