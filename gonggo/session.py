@@ -70,10 +70,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """`df` as a Parquet stage in the shared folder, read back.
 
-    Unlike a checkpoint it is read with column pruning and pushed-down filters.
+    Unlike a checkpoint it is read with column pruning and pushed-down filters. Once it is written, nothing
+    reads the shuffle files of its making, so they go.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,16 +107,29 @@ def lookup(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
     return F.broadcast(stage) if measured_bytes(stage) <= max_bytes else stage
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside; what was set before is put back after."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+# Bytes of one Arrow batch where `arrow_rows` rules; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most `rows` rows for the jobs that run inside; the setting is put back after.
+    """Arrow batches of at most `rows` rows and BATCH_BYTES for the jobs that run inside; the settings are put back after.
 
-    For jobs on long texts: a task holds a few MB of them at a time, on both sides of the pipe.
+    For jobs on long texts or packed keys: a task holds a few MB of them at a time, on both sides of the pipe.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    before = int(spark.conf.get(name))
+    with (setting(spark, name, str(min(rows, before) if before > 0 else rows)),
+          setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")):
         yield
-    finally:
-        spark.conf.set(name, before)
