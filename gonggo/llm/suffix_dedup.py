@@ -27,6 +27,8 @@ LENGTH, GRAM = 100, 32
 GROUP_ROWS = 512
 # Texts or contexts that one Arrow batch holds.
 BATCH_ROWS = 1000
+# Bytes of text that are looked at together in one task, and those that are hashed at a time.
+BLOCK_BYTES, PIECE_BYTES = 128 << 20, 1 << 22
 _PLACE_BITS = np.uint64(28)
 
 
@@ -40,13 +42,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(x[:-16] * c + mix(x[16:]) * d)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, hash and row of the anchors of all strings of `length` bytes within a row."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, np.zeros(0, np.uint64), none
-    if len(data) >= 1 << int(_PLACE_BITS):
-        raise ValueError("a text is too long")
+def _anchors(data: np.ndarray, length: int) -> np.ndarray:
+    """Place of the anchor of each string of `length` bytes."""
     hashes = gram_hashes(data)
     least = hashes >> _PLACE_BITS << _PLACE_BITS | np.arange(len(hashes), dtype=np.uint64)
     window, width = length - GRAM + 1, 1
@@ -55,12 +52,51 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
         width *= 2
     if width < window:
         least = np.minimum(least[:-(window - width)], least[window - width:])
-    whole = np.ones(len(least), bool)
-    for end in offsets[1:-1]:
-        whole[max(end - length + 1, 0):end] = False
-    places = (least[whole] & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
-    places = places[np.append(True, places[1:] != places[:-1])] if len(places) else places
-    return places, hashes[places], np.searchsorted(offsets, places, side="right") - 1
+    return (least & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
+            piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and row of the anchors of all strings of `length` bytes within a row.
+
+    Longer data is read in pieces, each with the strings that begin in it.
+    """
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    last = -1
+    for low in range(0, len(data) - length + 1, piece):
+        part = data[low:low + piece + length - 1]
+        found = _anchors(part, length)
+        whole = np.ones(len(found), bool)
+        inner = offsets[1:-1]
+        for end in inner[np.searchsorted(inner, low, side="right"):np.searchsorted(inner, low + len(part))] - low:
+            whole[max(end - length + 1, 0):end] = False
+        found = found[whole]
+        found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+        found = found[found + low > last]
+        if len(found):
+            last = int(found[-1]) + low
+            places.append(found + low)
+            hashes.append(gram_hashes(part)[found])
+    where = np.concatenate(places)
+    return where, np.concatenate(hashes), np.searchsorted(offsets, where, side="right") - 1
+
+
+def surrounding_hashes(data: np.ndarray, begin: np.ndarray, at: np.ndarray, end: np.ndarray,
+                       piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes from `begin` to `end` and of how far `at` is from `begin`; `at` ascends."""
+    hashes, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    identity = np.arange(256, dtype=np.uint8)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + piece, piece))
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            base = int(begin[low:high].min())
+            part = data[base:int(end[low:high].max())]
+            one = bytetext.word_hashes(part, begin[low:high] - base, end[low:high] - base, identity)
+            half = bytetext.word_hashes(part, at[low:high] - base, end[low:high] - base, identity)
+            back = (at[low:high] - begin[low:high]).astype(np.uint64)
+            hashes.append(mix(one + back))
+            checks.append(mix(half + one * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(hashes), np.concatenate(checks)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,34 +156,53 @@ def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGT
     return out
 
 
-_CONTEXTS = T.StructType([T.StructField(n, t) for n, t in (
-    ("gram", T.LongType()), ("at", T.LongType()), ("back", T.LongType()), ("context", T.BinaryType()),
-    ("doc", T.LongType()), ("tie", T.LongType()), ("start", T.LongType()), ("end", T.LongType()))])
-_ARROW_CONTEXTS = pa.schema([("gram", pa.int64()), ("at", pa.int64()), ("back", pa.int64()), ("context", pa.binary()),
-                             ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_PLACES = T.StructType([T.StructField(n, t) for n, t in (
+    ("gram", T.LongType()), ("hash", T.LongType()), ("check", T.LongType()), ("doc", T.LongType()), ("tie", T.LongType()),
+    ("at", T.LongType()), ("back", T.IntegerType()), ("size", T.LongType()))])
+_ARROW_PLACES = pa.schema([("gram", pa.int64()), ("hash", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()),
+                           ("tie", pa.int64()), ("at", pa.int64()), ("back", pa.int32()), ("size", pa.int64())])
+_CONTEXTS = "gram long, at long, back int, context binary, doc long, tie long, k long"
 _SPANS = "doc long, tie long, start long, end long"
 _ARROW_SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc (a null id comes first), tie (text hash), block and text."""
-    blocks = exchange.bucket_count(docs.sparkSession)
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int]:
+    """doc (a null id comes first), tie (text hash), block and text; and the number of blocks.
+
+    There are as many blocks as shuffle partitions, and more if they would hold more than BLOCK_BYTES of text.
+    """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(value).cast("bigint"))).first()[0] or 0
+    blocks = max(exchange.bucket_count(docs.sparkSession), -(-total // BLOCK_BYTES))
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)).alias("doc"),
                         F.xxhash64(value).alias("tie"), value.alias("text"))
-    return keyed.withColumn("block", F.pmod(F.xxhash64("doc", "tie"), F.lit(blocks)).cast("int"))
+    return keyed.withColumn("block", _block(blocks)), blocks
 
 
-def contexts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A written stage of what surrounds each anchor whose gram occurs again, once per block of documents.
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("doc", "tie"), F.lit(blocks)).cast("int")
 
-    An anchor with the same surroundings as an earlier one of its block is a span to remove instead.
-    """
-    spark = keyed.sparkSession
-    buckets = exchange.bucket_count(spark)
 
+def _sorted_texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, text hashes, bytes, offsets, and which rows repeat the one before, in order of documents."""
+    rows = rows.select(["doc", "tie", "text"]).sort_by([("doc", "ascending"), ("tie", "ascending")])
+    column = rows["text"].combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, offsets = bytetext.text_bytes(column)
+    docs, ties = rows["doc"].to_numpy(), rows["tie"].to_numpy()
+    again = np.zeros(len(docs), bool)
+    again[1:] = (docs[1:] == docs[:-1]) & (ties[1:] == ties[:-1])
+    return docs, ties, data, offsets, again
+
+
+def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
+    """A written stage of the anchors whose gram occurs again, and hashes of what surrounds them, once per block.
+
+    An anchor with the same surroundings as an earlier one of its block is a span to remove instead: a row
+    without a gram. No text is written.
+    """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = exchange.Sender(buckets)
+        sender = exchange.Sender(blocks)
         for batch in batches:
             data, offsets = bytetext.text_bytes(batch.column(1))
             block = batch.column(0).to_numpy(zero_copy_only=False)
@@ -158,42 +213,60 @@ def contexts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def surround(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys = exchange.known(answers)
-        rows = rows.select(["doc", "tie", "text"]).sort_by([("doc", "ascending"), ("tie", "ascending")])
-        column = rows["text"].combine_chunks()
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        data, offsets = bytetext.text_bytes(column)
-        docs, ties = rows["doc"].to_pylist(), rows["tie"].to_pylist()
-        met: set[tuple[int, int, bytes]] = set()
-        out: list[tuple] = []
-        done = None
+        docs, ties, data, offsets, again = _sorted_texts(rows)
+        found: list[tuple[np.ndarray, ...]] = []
         for low, high in bytetext.slices(offsets):
-            part = data[offsets[low]:offsets[high]]
-            own = offsets[low:high + 1] - offsets[low]
-            places, hashes, of = anchors(part, own, length)
-            keep = exchange.is_known(hashes, keys)
-            raw = part.tobytes()
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for at, gram, row in zip(places[keep].tolist(), hashes[keep].view(np.int64).tolist(), of[keep].tolist()):
-                doc = docs[low + row], ties[low + row]
-                if row and doc == (docs[low + row - 1], ties[low + row - 1]) or not row and doc == done:
-                    continue  # the same row again
-                begin = int(own[row])
-                start, end = max(begin, at - length + GRAM), min(int(own[row + 1]), at + length)
-                context = raw[start:end]
-                if (gram, at - start, context) in met:
-                    if end - start >= length:
-                        spans.setdefault(row, []).append((start - begin, end - begin))
-                else:
-                    met.add((gram, at - start, context))
-                    out.append((gram, at - begin, at - start, context, *doc, None, None))
-            out += [(None, None, None, None, docs[low + row], ties[low + row], a, b)
-                    for row, found in spans.items() for a, b in merged(found)]
-            done = docs[high - 1], ties[high - 1]
-        columns = list(zip(*out)) or [()] * len(_ARROW_CONTEXTS)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ARROW_CONTEXTS)], schema=_ARROW_CONTEXTS)
+            part, own = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+            at, grams, of = anchors(part, own, length)
+            keep = exchange.is_known(grams, keys) & ~again[low + of]
+            at, grams, of = at[keep], grams[keep], of[keep]
+            begin, end = np.maximum(own[of], at - length + GRAM), np.minimum(own[of + 1], at + length)
+            found.append((grams, *surrounding_hashes(part, begin, at, end), low + of, at - own[of], at - begin, end - begin))
+        if not found:
+            return _ARROW_PLACES.empty_table()
+        grams, hashes, checks, row, at, back, size = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((checks, hashes, grams))
+        same = (grams[order[1:]] == grams[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+        later = np.zeros(len(order), bool)
+        later[order[1:][same]] = True
+        first, span = ~later, later & (size >= length)
+        row_s, start, end = row[span], (at - back)[span], (at - back + size)[span]
+        new = np.ones(len(row_s), bool)
+        new[1:] = (row_s[1:] != row_s[:-1]) | (start[1:] > end[:-1])
+        begin = np.flatnonzero(new)
+        close = np.append(begin[1:], len(new))[:len(begin)] - 1
+        runs, n = len(begin), int(first.sum())
+        none = np.append(np.zeros(n, bool), np.ones(runs, bool))
+
+        def both(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            return np.concatenate([one, other])
+
+        zeros = np.zeros(runs, np.int64)
+        return pa.table([
+            pa.array(both(grams[first].view(np.int64), zeros), mask=none), pa.array(both(hashes[first].view(np.int64), zeros), mask=none),
+            pa.array(both(checks[first].view(np.int64), zeros), mask=none), pa.array(docs[both(row[first], row_s[begin])]),
+            pa.array(ties[both(row[first], row_s[begin])]), pa.array(both(at[first], start[begin])),
+            pa.array(both(back[first], zeros).astype(np.int32)), pa.array(both(size[first], end[close] - start[begin]))], schema=_ARROW_PLACES)
 
     answers = exchange.repeated(keyed.select("block", "text").mapInArrow(send, exchange.SENT))
-    return written(keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(surround, _CONTEXTS), "contexts")
+    return written(keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(surround, _PLACES), "places")
+
+
+def contexts(asked: DataFrame, keyed: DataFrame, blocks: int) -> DataFrame:
+    """A written stage of the bytes around the places in `asked` (gram, at, back, size, doc, tie, k)."""
+    def fetch(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+        docs, ties, data, offsets, again = _sorted_texts(rows)
+        row = {key: i for i, key in enumerate(zip(docs.tolist(), ties.tolist())) if not again[i]}
+        columns = {c: wanted[c].to_pylist() for c in ("doc", "tie", "at", "back", "size")}
+        pieces = []
+        for doc, tie, at, back, size in zip(*columns.values()):
+            start = int(offsets[row[doc, tie]]) + at - back
+            pieces.append(data[start:start + size].tobytes())
+        return wanted.select(["gram", "at", "back"]).append_column("context", pa.array(pieces, pa.binary())).append_column(
+            "doc", wanted["doc"]).append_column("tie", wanted["tie"]).append_column("k", wanted["k"])
+
+    asked = asked.withColumn("block", _block(blocks))
+    return written(asked.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(fetch, _CONTEXTS), "contexts")
 
 
 def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -250,14 +323,13 @@ def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
-def _split_groups(hot: DataFrame, length: int) -> DataFrame:
+def _split_groups(hot: DataFrame, length: int, blocks: int) -> DataFrame:
     """Spans around grams with very many different surroundings, string by string.
 
     A string goes to its bucket once from each block of rows, packed; no row is made for it. A block
     learns which of its strings begin earlier elsewhere, and knows the order of its own.
     """
-    spark = hot.sparkSession
-    buckets = blocks = exchange.bucket_count(spark)
+    buckets = blocks
     hot = written(hot.withColumn("block", F.pmod(F.xxhash64("doc", "tie", "at"), F.lit(blocks)).cast("int")), "split")
 
     def send(rows: pa.Table) -> pa.Table:
@@ -287,23 +359,22 @@ def _split_groups(hot: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id",
                    group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc, tie, spans: for each text with repeated strings, the byte ranges to remove, merged in order."""
-    stage = contexts(_keyed(docs, text, doc_id), length)
+    keyed, blocks = _keyed(docs, text, doc_id)
+    stage = places(keyed, blocks, length)
     rank = F.struct("doc", "tie", "at")
-    same = Window.partitionBy("gram", F.xxhash64("context", "back"))
-    placed = written(stage.where("gram IS NOT NULL").withColumn("__first", F.min(rank).over(same)).select(
-        "gram", "at", "back", F.when(F.col("__first") == rank, F.col("context")).alias("context"), "doc", "tie",
-        F.octet_length("context").alias("size")), "placed")
-    copies = placed.where(F.col("context").isNull() & (F.col("size") >= length)).select(
-        "doc", "tie", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("back") + F.col("size")).alias("end"))
-    firsts = placed.where("context IS NOT NULL").drop("size")
+    same = Window.partitionBy("gram", "hash", "check")
+    placed = written(stage.where("gram IS NOT NULL").withColumn("first", F.min(rank).over(same) == rank).drop("hash", "check"), "placed")
+    start, end = F.col("at") - F.col("back"), F.col("at") - F.col("back") + F.col("size")
+    copies = placed.where(~F.col("first") & (F.col("size") >= length)).select("doc", "tie", start.alias("start"), end.alias("end"))
+    firsts = placed.where("first").drop("first")
     groups = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    several = firsts.join(groups, "gram")
+    several = contexts(firsts.join(groups, "gram"), keyed, blocks)
     after = F.expr("substring(context, CAST(back AS INT) + 1)")
     small = (several.where(F.col("k") <= group_rows).select("gram", "at", "back", "context", "doc", "tie")
              .repartition("gram").sortWithinPartitions("gram", after, "doc", "tie", "at"))
-    spans = [stage.where("gram IS NULL").select("doc", "tie", "start", "end"), copies,
+    spans = [stage.where("gram IS NULL").select("doc", "tie", start.alias("start"), end.alias("end")), copies,
              small.mapInArrow(lambda batches: _solved(batches, length), _SPANS),
-             _split_groups(several.where(F.col("k") > group_rows).drop("k"), length)]
+             _split_groups(several.where(F.col("k") > group_rows).drop("k"), length, blocks)]
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
@@ -330,9 +401,10 @@ def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", d
     ordered by a hash of the text. A column named `out` is replaced; all others are kept.
 
     Grams whose hash occurs once are sorted out by trading packed hashes; equal surroundings (copies,
-    the inside of shared passages) are reduced to their first before anything is compared, in each block
-    and then over all; groups of different surroundings are bounded suffix arrays, and those beyond
-    `group_rows` are split over all tasks, string by string, with the same result.
+    the inside of shared passages) are reduced to their first by 128-bit hashes, in each block and then over
+    all, and only surroundings of grams that keep several are read again from the texts. Groups of different
+    surroundings are bounded suffix arrays, and those beyond `group_rows` are split over all tasks, string
+    by string, with the same result. Texts of any length are hashed in pieces of 4 MB.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     with arrow_rows(docs.sparkSession, BATCH_ROWS):

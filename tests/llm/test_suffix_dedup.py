@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,26 @@ def test_against_brute_force(spark, group_rows):
     check(spark, docs, group_rows=group_rows)
 
 
+def test_long_texts_in_pieces():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 30_000).astype(np.uint8)
+    data[9000:12_000] = 120
+    offsets = np.array([0, 0, 40, 7000, 7050, 29_000, 30_000])
+    whole = suffix_dedup.anchors(data, offsets)
+    assert len(whole[0]) > 300
+    for piece in (64, 1000, 7001):
+        for got, want in zip(suffix_dedup.anchors(data, offsets, piece=piece), whole):
+            assert got.tolist() == want.tolist()
+    at, _, of = whole
+    begin, end = np.maximum(offsets[of], at - 68), np.minimum(offsets[of + 1], at + 100)
+    around = {}
+    for hashes in (suffix_dedup.surrounding_hashes(data, begin, at, end), suffix_dedup.surrounding_hashes(data, begin, at, end, piece=500)):
+        for a, b, c, h, k in zip(begin, at, end, *hashes):
+            around.setdefault((int(h), int(k)), set()).add((data[a:c].tobytes(), int(b - a)))
+    assert all(len(texts) == 1 for texts in around.values())
+    assert len(around) == len(set().union(*around.values()))
+
+
 def test_maximal_repeats_against_pairs():
     rng = random.Random(6)
     for _ in range(200):
