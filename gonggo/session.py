@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -74,11 +74,42 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     reads the shuffle files of its making, so they go.
     """
     path = shared_folder(df.sparkSession, name)
+    if _short_lived:
+        _short_lived[-1].append(path)
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Folders written inside each open `short_lived`, the innermost last.
+_short_lived: list[list[str]] = []
+
+
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stages written inside go at the end, so that a long chain of them holds no more disk than its last steps.
+
+    What is yielded writes a result that stays. Nothing else made inside may be read after.
+    """
+    paths: list[str] = []
+    _short_lived.append(paths)
+
+    def kept(df: DataFrame) -> DataFrame:
+        inner = _short_lived.pop()
+        try:
+            return written(df, "kept")
+        finally:
+            _short_lived.append(inner)
+
+    try:
+        yield kept
+    finally:
+        _short_lived.pop()
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # What one broadcast lookup may take: its rows' bytes, as measured after it is written.
 LOOKUP_BYTES = 32 << 20
 
@@ -103,7 +134,11 @@ def lookup(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
 
     Beyond the bound it is returned unmarked; the join is then a shuffled one with the same result.
     """
-    stage = written(df, "lookup")
+    return marked(written(df, "lookup"), max_bytes)
+
+
+def marked(stage: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """A written stage, marked for broadcast if its measured size allows."""
     return F.broadcast(stage) if measured_bytes(stage) <= max_bytes else stage
 
 
