@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SENT = "bucket int, keys binary, blocks binary"
 ANSWERED = "block int, keys binary"
 # Keys a sender holds before it sends them.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 
 
 def bucket_count(spark: SparkSession) -> int:

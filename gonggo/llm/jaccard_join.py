@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.components import components
-from gonggo.session import arrow_rows, lookup, written
+from gonggo.session import arrow_rows, lookup, short_lived, written
 
 # Counters of the frequency sketch (1 MB when broadcast as classes) and the longest l.
 SLOTS, LONGEST_MATCH = 1 << 20, 8
@@ -345,20 +345,21 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
     sketches leave room, and those that share as many as their l asks for are compared. Pairs already connected need no comparison, so a group of
     linked copies does not cost the square of its size, and no link between components is missed.
     """
-    rows = postings(stage)
-    heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos")])
-    met = _candidates(_side(rows, "x").join(heads, "token").where("sid_x <> sid_y"), rule)
-    star = met.groupBy("sid_x").agg(F.max(F.struct("shared", "sid_y")).alias("best"))
-    star = written(star.select(F.least("sid_x", "best.sid_y").alias("a"), F.greatest("sid_x", "best.sid_y").alias("b")).distinct(), "pairs")
-    first = written(verified(star, stage, docs, rule, text=text, doc_id=doc_id), "first")
-    roots = lookup(components(first))
-
-    placed = written(rows.join(roots, rows["sid"] == roots["node"], "left").select(
-        *rows.columns, F.coalesce("root", "sid").alias("comp")), "placed")
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    several = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("k")).where("k > 1")
-    open_rows = written(placed.join(several.select("token", "major"), "token"), "open")
+    with short_lived(docs.sparkSession) as kept:
+        rows = postings(stage)
+        heads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sid", "ell")).alias("h"), F.count("*").alias("c")).where("c > 1")
+        heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "ell", "pos")])
+        met = _candidates(_side(rows, "x").join(heads, "token").where("sid_x <> sid_y"), rule)
+        star = met.groupBy("sid_x").agg(F.max(F.struct("shared", "sid_y")).alias("best"))
+        star = kept(star.select(F.least("sid_x", "best.sid_y").alias("a"), F.greatest("sid_x", "best.sid_y").alias("b")).distinct())
+        first = kept(verified(star, stage, docs, rule, text=text, doc_id=doc_id))
+        roots = lookup(components(first))
+
+        placed = written(rows.join(roots, rows["sid"] == roots["node"], "left").select(
+            *rows.columns, F.coalesce("root", "sid").alias("comp")), "placed")
+        sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
+        several = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("k")).where("k > 1")
+        open_rows = kept(placed.join(several.select("token", "major"), "token"))
     asked = lookup(open_rows.select("sid").distinct())
     own = stage.join(asked, "sid").select("sid", "tokens", "odd").dropDuplicates(["sid"])
     prefix = lookup(own.select("sid", "tokens"))
@@ -388,14 +389,15 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, text: str = "tex
     Sets are compared by 64-bit hashes of their n-grams; equal hashes of different n-grams are not
     expected below some 10**9 in one pair.
     """
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+    spark = docs.sparkSession
+    with short_lived(spark) as kept, arrow_rows(spark, BATCH_ROWS):
         stage = prefixes(docs, rule, text=text, doc_id=doc_id)
         roots = set_components(stage, docs, rule, text=text, doc_id=doc_id)
-    ids = stage.select("doc_id", "n", "sid")
-    rooted = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(
-        roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = lookup(rooted.join(smallest, "root").select("sid", "component_id"))
-    return ids.join(named, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid")
+        ids = stage.select("doc_id", "n", "sid")
+        rooted = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(
+            roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = lookup(rooted.join(smallest, "root").select("sid", "component_id"))
+        return kept(ids.join(named, "sid", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid"))

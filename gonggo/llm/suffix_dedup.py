@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.bytetext import mix
 from gonggo.llm.names import fresh
-from gonggo.session import arrow_rows, lookup, written
+from gonggo.session import arrow_rows, marked, short_lived, written
 
 LENGTH, GRAM = 100, 32
 # Different surroundings of one gram that a task sorts as one suffix array; more are split by string.
@@ -407,8 +407,8 @@ def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", d
     by string, with the same result. Texts of any length are hashed in pieces of 4 MB.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        spans = lookup(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows))
+    with short_lived(docs.sparkSession) as kept, arrow_rows(docs.sparkSession, BATCH_ROWS):
+        spans = marked(kept(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows)))
     d, t, doc, tie, found = fresh(docs, "d", "t", "doc", "tie", "found")
     spans = spans.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(found))
     keyed = docs.withColumns({d: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)), t: F.xxhash64(value)})
