@@ -29,11 +29,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.learned(docs, ~held_out)
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    name, = fresh(docs, "language")
-    # Written here, as the batches are bounded only while this runs.
+    d, t, name = fresh(docs, "d", "t", "language")
+    key = F.xxhash64(F.col("text").cast("string"))
+    # Only what is rejected is written, by id and text; the batches are bounded while this runs.
     with arrow_rows(spark, TEXT_ROWS):
-        found = language.with_language(docs, model, out=name)
-        return written(found.where(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns), "known")
+        found = language.with_language(docs.select("doc_id", "text"), model, out=name)
+        rejected = lookup(found.where(F.col(name)["lang"] == language.UNKNOWN).select(
+            F.col("doc_id").alias(d), key.alias(t)).distinct())
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(d)) & (key == F.col(t)), "left_anti").select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Repeated rows of one id and text are copies, too. Documents without words or without an id stay. Of an
     id that has several texts, only those go that are near copies of a document with a smaller id.
     """
-    found = written(jaccard_join.jaccard_components(docs, NEAR), "near")
+    found = jaccard_join.jaccard_components(docs, NEAR)
     later = lookup(found.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id", "sid").distinct())
     again = lookup(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = docs.join(later.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
