@@ -124,68 +124,3 @@ def is_known(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(keys), bool)
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
-
-
-# What tells which of several equal keys comes first: document, text hash, place.
-RANKED = "bucket int, block int, rows binary"
-ROW = np.dtype([("key", "u8"), ("check", "u8"), ("doc", "i8"), ("tie", "i8"), ("at", "i8")])
-
-
-def by_rank(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by key and rank, and in it which rows are at the same place as their key's first."""
-    order = np.lexsort((rows["at"], rows["tie"], rows["doc"], rows["check"], rows["key"]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["check"][1:] != rows["check"][:-1])
-    head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return order, (rows["at"] == head["at"]) & (rows["tie"] == head["tie"]) & (rows["doc"] == head["doc"])
-
-
-def first_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order of key and rank, and which of them are their key's first."""
-    rows = np.unique(rows)
-    order, first = by_rank(rows)
-    return rows[order], first
-
-
-def ranked_cells(rows: np.ndarray, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One block's rows, one for each key, packed by bucket."""
-    of = ((rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(of, kind="stable")
-    of, rows = of[order], rows[order]
-    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-    ends = np.append(begin[1:], len(of))
-    for low in range(0, len(begin), 2000):
-        part = slice(low, low + 2000)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(of[begin[part]]), pa.array(np.full(len(begin[part]), block, np.int32)),
-            pa.array([rows[a:b].tobytes() for a, b in zip(begin[part], ends[part])], pa.binary())],
-            ["bucket", "block", "rows"])
-
-
-def not_first(sent: DataFrame) -> DataFrame:
-    """For each block, those of its rows whose key has an earlier row in another block."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(blocks: list[int], packed: list[bytes]) -> pa.RecordBatch:
-            own = [np.frombuffer(p, ROW) for p in packed]
-            every = np.concatenate(own)
-            block = np.repeat(np.array(blocks, np.int32), [len(o) for o in own])
-            order, first = by_rank(every)
-            every, block, later = every[order], block[order], ~first
-            out = [(int(b), every[later & (block == b)].tobytes()) for b in np.unique(block[later])]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()),
-                                               pa.array([r for _, r in out], pa.binary())], ["block", "rows"])
-
-        current, blocks, packed = None, [], []
-        for batch in batches:
-            for bucket, block, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != current:
-                    if packed:
-                        yield answers(blocks, packed)
-                    current, blocks, packed = bucket, [], []
-                blocks.append(block)
-                packed.append(rows)
-        if packed:
-            yield answers(blocks, packed)
-
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "block int, rows binary")

@@ -6,6 +6,10 @@ enough to sort the suffixes that begin at anchors whose gram occurs again. Sorte
 common prefixes make an interval tree: each interval is a string and all suffixes that begin with it.
 Within an interval, the same scan over what stands before the anchors tells how far, and with which
 occurrences, the string can be extended to the left until its occurrences differ.
+
+A gram that very many different surroundings share has one tree for each part of its strings: those that begin
+at most so far ahead of the anchor, and those that begin further ahead. Either half shares more than the gram, so
+its surroundings fall into smaller groups, which are halved again while they are too large.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.bytetext import mix
 from gonggo.llm.names import fresh
-from gonggo.session import arrow_rows, marked, short_lived, written
+from gonggo.session import arrow_rows, lookup, marked, short_lived, written
 
 LENGTH, GRAM = 100, 32
-# Different surroundings of one gram that a task sorts as one suffix array; more are split by string.
+# Different surroundings that a task sorts as one suffix array; larger groups are split by where strings begin.
 GROUP_ROWS = 512
 # Texts or contexts that one Arrow batch holds.
 BATCH_ROWS = 1000
@@ -270,7 +274,7 @@ def contexts(asked: DataFrame, keyed: DataFrame, blocks: int) -> DataFrame:
 
 
 def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans of all but the first occurrence of each maximal repeat, gram by gram; rows come sorted."""
+    """Spans of all but the first occurrence of each maximal repeat, group by group; rows come sorted."""
     def solve(group: list[tuple]) -> list[tuple]:
         before = [context[:back][::-1] for _, _, back, context, _, _ in group]
         after = [context[back:] for _, _, back, context, _, _ in group]
@@ -302,58 +306,48 @@ def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield batch_of(out)
 
 
-def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """All strings of `length` bytes around the anchors, as ranked rows, and the context each is from."""
-    packed = rows["context"].combine_chunks()
-    packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
-    data, offsets = bytetext.text_bytes(packed.cast(pa.binary()))
-    back, at = rows["back"].to_numpy(), rows["at"].to_numpy()
-    room = np.maximum(np.minimum(np.diff(offsets) - length, back) + 1, 0)
-    of = np.repeat(np.arange(len(back)), room)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room)
-    start = offsets[:-1][of] + nth
-    out = np.empty(len(of), exchange.ROW)
-    identity = np.arange(256, dtype=np.uint8)
-    one = bytetext.word_hashes(data, start, start + length, identity)
-    half = bytetext.word_hashes(data, start, start + length // 2, identity)
-    out["key"] = mix(one ^ rows["gram"].to_numpy().view(np.uint64)[of])
-    out["check"] = mix(half + one * np.uint64(0x9E3779B97F4A7C15))
-    out["doc"], out["tie"] = rows["doc"].to_numpy()[of], rows["tie"].to_numpy()[of]
-    out["at"] = (at - back)[of] + nth
-    return out, of
-
+def _halved(hot: DataFrame, length: int) -> DataFrame:
+    """Each row once for either half of the strings it stands for, by how far ahead of the anchor they begin.
 
-def _split_groups(hot: DataFrame, length: int, blocks: int) -> DataFrame:
-    """Spans around grams with very many different surroundings, string by string.
-
-    A string goes to its bucket once from each block of rows, packed; no row is made for it. A block
-    learns which of its strings begin earlier elsewhere, and knows the order of its own.
+    `low` and `high` bound that distance. The strings of a half share the bytes from `low` ahead of the anchor to
+    `length` - `high` behind its start: rows with the same ones are a group. Nothing beyond `high` ahead and `length`
+    - `low` behind matters to them, so that goes, and rows without room for any of the strings go.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+    rows = hot.where("low < high").select("group", "at", "back", "context", "doc", "tie", F.explode(halves).alias("half")).select(
+        "group", "at", "back", "context", "doc", "tie", "half.low", "half.high")
+    rows = rows.where((F.col("back") >= F.col("low")) & (F.octet_length("context") - F.col("back") >= length - F.col("high")))
+    ahead = F.least("back", "high")
+    end = F.least(F.octet_length("context"), F.col("back") + length - F.col("low"))
+    rows = rows.withColumn("context", F.substring("context", F.col("back") - ahead + 1, end - F.col("back") + ahead)).withColumn("back", ahead)
+    shared = F.substring("context", F.col("back") - F.col("low") + 1, length - F.col("high") + F.col("low"))
+    return rows.withColumns({"group": F.xxhash64("group", "low", "high", shared),
+                             "hash": F.xxhash64("context"), "check": F.xxhash64(F.lit(1), "context")})
+
+
+def _split_groups(hot: DataFrame, length: int, group_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of rows that repeat an earlier one as a whole, and the rows of groups that are small enough for a tree.
+
+    Each round halves the strings that a row stands for. In the last, they are single ones, and all rows of a
+    group are equal. Equal rows are reduced to their first by counts that are aggregated before they are shuffled.
     """
-    buckets = blocks
-    hot = written(hot.withColumn("block", F.pmod(F.xxhash64("doc", "tie", "at"), F.lit(blocks)).cast("int")), "split")
-
-    def send(rows: pa.Table) -> pa.Table:
-        windows, _ = _windows(rows, length)
-        windows, first = exchange.first_rows(windows)
-        cells = list(exchange.ranked_cells(windows[first], rows["block"][0].as_py(), buckets))
-        return pa.Table.from_batches(cells) if cells else pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "rows": pa.array([], pa.binary())})
-
-    def learn(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _ARROW_SPANS.empty_table()
-        windows, _ = _windows(rows, length)
-        packed = answers["rows"].to_pylist()
-        later = np.concatenate([np.frombuffer(p, exchange.ROW) for p in packed]) if packed else np.zeros(0, exchange.ROW)
-        windows, first = exchange.first_rows(windows)
-        covered = windows[~first]
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for doc, tie, at in zip(*(np.concatenate([covered[c], later[c]]).tolist() for c in ("doc", "tie", "at"))):
-            spans.setdefault((doc, tie), []).append((at, at + length))
-        found = [(*doc, a, b) for doc, s in spans.items() for a, b in merged(s)]
-        return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found)) or [()] * 4)], schema=_ARROW_SPANS)
-
-    answers = exchange.not_first(hot.groupBy("block").applyInArrow(send, exchange.RANKED))
-    return hot.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learn, _SPANS)
+    spans, small = [], []
+    while not hot.isEmpty():
+        rows = _halved(hot, length)
+        first = rows.groupBy("group", "hash", "check").agg(F.min(F.struct("doc", "tie", "at")).alias("f"), F.count("*").alias("n"))
+        groups = first.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("n > 1").select("group", "k")
+        known = lookup(first.join(groups, "group").select(
+            "group", "hash", "check", "k", *[F.col(f"f.{c}").alias(f"first_{c}") for c in ("doc", "tie", "at")]))
+        told = written(rows.join(known, ["group", "hash", "check"]).withColumn(
+            "first", (F.col("doc") == F.col("first_doc")) & (F.col("tie") == F.col("first_tie")) & (F.col("at") == F.col("first_at")))
+            .where("k > 1 OR NOT first").select("group", "at", "back", "context", "doc", "tie", "low", "high", "k", "first"), "halves")
+        start = F.col("at") - F.col("back")
+        spans.append(told.where(~F.col("first") & (F.octet_length("context") >= length)).select(
+            "doc", "tie", start.alias("start"), (start + F.octet_length("context")).alias("end")))
+        small.append(told.where(F.col("first") & F.col("k").between(2, group_rows)))
+        hot = told.where(F.col("first") & (F.col("k") > group_rows))
+    return spans, small
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id",
@@ -369,12 +363,16 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text",
     firsts = placed.where("first").drop("first")
     groups = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     several = contexts(firsts.join(groups, "gram"), keyed, blocks)
+    several = several.withColumnRenamed("gram", "group").withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
+    whole, parts = _split_groups(several.where(F.col("k") > group_rows), length, group_rows)
     after = F.expr("substring(context, CAST(back AS INT) + 1)")
-    small = (several.where(F.col("k") <= group_rows).select("gram", "at", "back", "context", "doc", "tie")
-             .repartition("gram").sortWithinPartitions("gram", after, "doc", "tie", "at"))
-    spans = [stage.where("gram IS NULL").select("doc", "tie", start.alias("start"), end.alias("end")), copies,
-             small.mapInArrow(lambda batches: _solved(batches, length), _SPANS),
-             _split_groups(several.where(F.col("k") > group_rows).drop("k"), length, blocks)]
+    columns = ("group", "at", "back", "context", "doc", "tie")
+    small = several.where(F.col("k") <= group_rows).select(*columns)
+    for part in parts:
+        small = small.unionByName(part.select(*columns))
+    small = small.repartition("group").sortWithinPartitions("group", after, "doc", "tie", "at")
+    spans = [stage.where("gram IS NULL").select("doc", "tie", start.alias("start"), end.alias("end")), copies, *whole,
+             small.mapInArrow(lambda batches: _solved(batches, length), _SPANS)]
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
@@ -403,8 +401,8 @@ def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", d
     Grams whose hash occurs once are sorted out by trading packed hashes; equal surroundings (copies,
     the inside of shared passages) are reduced to their first by 128-bit hashes, in each block and then over
     all, and only surroundings of grams that keep several are read again from the texts. Groups of different
-    surroundings are bounded suffix arrays, and those beyond `group_rows` are split over all tasks, string
-    by string, with the same result. Texts of any length are hashed in pieces of 4 MB.
+    surroundings are bounded suffix arrays; those beyond `group_rows` are split by where their strings begin
+    until they are, in at most seven rounds for 100 bytes. Texts of any length are hashed in pieces of 4 MB.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     with short_lived(docs.sparkSession) as kept, arrow_rows(docs.sparkSession, BATCH_ROWS):

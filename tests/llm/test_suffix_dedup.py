@@ -81,6 +81,31 @@ def test_against_brute_force(spark, group_rows):
     check(spark, docs, group_rows=group_rows)
 
 
+def test_a_gram_with_thousands_of_surroundings(spark, monkeypatch):
+    """Passages in thousands of documents, all different around them, go through interval trees of halves alone."""
+    rng = random.Random(12)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (100, 118, 131, 60)]
+    docs = []
+    for i in range(2600):
+        text = rng.choice(passages)
+        if rng.random() < 0.2:
+            at = rng.randrange(len(text))
+            text = text[:at] + "#" + text[at + 1:]
+        lead, tail = ("".join(rng.choice("uvwxyz") for _ in range(rng.randrange(60))) for _ in range(2))
+        docs.append((i, lead + text + tail))
+    docs += [(5000 + i, text) for i, (_, text) in enumerate(docs[:50])]
+    sizes, split = [], suffix_dedup._split_groups
+
+    def seen(hot, *how):
+        sizes.append(hot.groupBy("group").count().agg(F.max("count")).first()[0])
+        return split(hot, *how)
+
+    monkeypatch.setattr(suffix_dedup, "_split_groups", seen)
+    check(spark, docs)
+    check(spark, docs, group_rows=2)
+    assert min(sizes) > suffix_dedup.GROUP_ROWS
+
+
 def test_long_texts_in_pieces():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 100, 30_000).astype(np.uint8)
