@@ -114,7 +114,7 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 _PREFIXES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("n", T.LongType()),
     T.StructField("sid", T.LongType()), T.StructField("ell", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())),
-    T.StructField("odd", T.ArrayType(T.LongType()))])
+    T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("tie", T.LongType())])
 _SET_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -180,8 +180,8 @@ def parity_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, block, n (set size), sid (hash of the set), ell, tokens (the prefix) and odd (the parity
-    sketch) of each document, as a written stage."""
+    """doc_id, block, n (set size), sid (hash of the set), ell, tokens (the prefix), odd (the parity
+    sketch) and tie (hash of the text) of each document, as a written stage."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text, rule.n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +200,12 @@ def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "
                     [batch.column(0).slice(low, high - low), pa.array(np.full(high - low, block, np.int32)),
                      pa.array(sizes.astype(np.int64)), pa.array(sid), pa.array(ell.astype(np.int32)), tokens,
                      pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SKETCH_WORDS, pa.int32()),
-                                              pa.array(parity_sketches(hashes, sizes).ravel()))],
-                    ["doc_id", "block", "n", "sid", "ell", "tokens", "odd"])
+                                              pa.array(parity_sketches(hashes, sizes).ravel())),
+                     batch.column(2).slice(low, high - low)],
+                    ["doc_id", "block", "n", "sid", "ell", "tokens", "odd", "tie"])
 
-    chosen = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
+    value = F.col(text).cast("string")
+    chosen = docs.select(F.col(doc_id).cast("bigint"), value, F.xxhash64(value).alias("tie"))
     return written(chosen.mapInArrow(read, _PREFIXES), "prefixes")
 
 
@@ -297,11 +299,13 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
              doc_id: str = "doc_id") -> DataFrame:
     """The pairs (a, b) whose whole sets link.
 
-    One text of each set that is in question is read again; no set travels but those of the pairs.
+    One text of each set that is in question is read again; no set travels but those of the pairs. A text is
+    found by its id and its hash, so that many texts of one id, or of none, are no hot key.
     """
     pairs = lookup(pairs)
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = lookup(stage.join(lookup(asked), "sid").groupBy("sid").agg(F.min("doc_id").alias("__id")))
+    chosen = lookup(stage.join(lookup(asked), "sid").groupBy("sid").agg(
+        F.min(F.struct("doc_id", "tie")).alias("one")).select("sid", F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie")))
 
     @F.arrow_udf(T.StructType([T.StructField("sid", T.LongType()), T.StructField("members", T.BinaryType())]))
     def sets(column: pa.Array) -> pa.Array:
@@ -326,9 +330,14 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
         return pa.array([rule.links(x[a:b].view(np.uint64), y[c:d].view(np.uint64))
                          for a, b, c, d in zip(in_x, in_x[1:], in_y, in_y[1:])], pa.bool_())
 
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("__id"), F.col(text).cast("string").alias("__text"))
-    read = texts.join(chosen, texts["__id"].eqNullSafe(chosen["__id"])).select("sid", sets("__text").alias("__set"))
+    value = F.col(text).cast("string")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("__id"), value.alias("__text"), F.xxhash64(value).alias("__tie"))
+    same = texts["__id"].eqNullSafe(chosen["__id"]) & (texts["__tie"] == chosen["__tie"])
+    read = texts.join(chosen, same).select("sid", sets("__text").alias("__set"))
     found = written(read.where("sid = __set.sid").select("sid", F.col("__set.members").alias("members")), "sets")
+    if found.count() > chosen.count():
+        # Repeated rows of one id and text.
+        found = written(found.dropDuplicates(["sid"]), "sets")
     left = found.select(F.col("sid").alias("a"), F.col("members").alias("left"))
     right = found.select(F.col("sid").alias("b"), F.col("members").alias("right"))
     both = left.join(pairs, "a").join(right, "b")

@@ -108,6 +108,32 @@ def test_edges(spark):
     assert sorted(map(tuple, rows)) == [(0, 0), (1, 0), (1, 0), (1, 1)]
 
 
+def test_very_many_null_ids(spark, monkeypatch):
+    """Texts without an id are told apart by their hash; repeated rows are read once."""
+    rng, docs = random.Random(21), []
+    for i in range(350):
+        base = [f"g{i}_{j}" if rng.random() < 0.7 else "the" for j in range(rng.randrange(30, 60))]
+        docs.append((i, " ".join(base)))
+        for k in range(3):
+            docs.append((10 ** 6 + len(docs), " ".join([f"k{i}_{k}", *base] if k else base + base[:1])))
+        docs += [(10 ** 6 + len(docs) + k, docs[-1][1]) for k in range(1, rng.randrange(1, 4))]
+    want = brute(docs, Rule())
+    assert sum(want[d][1] < d for d in want) > 900
+    null = [(None if d >= 10 ** 6 else d, t) for d, t in docs]
+    sizes, linked = [], jaccard_join.verified
+
+    def seen(pairs, stage, read, rule, **how):
+        out = linked(pairs, stage, read, rule, **how)
+        sizes.append((pairs.distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "verified", seen)
+    rows = jaccard_join.jaccard_components(spark.createDataFrame(null, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in rows])) == sorted(
+        map(str, [(None if d >= 10 ** 6 else d, *want[d]) for d in want]))
+    assert all(found <= asked for asked, found in sizes)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     sets = [rng.choice(300, rng.integers(0, 80), replace=False).astype(np.uint64) for _ in range(30)]
