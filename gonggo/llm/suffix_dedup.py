@@ -9,7 +9,8 @@ occurrences, the string can be extended to the left until its occurrences differ
 
 A gram that very many different surroundings share has one tree for each part of its strings: those that begin
 at most so far ahead of the anchor, and those that begin further ahead. Either half shares more than the gram, so
-its surroundings fall into smaller groups, which are halved again while they are too large.
+its surroundings fall into smaller groups, which are halved again while they are too large. A task halves what it
+can hold by itself; only larger groups are halved over all tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from gonggo.llm.names import fresh
 from gonggo.session import arrow_rows, lookup, marked, short_lived, written
 
 LENGTH, GRAM = 100, 32
-# Different surroundings that a task sorts as one suffix array; larger groups are split by where strings begin.
-GROUP_ROWS = 512
+# Different surroundings that a task sorts as one suffix array; larger groups are split by where strings begin,
+# up to so many rows within a task (a few MB), beyond that in a shuffle.
+GROUP_ROWS, TASK_ROWS = 512, 8192
 # Texts or contexts that one Arrow batch holds.
 BATCH_ROWS = 1000
 # Bytes of text that are looked at together in one task, and those that are hashed at a time.
@@ -273,18 +275,61 @@ def contexts(asked: DataFrame, keyed: DataFrame, blocks: int) -> DataFrame:
     return written(asked.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(fetch, _CONTEXTS), "contexts")
 
 
-def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+_Row = tuple[int, int, bytes, int, int]
+
+
+def halved_group(rows: list[_Row], low: int, high: int, length: int) -> tuple[list[tuple], list[list[_Row]]]:
+    """Spans of rows that repeat an earlier one as a whole, and the groups of the others, sorted, where several are left.
+
+    The rows (at, back, context, doc, tie) stand for the strings that begin `low` to `high` ahead of the anchor; in a
+    group, they share all bytes that these strings share in place.
+    """
+    groups: dict[bytes, dict[tuple[int, bytes], tuple[int, int, int]]] = {}
+    spans = []
+    for at, back, context, doc, tie in rows:
+        if back >= low and len(context) - back >= length - high:
+            ahead = min(back, high)
+            whole = context[back - ahead:back + length - low]
+            firsts = groups.setdefault(context[back - low:back + length - high], {})
+            place = doc, tie, at
+            first = firsts.setdefault((ahead, whole), place)
+            if place != first:
+                if place < first:
+                    firsts[ahead, whole], place = place, first
+                if len(whole) >= length:
+                    spans.append((place[0], place[1], place[2] - ahead, place[2] - ahead + len(whole)))
+    several = [sorted([(at, back, context, doc, tie) for (back, context), (doc, tie, at) in firsts.items()],
+                      key=lambda row: (row[2][row[1]:], row[3], row[4], row[0]))
+               for firsts in groups.values() if len(firsts) > 1]
+    return spans, several
+
+
+def _solved(batches: Iterator[pa.RecordBatch], length: int, group_rows: int) -> Iterator[pa.RecordBatch]:
     """Spans of all but the first occurrence of each maximal repeat, group by group; rows come sorted."""
-    def solve(group: list[tuple]) -> list[tuple]:
-        before = [context[:back][::-1] for _, _, back, context, _, _ in group]
-        after = [context[back:] for _, _, back, context, _, _ in group]
+    def solve(rows: list[tuple]) -> list[tuple]:
+        found, todo = [], [([row[1:6] for row in rows], *rows[0][6:])]
+        while todo:
+            group, low, high = todo.pop()
+            if len(group) <= group_rows or low == high:
+                found += tree(group)
+                continue
+            middle = (low + high) // 2
+            for half in ((low, middle), (middle + 1, high)):
+                spans, several = halved_group(group, *half, length)
+                found += spans
+                todo += [(part, *half) for part in several]
+        return found
+
+    def tree(group: list[_Row]) -> list[tuple]:
+        before = [context[:back][::-1] for _, back, context, _, _ in group]
+        after = [context[back:] for _, back, context, _, _ in group]
         spans: dict[int, list[tuple[int, int]]] = {}
         for left, right, members in maximal_repeats(before, after, length):
-            first = min(members, key=lambda i: (group[i][4], group[i][5], group[i][1]))
+            first = min(members, key=lambda i: (group[i][3], group[i][4], group[i][0]))
             for i in members:
                 if i != first:
-                    spans.setdefault(i, []).append((group[i][1] - left, group[i][1] + right))
-        return [(group[i][4], group[i][5], a, b) for i, found in spans.items() for a, b in merged(found)]
+                    spans.setdefault(i, []).append((group[i][0] - left, group[i][0] + right))
+        return [(group[i][3], group[i][4], a, b) for i, found in spans.items() for a, b in merged(found)]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW_SPANS)
@@ -326,13 +371,15 @@ def _halved(hot: DataFrame, length: int) -> DataFrame:
                              "hash": F.xxhash64("context"), "check": F.xxhash64(F.lit(1), "context")})
 
 
-def _split_groups(hot: DataFrame, length: int, group_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Spans of rows that repeat an earlier one as a whole, and the rows of groups that are small enough for a tree.
+def _split_groups(hot: DataFrame, length: int, task_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of rows that repeat an earlier one as a whole, and the rows of groups that are small enough for a task.
 
-    Each round halves the strings that a row stands for. In the last, they are single ones, and all rows of a
-    group are equal. Equal rows are reduced to their first by counts that are aggregated before they are shuffled.
+    Each round halves the strings that a row stands for, in groups beyond that. In the last, they are single ones, and
+    all rows of a group are equal. Equal rows are reduced to their first by counts that are aggregated before they are
+    shuffled.
     """
-    spans, small = [], []
+    spans, small = [], [hot.where(F.col("k") <= task_rows)]
+    hot = hot.where(F.col("k") > task_rows)
     while not hot.isEmpty():
         rows = _halved(hot, length)
         first = rows.groupBy("group", "hash", "check").agg(F.min(F.struct("doc", "tie", "at")).alias("f"), F.count("*").alias("n"))
@@ -345,14 +392,15 @@ def _split_groups(hot: DataFrame, length: int, group_rows: int) -> tuple[list[Da
         start = F.col("at") - F.col("back")
         spans.append(told.where(~F.col("first") & (F.octet_length("context") >= length)).select(
             "doc", "tie", start.alias("start"), (start + F.octet_length("context")).alias("end")))
-        small.append(told.where(F.col("first") & F.col("k").between(2, group_rows)))
-        hot = told.where(F.col("first") & (F.col("k") > group_rows))
+        small.append(told.where(F.col("first") & F.col("k").between(2, task_rows)))
+        hot = told.where(F.col("first") & (F.col("k") > task_rows))
     return spans, small
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id",
-                   group_rows: int = GROUP_ROWS) -> DataFrame:
+                   group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """doc, tie, spans: for each text with repeated strings, the byte ranges to remove, merged in order."""
+    task_rows = max(task_rows, group_rows)
     keyed, blocks = _keyed(docs, text, doc_id)
     stage = places(keyed, blocks, length)
     rank = F.struct("doc", "tie", "at")
@@ -364,15 +412,15 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text",
     groups = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     several = contexts(firsts.join(groups, "gram"), keyed, blocks)
     several = several.withColumnRenamed("gram", "group").withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
-    whole, parts = _split_groups(several.where(F.col("k") > group_rows), length, group_rows)
+    whole, parts = _split_groups(several.where(F.col("k") > group_rows), length, task_rows)
     after = F.expr("substring(context, CAST(back AS INT) + 1)")
-    columns = ("group", "at", "back", "context", "doc", "tie")
+    columns = ("group", "at", "back", "context", "doc", "tie", "low", "high")
     small = several.where(F.col("k") <= group_rows).select(*columns)
     for part in parts:
         small = small.unionByName(part.select(*columns))
     small = small.repartition("group").sortWithinPartitions("group", after, "doc", "tie", "at")
     spans = [stage.where("gram IS NULL").select("doc", "tie", start.alias("start"), end.alias("end")), copies, *whole,
-             small.mapInArrow(lambda batches: _solved(batches, length), _SPANS)]
+             small.mapInArrow(lambda batches: _solved(batches, length, group_rows), _SPANS)]
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
@@ -388,7 +436,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, text: str = "text",
 
 
 def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id",
-                 out: str = "repeats", group_rows: int = GROUP_ROWS) -> DataFrame:
+                 out: str = "repeats", group_rows: int = GROUP_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """`docs` plus the array column `out`: byte ranges of the text that repeat an earlier string.
 
     A byte is in a range if a string of `length` bytes covers it that also begins earlier: in a text
@@ -402,11 +450,12 @@ def with_repeats(docs: DataFrame, *, length: int = LENGTH, text: str = "text", d
     the inside of shared passages) are reduced to their first by 128-bit hashes, in each block and then over
     all, and only surroundings of grams that keep several are read again from the texts. Groups of different
     surroundings are bounded suffix arrays; those beyond `group_rows` are split by where their strings begin
-    until they are, in at most seven rounds for 100 bytes. Texts of any length are hashed in pieces of 4 MB.
+    until they are, in at most seven rounds for 100 bytes: within a task up to `task_rows` rows, beyond that in
+    shuffles. Texts of any length are hashed in pieces of 4 MB.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     with short_lived(docs.sparkSession) as kept, arrow_rows(docs.sparkSession, BATCH_ROWS):
-        spans = marked(kept(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows)))
+        spans = marked(kept(repeated_spans(docs, length=length, text=text, doc_id=doc_id, group_rows=group_rows, task_rows=task_rows)))
     d, t, doc, tie, found = fresh(docs, "d", "t", "doc", "tie", "found")
     spans = spans.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(found))
     keyed = docs.withColumns({d: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)), t: F.xxhash64(value)})

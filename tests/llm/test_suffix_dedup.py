@@ -106,6 +106,38 @@ def test_a_gram_with_thousands_of_surroundings(spark, monkeypatch):
     assert min(sizes) > suffix_dedup.GROUP_ROWS
 
 
+def around_one_passage(rng, n):
+    """Documents that hold one passage, some with a changed byte, with other bytes and lengths around it; some repeat."""
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    docs = []
+    for i in range(n):
+        text = passage
+        if i % 4 == 0:
+            at = rng.randrange(len(text))
+            text = text[:at] + "#" + text[at + 1:]
+        lead, tail = ("".join(rng.choice("uvwxyz") for _ in range(rng.randrange(60))) for _ in range(2))
+        docs.append((n - i, lead + text + tail))
+    return docs + [(1000 + i, text) for i, (_, text) in enumerate(docs[:9])] + [(2000, "ab" * 200), (2001, "x" + "ab" * 130)]
+
+
+def test_a_group_that_a_task_holds_is_halved_there(spark, monkeypatch):
+    """Rows of a group are multiplied between tasks only where no task could hold them."""
+    docs = around_one_passage(random.Random(31), 90)
+    with monkeypatch.context() as patch:
+        patch.setattr(suffix_dedup, "_halved", None)
+        check(spark, docs, group_rows=3)
+    check(spark, docs, group_rows=3, task_rows=20)
+
+
+def test_halves_of_a_group():
+    rows = [(70, 68, b"p" * 68 + b"g" * 100, 5, 0), (70, 68, b"q" + b"p" * 67 + b"g" * 100, 3, 0), (9, 9, b"p" * 9 + b"g" * 100, 4, 0)]
+    spans, groups = suffix_dedup.halved_group(rows, 0, 34, 100)
+    assert spans == [(5, 0, 36, 170)]
+    assert groups == [[(70, 34, b"p" * 34 + b"g" * 100, 3, 0), (9, 9, b"p" * 9 + b"g" * 100, 4, 0)]]
+    spans, groups = suffix_dedup.halved_group(rows, 35, 68, 100)
+    assert spans == [] and groups == [[(70, 68, b"q" + b"p" * 67 + b"g" * 65, 3, 0), (70, 68, b"p" * 68 + b"g" * 65, 5, 0)]]
+
+
 def test_long_texts_in_pieces():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 100, 30_000).astype(np.uint8)
