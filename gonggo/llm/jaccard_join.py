@@ -307,21 +307,16 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
     chosen = lookup(stage.join(lookup(asked), "sid").groupBy("sid").agg(
         F.min(F.struct("doc_id", "tie")).alias("one")).select("sid", F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie")))
 
-    @F.arrow_udf(T.StructType([T.StructField("sid", T.LongType()), T.StructField("members", T.BinaryType())]))
-    def sets(column: pa.Array) -> pa.Array:
-        data, offsets = bytetext.text_bytes(column)
-        sids, members, sizes_of = [], [], []
-        for low, high in bytetext.slices(offsets):
-            hashes, first, sizes, sid = _sorted_sets(
-                data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rule.n)
-            sids.append(sid)
-            members.append(hashes)
-            sizes_of.append(sizes)
-        where = (np.concatenate([[0], np.cumsum(np.concatenate(sizes_of or [[]]))]) * 8).astype(np.int32)
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(where) - 1, [
-            None, pa.py_buffer(where), pa.py_buffer(np.concatenate(members or [np.zeros(0, np.uint64)]))])
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(sids) if sids else [], pa.int64()), packed], ["sid", "members"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = bytetext.text_bytes(batch.column(1))
+            for low, high in bytetext.slices(offsets):
+                hashes, first, sizes, sid = _sorted_sets(
+                    data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rule.n)
+                where = (np.append(first, len(hashes)) * 8).astype(np.int32)
+                members = pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(where), pa.py_buffer(hashes)])
+                right = pc.equal(batch.column(0).slice(low, high - low), pa.array(sid))
+                yield pa.RecordBatch.from_arrays([pa.array(sid), members], ["sid", "members"]).filter(right)
 
     @F.arrow_udf(T.BooleanType())
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -333,8 +328,8 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
     value = F.col(text).cast("string")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("__id"), value.alias("__text"), F.xxhash64(value).alias("__tie"))
     same = texts["__id"].eqNullSafe(chosen["__id"]) & (texts["__tie"] == chosen["__tie"])
-    read = texts.join(chosen, same).select("sid", sets("__text").alias("__set"))
-    found = written(read.where("sid = __set.sid").select("sid", F.col("__set.members").alias("members")), "sets")
+    # One Python step a task: as a column, the sets would be made once for the test of their hash and once for the result.
+    found = written(texts.join(chosen, same).select("sid", "__text").mapInArrow(sets, "sid long, members binary"), "sets")
     if found.count() > chosen.count():
         # Repeated rows of one id and text.
         found = written(found.dropDuplicates(["sid"]), "sets")

@@ -152,3 +152,20 @@ def test_components(spark):
     want = roots({n for link in real for n in link}, real)
     assert {r.node: r.root for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_sets_are_read_once(spark, monkeypatch):
+    """Texts to verify go through one Python step, which no filter on its result repeats."""
+    docs = [(i, f"one two three four five six seven eight nine ten eleven {i % 3}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    steps, write = [], jaccard_join.written
+
+    def seen(frame, name="stage"):
+        if name == "sets":
+            plan = frame._jdf.queryExecution().optimizedPlan().toString()
+            steps.append(plan.count("sets("))
+        return write(frame, name)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    rows = jaccard_join.jaccard_components(df, Rule(num=80)).collect()
+    assert set(steps) == {1} and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs, Rule(num=80))
