@@ -243,11 +243,13 @@ def postings(stage: DataFrame) -> DataFrame:
                          "ell": rows["ell"].take(of), "pos": pos[keep].astype(np.int32)})
 
     some = stage.where("n > 0")
-    answers = exchange.repeated(some.select("block", "tokens").mapInArrow(send, exchange.SENT))
-    found = some.select("block", "sid", "n", "ell", "tokens").groupBy("block").cogroup(
-        answers.groupBy("block")).applyInArrow(match, _POSTINGS)
-    return written(found.groupBy("token", "sid").agg(
-        F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos")), "postings")
+    # Three steps, so that the shuffle files of one go before the next one makes its own.
+    with short_lived(spark) as kept:
+        answers = written(exchange.repeated(some.select("block", "tokens").mapInArrow(send, exchange.SENT)), "answers")
+        found = written(some.select("block", "sid", "n", "ell", "tokens").groupBy("block").cogroup(
+            answers.groupBy("block")).applyInArrow(match, _POSTINGS), "found")
+        return kept(found.groupBy("token", "sid").agg(
+            F.max("n").alias("n"), F.max("ell").alias("ell"), F.min("pos").alias("pos")))
 
 
 def _renamed(rows: DataFrame, side: str) -> DataFrame:
@@ -373,9 +375,11 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
         "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)").where(
         _first_match(rule) & _may_be_near(rule)).select(
         *[f"{c}_{side}" for side in "xy" for c in ("sid", "n", "ell")]).distinct()
-    rest = met.join(_renamed(prefix, "x"), "sid_x").join(_renamed(prefix, "y"), "sid_y").where(_shares_enough(rule)).select(
-        F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
+    with short_lived(docs.sparkSession) as kept:
+        met = written(met, "met")
+        rest = met.join(_renamed(prefix, "x"), "sid_x").join(_renamed(prefix, "y"), "sid_y").where(_shares_enough(rule)).select(
+            F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+        rest = kept(rest.join(star, ["a", "b"], "left_anti"))
     second = verified(rest, stage, docs, rule, text=text, doc_id=doc_id)
     return components(first.unionByName(second))
 

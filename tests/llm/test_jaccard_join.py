@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from gonggo import session
 from gonggo.llm import jaccard_join
 from gonggo.llm.components import components
 from gonggo.llm.jaccard_join import Rule
@@ -169,3 +170,20 @@ def test_sets_are_read_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "written", seen)
     rows = jaccard_join.jaccard_components(df, Rule(num=80)).collect()
     assert set(steps) == {1} and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs, Rule(num=80))
+
+
+def test_postings_hold_one_step_of_shuffles(spark, monkeypatch):
+    """Each step of the postings is written by itself, and its inputs are files, not the shuffles of the step before."""
+    docs = [(i, f"one two three four five six seven eight nine ten eleven {i % 3}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    stage, shuffles, write = jaccard_join.prefixes(df, Rule()), [], session.written
+
+    def seen(frame, name="stage"):
+        shuffles.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return write(frame, name)
+
+    for module in (jaccard_join, session):
+        monkeypatch.setattr(module, "written", seen)
+    rows = jaccard_join.postings(stage).collect()
+    assert len(rows) == len({(r.token, r.sid) for r in rows}) > 0
+    assert [sum(step in plan for step in ("send(", "FlatMapCoGroups", "HashAggregate")) for plan in shuffles] == [1, 1, 1]
