@@ -81,8 +81,10 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of the permitted lengths, as lists of documents and their token ranges."""
-    counted = token_counts.with_token_counts(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
-    return packing.packed(written(counted.select("doc_id", "n_tokens"), "lengths"))
+    with arrow_rows(spark, TEXT_ROWS):
+        counted = token_counts.with_token_counts(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+        lengths = written(counted.select("doc_id", "n_tokens"), "lengths")
+    return packing.packed(lengths)
 
 
 STAGES = [

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,15 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 
 
+_Batch = TypeVar("_Batch", pa.RecordBatch, pa.Array)
+
+
+def released(batches: Iterator[_Batch]) -> Iterator[_Batch]:
+    """A task's batches; after the last one, what Arrow's pool keeps unused goes back, as the worker lives on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     x = x ^ (x >> np.uint64(30))

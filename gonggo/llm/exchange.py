@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gonggo.llm import bytetext
+
 SENT = "bucket int, keys binary, blocks binary"
 ANSWERED = "block int, keys binary"
 # Keys a sender holds before it sends them.
@@ -101,7 +103,7 @@ def repeated(sent: DataFrame) -> DataFrame:
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, packed = None, []
-        for batch in batches:
+        for batch in bytetext.released(batches):
             for bucket, keys, blocks in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != current and packed:
                     yield _answers(current, packed)

@@ -78,7 +78,7 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(0))
             for low, high in bytetext.slices(offsets):
                 hashes, _ = shingles(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
@@ -94,7 +94,7 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in bytetext.released(batches):
             for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 cells = np.frombuffer(counts, _CELL)
                 total.setdefault(part, np.zeros(_PART, np.int64))[cells["slot"]] += cells["count"]
@@ -186,7 +186,7 @@ def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, of = TaskContext.get().partitionId(), classes.value
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
             for low, high in bytetext.slices(offsets):
                 hashes, first, sizes, sid = _sorted_sets(
@@ -223,7 +223,7 @@ def postings(stage: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = exchange.Sender(buckets)
-        for batch in batches:
+        for batch in bytetext.released(batches):
             tokens = batch.column(1)
             blocks = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
             yield from sender.add(tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64), blocks)
@@ -310,7 +310,7 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
         F.min(F.struct("doc_id", "tie")).alias("one")).select("sid", F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
             for low, high in bytetext.slices(offsets):
                 hashes, first, sizes, sid = _sorted_sets(

@@ -209,7 +209,7 @@ def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = exchange.Sender(blocks)
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
             block = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high in bytetext.slices(offsets):

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gonggo.llm import bytetext
+
 # The published splitting pattern of byte-level BPE vocabularies (fixed value).
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -34,18 +35,19 @@ def byte_level(path: str) -> bool:
 
 
 def _plain_counter(path: str):
-    """Counts of whole texts by the vocabulary's own library."""
+    """Counts of whole texts by the vocabulary's own library, and its special strings."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text))
+        return lambda text: len(model.encode(text)), []
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    return lambda text: len(model.encode(text, add_special_tokens=False))
+    special = [t.content for t in model.get_added_tokens_decoder().values()]
+    return lambda text: len(model.encode(text, add_special_tokens=False)), special
 
 
 class Lengths(dict):
@@ -69,12 +71,9 @@ class TextCounter:
     """Counts tokens of whole texts; special strings in a text go through the library itself."""
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
-        self.encode = _plain_counter(path)
+        self.encode, special = _plain_counter(path)
         self.split = regex.compile(PRE_TOKENS).findall if byte_level(path) else None
         if self.split:
-            from tokenizers import Tokenizer
-
-            special = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
             self.special = regex.compile("|".join(map(regex.escape, special))).search if special else None
             self.lengths = Lengths(frequent or {}, self.encode)
 
@@ -91,9 +90,16 @@ def unpack(table: tuple[str, bytes]) -> dict[str, int]:
     return dict(zip(joined.split("\0"), lengths)) if lengths else {}
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str, table: Broadcast) -> TextCounter:
-    return TextCounter(path, unpack(table.value))
+    """The worker's counter, kept on its copy of the broadcast table.
+
+    With what it has met it takes 100 MB and more, and the worker lives on through other jobs: it goes with that
+    copy, which the worker drops at its first task without the table.
+    """
+    own = vars(table).setdefault("counters", {})
+    if path not in own:
+        own[path] = TextCounter(path, unpack(table.value))
+    return own[path]
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_SIZE,
@@ -109,7 +115,7 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, found = regex.compile(PRE_TOKENS).findall, Counter()
-        for batch in batches:
+        for batch in bytetext.released(batches):
             for value in batch.column(0).to_pylist():
                 found.update(w for w in split(value or "")
                              if len(w.encode()) <= TABLE_WORD_BYTES and "\0" not in w)
@@ -123,7 +129,7 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
     total: Counter = Counter()
     for row in chosen.mapInArrow(count, "word string, n long").toLocalIterator():
         total[row.word] += row.n
-    encode = _plain_counter(path)
+    encode, _ = _plain_counter(path)
     table = [(w, encode(w)) for w, n in total.most_common(size) if n > 1]
     table = [(w, n) for w, n in table if n < 256]
     return "\0".join(w for w, _ in table), bytes(n for _, n in table)
@@ -132,9 +138,10 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
 def count_tokens(text: Column, path: str, table: Broadcast) -> Column:
     """Tokens of each whole text; `path` is a vocabulary file at the same place on every worker."""
     @F.arrow_udf(T.LongType())
-    def count(column: pa.Array) -> pa.Array:
+    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(path, table)
-        return pa.array([counter(value.as_py()) for value in column], pa.int64())
+        for column in bytetext.released(columns):
+            yield pa.array([counter(value.as_py()) for value in column], pa.int64())
 
     return count(text.cast("string"))
 

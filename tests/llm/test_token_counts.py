@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 import public_tokenizers
 import pytest
@@ -55,3 +57,13 @@ def test_cache_starts_anew(monkeypatch):
     text = "a bb ccc dddd eeeee bb"
     assert [count(text), count(text)] == lengths([text, text])
     assert len(count.lengths) <= 5
+
+
+def test_counter_goes_with_its_table(spark):
+    table = spark.sparkContext.broadcast(("", b""))
+    counter = token_counts._counter(PATH, table)
+    assert token_counts._counter(PATH, table) is counter
+    gone = weakref.ref(counter)
+    del counter, table
+    gc.collect()
+    assert gone() is None
