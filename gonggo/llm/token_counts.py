@@ -1,8 +1,11 @@
-"""Token counts by a two-tier lookup of pre-tokens on the map side."""
+"""Token counts by a two-tier lookup of words and pre-tokens on the map side."""
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,8 +18,16 @@ from gonggo.llm import bytetext
 
 # The published splitting pattern of byte-level BPE vocabularies (fixed value).
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-# Broadcast table: entries, bytes of one pre-token, rows looked at to find frequent ones.
+# Its blanks (Unicode white space; Python's own `\s` has four more), and runs of whole pre-tokens: words with all that
+# is written onto them. No pre-token crosses the end of one, and the pattern finds the same in a run as in its text.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+# The character that stands for each byte in such vocabularies (fixed value): itself where it prints.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+BYTE_LETTERS = "".join(_OTHERS.get(b, chr(b)) for b in range(256))
+
+# Broadcast table: entries, bytes of one word, rows looked at to find frequent ones.
 TABLE_SIZE, TABLE_WORD_BYTES, TABLE_ROWS = 100_000, 40, 4_000
 # Entries of a worker's own cache before it starts anew.
 CACHE_SIZE = 400_000
@@ -35,47 +46,63 @@ def byte_level(path: str) -> bool:
 
 
 def _plain_counter(path: str):
-    """Counts of whole texts by the vocabulary's own library, and its special strings."""
+    """Counts of whole texts by the vocabulary's own library, its special strings, and its model (.json only)."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text)), []
+        return lambda text: len(model.encode(text)), [], None
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
     special = [t.content for t in model.get_added_tokens_decoder().values()]
-    return lambda text: len(model.encode(text, add_special_tokens=False)), special
+    return lambda text: len(model.encode(text, add_special_tokens=False)), special, model.model
+
+
+_PARTS = regex.compile(PRE_TOKENS).findall
+
+
+def parts_of(word: str) -> list[str]:
+    """The pre-tokens of one word; letters, or letters and what ASCII marks follow, need no pattern."""
+    letters = word.rstrip(string.punctuation)
+    if letters.removeprefix(" ").isalpha():
+        return [letters, word[len(letters):]] if len(letters) < len(word) else [word]
+    return _PARTS(word)
 
 
 class Lengths(dict):
-    """Pre-token -> number of tokens: the frequent ones, then those this worker has met."""
+    """Word or pre-token -> number of tokens: the frequent ones, then the pre-tokens that this worker has met."""
 
-    def __init__(self, frequent: dict[str, int], encode):
+    def __init__(self, frequent: dict[str, int], model):
         super().__init__(frequent)
-        self.frequent, self.encode, self.most = frequent, encode, len(frequent) + CACHE_SIZE
+        self.frequent, self.model, self.most = frequent, model, len(frequent) + CACHE_SIZE
 
     def __missing__(self, word: str) -> int:
-        n = self.encode(word)
-        if len(word) <= 4 * TABLE_WORD_BYTES:
-            if len(self) >= self.most:
-                self.clear()
-                self.update(self.frequent)
-            self[word] = n
-        return n
+        total = 0
+        for part in parts_of(word):
+            n = self.get(part)
+            if n is None:
+                n = len(self.model.tokenize(codecs.charmap_decode(part.encode(), "strict", BYTE_LETTERS)[0]))
+                if len(part) <= 4 * TABLE_WORD_BYTES:
+                    if len(self) >= self.most:
+                        self.clear()
+                        self.update(self.frequent)
+                    self[part] = n
+            total += n
+        return total
 
 
 class TextCounter:
     """Counts tokens of whole texts; special strings in a text go through the library itself."""
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
-        self.encode, special = _plain_counter(path)
-        self.split = regex.compile(PRE_TOKENS).findall if byte_level(path) else None
+        self.encode, special, model = _plain_counter(path)
+        self.split = re.compile(WORDS).findall if byte_level(path) else None
         if self.split:
             self.special = regex.compile("|".join(map(regex.escape, special))).search if special else None
-            self.lengths = Lengths(frequent or {}, self.encode)
+            self.lengths = Lengths(frequent or {}, model)
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -104,9 +131,9 @@ def _counter(path: str, table: Broadcast) -> TextCounter:
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_SIZE,
                      rows: int = TABLE_ROWS) -> tuple[str, bytes]:
-    """The most frequent pre-tokens of about `rows` texts, joined by NUL, and their token counts.
+    """The most frequent words of about `rows` texts, joined by NUL, and their token counts.
 
-    Pre-tokens are counted where the chosen texts lie; eight tasks send the driver at most `size`
+    Words are counted where the chosen texts lie; eight tasks send the driver at most `size`
     entries each. It only decides which lengths are at hand: results do not depend on it.
     """
     if not byte_level(path):
@@ -114,7 +141,7 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
     share = min(1.0, rows / max(docs.count(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, found = regex.compile(PRE_TOKENS).findall, Counter()
+        split, found = re.compile(WORDS).findall, Counter()
         for batch in bytetext.released(batches):
             for value in batch.column(0).to_pylist():
                 found.update(w for w in split(value or "")
@@ -129,8 +156,8 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
     total: Counter = Counter()
     for row in chosen.mapInArrow(count, "word string, n long").toLocalIterator():
         total[row.word] += row.n
-    encode, _ = _plain_counter(path)
-    table = [(w, encode(w)) for w, n in total.most_common(size) if n > 1]
+    lengths = TextCounter(path).lengths
+    table = [(w, lengths[w]) for w, n in total.most_common(size) if n > 1]
     table = [(w, n) for w, n in table if n < 256]
     return "\0".join(w for w, _ in table), bytes(n for _, n in table)
 
@@ -150,11 +177,12 @@ def with_token_counts(docs: DataFrame, path: str, *, text: str = "text", out: st
                       table_size: int = TABLE_SIZE, table_rows: int = TABLE_ROWS) -> DataFrame:
     """`docs` plus the number of tokens of each text, without begin, end or added special tokens.
 
-    For byte-level vocabularies, texts are split into pre-tokens in place, without a shuffle. Lengths
-    come from a broadcast table of at most `table_size` frequent pre-tokens, and for the rest from a
-    cache in each worker that encodes what it has not met and starts anew at its bound. Pre-tokens of
-    any length are encoded whole. Special strings inside a text count as the library's default has
-    them. Other vocabularies (.json, .model) are counted text by text by their library.
+    For byte-level vocabularies, texts are split into words in place, without a shuffle. Lengths
+    come from a broadcast table of at most `table_size` frequent words. Other words are split into their
+    pre-tokens, whose lengths come from a cache in each worker; it has the vocabulary's model encode
+    what it has not met, and starts anew at its bound. Pre-tokens of any length are encoded whole. Special
+    strings inside a text count as the library's default has them. Other vocabularies (.json, .model) are
+    counted text by text by their library.
 
     A null or empty text has 0 tokens; a column named `out` is replaced; nothing is truncated.
     """

@@ -67,3 +67,19 @@ def test_counter_goes_with_its_table(spark):
     del counter, table
     gc.collect()
     assert gone() is None
+
+
+def test_known_words_need_no_pattern(monkeypatch):
+    asked = []
+    monkeypatch.setattr(token_counts, "_PARTS", lambda word: asked.append(word) or [word])
+    count = token_counts.TextCounter(PATH, {" 7x": 2})
+    text = "Word word, word 7x naïve; 日本. word!\nword"
+    assert count(text) == lengths([text])[0]
+    assert asked == ["\n"]
+
+
+def test_words_of_every_blank_and_mark():
+    rng, count = random.Random(8), token_counts.TextCounter(PATH)
+    marks = [chr(c) for c in range(128)] + list("\x85\xa0   　​½²Ⅷ٣ǅſé日🙂́") + ["'s", "'ll", "<|endoftext|>"]
+    texts = ["".join(rng.choices(marks + [" "] * 40 + ["ab"] * 40, k=rng.randrange(14))) for _ in range(20000)]
+    assert [count(t) for t in texts] == lengths(texts)
