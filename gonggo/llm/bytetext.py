@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+# For steps whose arrays are many times their text, so that they take a few MB.
+FINE_BYTES = 1 << 17
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -88,9 +90,9 @@ BLANK_WORDS = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 LETTER_WORDS = byte_table(b"", b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64."""
+    """P**i and P**-i modulo 2**64; 4 MB of them for fine slices."""
     p = 0xD6E8FEB86659FD93
     up, down = np.full(size, p, np.uint64), np.full(size, pow(p, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
@@ -131,7 +133,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray,
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's mapped bytes."""
-    size = 1 << max(int(len(data)).bit_length(), 20)
+    size = 1 << (18 if len(data) < 1 << 18 else max(int(len(data)).bit_length(), 20))
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[table[data]] * up[:len(data)], out=total[1:])

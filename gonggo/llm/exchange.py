@@ -1,7 +1,7 @@
 """Which 64-bit keys occur more than once, found by trading packed blocks of keys.
 
 Single keys would cost a row each in a shuffle. Here the keys of one block (rows that are looked at
-together) and one bucket (a range of keys) travel as one array; the answer travels back by block.
+together) and one bucket (keys by a hash) travel as one array; the answer travels back by block.
 """
 
 from __future__ import annotations
@@ -55,7 +55,10 @@ class Sender:
         yield from self._pass(keys[twice], blocks[twice])
         blocks[twice] = -1
         keys, blocks = keys[~again], blocks[~again]
-        buckets = ((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+        # Callers send the least of many hashes: as ranges of the keys themselves, the first bucket would hold most of them.
+        buckets = ((bytetext.mix(keys) >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(buckets, kind="stable")
+        keys, blocks, buckets = keys[order], blocks[order], buckets[order]
         begin = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
         yield self._rows(buckets[begin], np.split(keys, begin[1:]), np.split(blocks, begin[1:]))
 

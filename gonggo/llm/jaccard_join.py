@@ -80,7 +80,7 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(0))
-            for low, high in bytetext.slices(offsets):
+            for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
                 hashes, _ = shingles(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
                 met, times = np.unique(hashes >> _SLOT_SHIFT, return_counts=True)
                 total[met.astype(np.int64)] += times
@@ -142,7 +142,7 @@ def set_hash(text: Column, n: int) -> Column:
     def read(column: pa.Array) -> pa.Array:
         data, offsets = bytetext.text_bytes(column)
         out = [pa.array([], pa.int64())]
-        for low, high in bytetext.slices(offsets):
+        for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
             _, _, sizes, sid = _sorted_sets(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], n)
             out.append(pa.array(sid, mask=sizes == 0))
         return pa.concat_arrays(out)
@@ -155,7 +155,8 @@ def _match_lengths(classes: np.ndarray, hashes: np.ndarray, first: np.ndarray, s
 
     The candidates that share l n-grams are at most the postings over l; one costs as much as its set.
     """
-    about = np.where(classes == 0, 2.0, 8.0 * 2.0 ** classes)[(hashes >> _SLOT_SHIFT).astype(np.int64)]
+    of = classes[(hashes >> _SLOT_SHIFT).astype(np.int64)]
+    about = np.where(of == 0, 2.0, 8.0 * 2.0 ** of)
     total = np.concatenate([[0.0], np.cumsum(about)])
     least = rule.least_overlap(sizes)
     best, ell = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
@@ -188,7 +189,7 @@ def prefixes(docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "
         block, of = TaskContext.get().partitionId(), classes.value
         for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
-            for low, high in bytetext.slices(offsets):
+            for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
                 hashes, first, sizes, sid = _sorted_sets(
                     data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rule.n, of)
                 ell = _match_lengths(of, hashes, first, sizes, rule)
@@ -312,7 +313,7 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
-            for low, high in bytetext.slices(offsets):
+            for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
                 hashes, first, sizes, sid = _sorted_sets(
                     data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], rule.n)
                 where = (np.append(first, len(hashes)) * 8).astype(np.int32)

@@ -31,8 +31,8 @@ LENGTH, GRAM = 100, 32
 # Different surroundings that a task sorts as one suffix array; larger groups are split by where strings begin,
 # up to so many rows within a task (a few MB), beyond that in a shuffle.
 GROUP_ROWS, TASK_ROWS = 512, 8192
-# Texts or contexts that one Arrow batch holds.
-BATCH_ROWS = 1000
+# Texts or contexts that one Arrow batch holds, and places or contexts of one that goes back.
+BATCH_ROWS, OUT_ROWS = 1000, 10_000
 # Bytes of text that are looked at together in one task, and those that are hashed at a time.
 BLOCK_BYTES, PIECE_BYTES = 128 << 20, 1 << 22
 _PLACE_BITS = np.uint64(28)
@@ -168,6 +168,8 @@ _PLACES = T.StructType([T.StructField(n, t) for n, t in (
 _ARROW_PLACES = pa.schema([("gram", pa.int64()), ("hash", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()),
                            ("tie", pa.int64()), ("at", pa.int64()), ("back", pa.int32()), ("size", pa.int64())])
 _CONTEXTS = "gram long, at long, back int, context binary, doc long, tie long, k long"
+_ARROW_CONTEXTS = pa.schema([("gram", pa.int64()), ("at", pa.int64()), ("back", pa.int32()), ("context", pa.binary()),
+                             ("doc", pa.int64()), ("tie", pa.int64()), ("k", pa.int64())])
 _SPANS = "doc long, tie long, start long, end long"
 _ARROW_SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -189,16 +191,16 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64("doc", "tie"), F.lit(blocks)).cast("int")
 
 
-def _sorted_texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, text hashes, bytes, offsets, and which rows repeat the one before, in order of documents."""
-    rows = rows.select(["doc", "tie", "text"]).sort_by([("doc", "ascending"), ("tie", "ascending")])
-    column = rows["text"].combine_chunks()
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    data, offsets = bytetext.text_bytes(column)
+def _ranks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and text hashes in their order, each row's place in it, and which places repeat the one before."""
     docs, ties = rows["doc"].to_numpy(), rows["tie"].to_numpy()
+    order = np.lexsort((ties, docs))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    docs, ties = docs[order], ties[order]
     again = np.zeros(len(docs), bool)
     again[1:] = (docs[1:] == docs[:-1]) & (ties[1:] == ties[:-1])
-    return docs, ties, data, offsets, again
+    return docs, ties, rank, again
 
 
 def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
@@ -212,25 +214,37 @@ def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
         for batch in bytetext.released(batches):
             data, offsets = bytetext.text_bytes(batch.column(1))
             block = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, high in bytetext.slices(offsets):
+            for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
                 _, hashes, rows = anchors(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], length)
                 yield from sender.add(hashes, block[low + rows])
         yield from sender.flush()
 
     def surround(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys = exchange.known(answers)
-        docs, ties, data, offsets, again = _sorted_texts(rows)
+        docs, ties, rank, again = _ranks(rows)
         found: list[tuple[np.ndarray, ...]] = []
-        for low, high in bytetext.slices(offsets):
-            part, own = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
-            at, grams, of = anchors(part, own, length)
-            keep = exchange.is_known(grams, keys) & ~again[low + of]
-            at, grams, of = at[keep], grams[keep], of[keep]
-            begin, end = np.maximum(own[of], at - length + GRAM), np.minimum(own[of + 1], at + length)
-            found.append((grams, *surrounding_hashes(part, begin, at, end), low + of, at - own[of], at - begin, end - begin))
+        done = 0
+        # Texts are read as they came; only what is found is put in order.
+        for column in rows["text"].chunks:
+            data, offsets = bytetext.text_bytes(column)
+            for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
+                part, own = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+                at, grams, of = anchors(part, own, length)
+                place = rank[done + low + of]
+                keep = exchange.is_known(grams, keys) & ~again[place]
+                at, grams, of, place = at[keep], grams[keep], of[keep], place[keep]
+                begin, end = np.maximum(own[of], at - length + GRAM), np.minimum(own[of + 1], at + length)
+                found.append((grams, *surrounding_hashes(part, begin, at, end), place, at - own[of], at - begin, end - begin))
+            done += len(column)
         if not found:
             return _ARROW_PLACES.empty_table()
-        grams, hashes, checks, row, at, back, size = (np.concatenate(c) for c in zip(*found))
+        columns = [list(c) for c in zip(*found)]
+        found.clear()
+        order = np.argsort(np.concatenate(columns[3]), kind="stable")
+        for i, parts in enumerate(columns):
+            columns[i] = np.concatenate(parts)[order]
+            parts.clear()
+        grams, hashes, checks, row, at, back, size = columns
         order = np.lexsort((checks, hashes, grams))
         same = (grams[order[1:]] == grams[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
         later = np.zeros(len(order), bool)
@@ -248,11 +262,13 @@ def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
             return np.concatenate([one, other])
 
         zeros = np.zeros(runs, np.int64)
-        return pa.table([
+        out = pa.table([
             pa.array(both(grams[first].view(np.int64), zeros), mask=none), pa.array(both(hashes[first].view(np.int64), zeros), mask=none),
             pa.array(both(checks[first].view(np.int64), zeros), mask=none), pa.array(docs[both(row[first], row_s[begin])]),
             pa.array(ties[both(row[first], row_s[begin])]), pa.array(both(at[first], start[begin])),
             pa.array(both(back[first], zeros).astype(np.int32)), pa.array(both(size[first], end[close] - start[begin]))], schema=_ARROW_PLACES)
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out.to_batches(max_chunksize=OUT_ROWS), _ARROW_PLACES)
 
     answers = exchange.repeated(keyed.select("block", "text").mapInArrow(send, exchange.SENT))
     return written(keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(surround, _PLACES), "places")
@@ -261,15 +277,21 @@ def places(keyed: DataFrame, blocks: int, length: int = LENGTH) -> DataFrame:
 def contexts(asked: DataFrame, keyed: DataFrame, blocks: int) -> DataFrame:
     """A written stage of the bytes around the places in `asked` (gram, at, back, size, doc, tie, k)."""
     def fetch(wanted: pa.Table, rows: pa.Table) -> pa.Table:
-        docs, ties, data, offsets, again = _sorted_texts(rows)
-        row = {key: i for i, key in enumerate(zip(docs.tolist(), ties.tolist())) if not again[i]}
-        columns = {c: wanted[c].to_pylist() for c in ("doc", "tie", "at", "back", "size")}
-        pieces = []
-        for doc, tie, at, back, size in zip(*columns.values()):
-            start = int(offsets[row[doc, tie]]) + at - back
-            pieces.append(data[start:start + size].tobytes())
-        return wanted.select(["gram", "at", "back"]).append_column("context", pa.array(pieces, pa.binary())).append_column(
-            "doc", wanted["doc"]).append_column("tie", wanted["tie"]).append_column("k", wanted["k"])
+        texts = [bytetext.text_bytes(column) for column in rows["text"].chunks]
+        places = ((data, start) for data, offsets in texts for start in offsets[:-1].tolist())
+        row = dict(zip(zip(rows["doc"].to_pylist(), rows["tie"].to_pylist()), places))
+        out = []
+        for batch in wanted.to_batches(max_chunksize=OUT_ROWS):
+            pieces = []
+            for doc, tie, at, back, size in zip(*(batch[c].to_pylist() for c in ("doc", "tie", "at", "back", "size"))):
+                data, start = row[doc, tie]
+                start += at - back
+                pieces.append(data[start:start + size].tobytes())
+            out.append(pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in ("gram", "at", "back")), pa.array(pieces, pa.binary()), *(batch[c] for c in ("doc", "tie", "k"))],
+                schema=_ARROW_CONTEXTS))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out, _ARROW_CONTEXTS)
 
     asked = asked.withColumn("block", _block(blocks))
     return written(asked.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(fetch, _CONTEXTS), "contexts")

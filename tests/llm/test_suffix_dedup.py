@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gonggo.llm import suffix_dedup
+from gonggo.llm import bytetext, exchange, suffix_dedup
 from gonggo.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -197,3 +199,39 @@ def test_edges(spark):
     text = spark.createDataFrame([("aééb",)], "t string")
     half = F.expr("array(named_struct('start', 2L, 'end', 4L))")
     assert text.select(suffix_dedup.kept_text(F.col("t"), half)).first()[0] == "aééb"
+
+
+def test_texts_of_a_block_come_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "OUT_ROWS", 2)
+    rng = random.Random(12)
+    docs = [(i, t) for i, t in enumerate(texts(rng))]
+    rng.shuffle(docs)
+    check(spark, docs)
+
+
+def test_a_slice_takes_little_memory():
+    rng = np.random.default_rng(1)
+    column = pa.array(["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(1000)])
+    data, offsets = bytetext.text_bytes(column)
+    bytetext._powers.cache_clear()
+    tracemalloc.start()
+    for low, high in bytetext.slices(offsets, bytetext.FINE_BYTES):
+        part, own = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+        at, _, of = suffix_dedup.anchors(part, own)
+        suffix_dedup.surrounding_hashes(part, np.maximum(own[of], at - 68), at, np.minimum(own[of + 1], at + 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_anchors_fill_buckets_evenly():
+    data = np.random.default_rng(2).integers(97, 123, 200_000).astype(np.uint8)
+    _, keys, _ = suffix_dedup.anchors(data, np.array([0, len(data)]))
+    sender = exchange.Sender(32)
+    rows = [*sender.add(keys, np.zeros(len(keys), np.int32)), *sender.flush()]
+    held = {}
+    for batch in rows:
+        for bucket, packed in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist()):
+            held[bucket] = held.get(bucket, 0) + len(packed) // 8
+    assert len(keys) > 3000 and max(held.values()) < 2 * len(keys) / 32
