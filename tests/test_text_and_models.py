@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from gonggo.functions.ranks import hash_order, rank_in_group
 from gonggo.operators import features as V
@@ -133,3 +133,13 @@ def test_boosted_model(spark):
 def test_class_weights(spark):
     df = spark.createDataFrame([(1,)] * 6 + [(2,)] * 2, "y int")
     assert {r["y"]: r["weight"] for r in V.class_weights(df).collect()} == {1: 8 / 12, 2: 2.0}
+
+
+def test_svm_predicts_after_a_table_was_observed(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    tfidf, (tr, va) = M.vectors(texts(spark).where("row_id % 4 > 0"), [texts(spark).where("row_id % 4 = 0")],
+                                M.Recipe("full", max_features=30, min_df=2))
+    got = M.predict(M.fit_linear_svm(tr, max_iter=5), va, "argmax")
+    assert got.where("p IS NULL").count() == 0
