@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gonggo.llm import bytetext, exchange
 from gonggo.llm.components import components
@@ -25,6 +25,8 @@ from gonggo.session import arrow_rows, lookup, short_lived, written
 SLOTS, LONGEST_MATCH = 1 << 20, 8
 # 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
+# Open n-grams before its own that each row of the pair join knows.
+EARLIER = 4
 # Texts or sets that one Arrow batch holds.
 BATCH_ROWS = 1000
 _SLOT_SHIFT, _PART = np.uint64(44), 4096
@@ -275,9 +277,51 @@ def _first_match(rule: Rule) -> Column:
 
 
 def _may_be_near(rule: Rule) -> Column:
-    """Whether the sketches leave room for a link: they differ in no more bits than the sets may in n-grams."""
+    """Whether the sketches leave room for a link: they differ in no more bits than the sets may in n-grams.
+
+    A set without a sketch may be near any other.
+    """
     differ = sum((F.bit_count(F.col("odd_x")[i].bitwiseXOR(F.col("odd_y")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return differ <= F.col("n_x") + F.col("n_y") - 2 * rule.need(F.col("n_x"), F.col("n_y"))
+    return F.coalesce(differ <= F.col("n_x") + F.col("n_y") - 2 * rule.need(F.col("n_x"), F.col("n_y")), F.lit(True))
+
+
+def _useful_sketch(rule: Rule) -> Column:
+    """`odd`, or null for a set so large that a linked one may differ in more n-grams than sketches of unlike sets do in
+    bits: half of them, and three deviations."""
+    bits = 64 * SKETCH_WORDS
+    unlike = bits / 2 + 3 * (bits / 4) ** 0.5
+    return F.when((rule.den - rule.num) * F.col("n") < unlike * rule.den, F.col("odd")).alias("odd")
+
+
+def with_earlier(rows: DataFrame) -> DataFrame:
+    """`rows` (token, sid, pos, ...) with e1, e2, ...: the n-grams that come next before each one in its set's own rows."""
+    own = Window.partitionBy("sid").orderBy("pos")
+    return rows.select(*rows.columns, *[F.lag("token", i).over(own).alias(f"e{i}") for i in range(1, EARLIER + 1)])
+
+
+def _earlier_match() -> Column:
+    """Whether both sets are known to share an n-gram before this one."""
+    some = F.lit(False)
+    for i in range(1, EARLIER + 1):
+        for k in range(1, EARLIER + 1):
+            some = some | (F.col(f"e{i}_x") == F.col(f"e{k}_y"))
+    return F.coalesce(some, F.lit(False))
+
+
+def pairs_between(rows: DataFrame, rule: Rule) -> DataFrame:
+    """sid, n and ell of x and y, for pairs of different components that the n-grams of `rows` leave in question.
+
+    `rows` has all rows of each n-gram that several components have: token, sid, n, ell, pos, comp, major (the
+    component with most rows of the n-gram), odd and the n-grams before. The first n-gram that a pair shares makes the pair, and so
+    may a later one whose row shows no earlier shared one: sets that share a whole passage are few rows, not one for each of
+    its n-grams. An n-gram before that both have is in `rows` under both sets, and lies where the
+    later one does or before it, so none that is left out was the pair's only one.
+    """
+    minor = _side(rows.where("comp <> major"), "x").drop("major_x")
+    return minor.join(_side(rows, "y"), "token").where(
+        "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)").where(
+        _first_match(rule) & ~_earlier_match() & _may_be_near(rule)).select(
+        *[f"{c}_{side}" for side in "xy" for c in ("sid", "n", "ell")])
 
 
 def _shares_enough(rule: Rule) -> Column:
@@ -366,16 +410,12 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
             *rows.columns, F.coalesce("root", "sid").alias("comp")), "placed")
         sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
         several = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("k")).where("k > 1")
-        open_rows = kept(placed.join(several.select("token", "major"), "token"))
+        open_rows = kept(with_earlier(placed.join(several.select("token", "major"), "token")))
     asked = lookup(open_rows.select("sid").distinct())
-    own = stage.join(asked, "sid").select("sid", "tokens", "odd").dropDuplicates(["sid"])
+    own = stage.join(asked, "sid").select("sid", "n", "tokens", "odd").dropDuplicates(["sid"])
     prefix = lookup(own.select("sid", "tokens"))
-    open_rows = open_rows.join(lookup(own.select("sid", "odd")), "sid")
-    minor = _side(open_rows.where("comp <> major"), "x").drop("major_x")
-    met = minor.join(_side(open_rows, "y"), "token").where(
-        "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)").where(
-        _first_match(rule) & _may_be_near(rule)).select(
-        *[f"{c}_{side}" for side in "xy" for c in ("sid", "n", "ell")]).distinct()
+    open_rows = open_rows.join(lookup(own.select("sid", _useful_sketch(rule))), "sid")
+    met = pairs_between(open_rows, rule).distinct()
     with short_lived(docs.sparkSession) as kept:
         met = written(met, "met")
         rest = met.join(_renamed(prefix, "x"), "sid_x").join(_renamed(prefix, "y"), "sid_y").where(_shares_enough(rule)).select(

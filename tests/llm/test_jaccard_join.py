@@ -187,3 +187,52 @@ def test_postings_hold_one_step_of_shuffles(spark, monkeypatch):
     rows = jaccard_join.postings(stage).collect()
     assert len(rows) == len({(r.token, r.sid) for r in rows}) > 0
     assert [sum(step in plan for step in ("send(", "FlatMapCoGroups", "HashAggregate")) for plan in shuffles] == [1, 1, 1]
+
+
+def test_pairs_of_a_shared_passage_are_made_about_once(spark):
+    """Before, each n-gram of the passage made a row for each pair."""
+    rng, rule = random.Random(11), Rule(5, 80, 100)
+    shared = [1000 + i for i in range(30)]
+    sets, rows = {}, []
+    for sid in range(40):
+        # All of the passage, or most of it, among n-grams that no other set has; some sets are connected already.
+        own = [(-1) ** i * (10_000 * (sid + 1) + i) for i in range(20)]
+        sets[sid] = sorted(rng.sample(shared, rng.randrange(20, 31)) + own)
+        rows += [(token, sid, 200, 8, pos, sid // 2) for pos, token in enumerate(sets[sid])]
+    odd = [0] * jaccard_join.SKETCH_WORDS
+    holders = {}
+    for token, _, _, _, _, comp in rows:
+        holders.setdefault(token, []).append(comp)
+    rows = [(*r, max(sorted(set(holders[r[0]])), key=holders[r[0]].count), odd) for r in rows if len(set(holders[r[0]])) > 1]
+    table = spark.createDataFrame(rows, "token long, sid long, n long, ell int, pos int, comp long, major long, odd array<long>")
+    found = [tuple(sorted((r.sid_x, r.sid_y))) for r in jaccard_join.pairs_between(jaccard_join.with_earlier(table), rule).collect()]
+    last = 200 - rule.num * 400 // (rule.num + rule.den) - 1
+    expected = {(a, b) for b in sets for a in range(b) if a // 2 != b // 2
+                and any(sets[a].index(t) <= last and sets[b].index(t) <= last for t in set(sets[a]) & set(sets[b]))}
+    assert set(found) == expected and len(expected) > 500
+    assert len(found) < 2 * len(expected)
+
+
+def test_passages_of_unlike_texts_against_brute_force(spark):
+    """Texts that share rare passages link by what else they share, whatever components they begin in."""
+    rng, docs = random.Random(12), []
+    for group in range(6):
+        passage = [f"p{group}x{i}" for i in range(40)]
+        base = [f"b{group}x{i}" for i in range(160)]
+        for _ in range(20):
+            words = list(base)
+            for at in rng.sample(range(160), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])):
+                words[at] = f"w{rng.randrange(10**6)}"
+            at = rng.randrange(0, 160)
+            docs.append((len(docs), " ".join(words[:at] + passage + words[at:] if rng.random() < 0.7 else words)))
+    for rule in (Rule(5, 80, 100), Rule(3, 90, 100)):
+        expected = brute(docs, rule)
+        assert got(spark, docs, rule) == expected
+        assert 6 < len({c for _, c in expected.values()}) < len(docs)
+
+
+def test_sketches_stay_where_they_tell_sets_apart(spark):
+    table = spark.createDataFrame([(100, [1] * 8), (1449, [1] * 8), (3000, [1] * 8)], "n long, odd array<long>")
+    kept = [[r.odd is not None for r in table.select(jaccard_join._useful_sketch(rule)).collect()]
+            for rule in (Rule(5, 80, 100), Rule(3, 90, 100))]
+    assert kept == [[True, True, False], [True, True, False]]
