@@ -45,7 +45,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Repeated rows of one id and text are copies, too. Documents without words or without an id stay. Of an
     id that has several texts, only those go that are near copies of a document with a smaller id.
     """
-    found = jaccard_join.jaccard_components(docs, NEAR)
+    found = jaccard_join.jaccard_components(docs, NEAR, earlier=jaccard_join.EARLIER)
     later = lookup(found.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id", "sid").distinct())
     again = lookup(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = docs.join(later.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

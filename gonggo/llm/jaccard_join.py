@@ -25,7 +25,7 @@ from gonggo.session import arrow_rows, lookup, short_lived, written
 SLOTS, LONGEST_MATCH = 1 << 20, 8
 # 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
-# Open n-grams before its own that each row of the pair join knows.
+# Open n-grams before its own that each row of the pair join knows, where it is asked for.
 EARLIER = 4
 # Texts or sets that one Arrow batch holds.
 BATCH_ROWS = 1000
@@ -293,22 +293,22 @@ def _useful_sketch(rule: Rule) -> Column:
     return F.when((rule.den - rule.num) * F.col("n") < unlike * rule.den, F.col("odd")).alias("odd")
 
 
-def with_earlier(rows: DataFrame) -> DataFrame:
+def with_earlier(rows: DataFrame, earlier: int = EARLIER) -> DataFrame:
     """`rows` (token, sid, pos, ...) with e1, e2, ...: the n-grams that come next before each one in its set's own rows."""
     own = Window.partitionBy("sid").orderBy("pos")
-    return rows.select(*rows.columns, *[F.lag("token", i).over(own).alias(f"e{i}") for i in range(1, EARLIER + 1)])
+    return rows.select(*rows.columns, *[F.lag("token", i).over(own).alias(f"e{i}") for i in range(1, earlier + 1)])
 
 
-def _earlier_match() -> Column:
+def _earlier_match(earlier: int) -> Column:
     """Whether both sets are known to share an n-gram before this one."""
     some = F.lit(False)
-    for i in range(1, EARLIER + 1):
-        for k in range(1, EARLIER + 1):
+    for i in range(1, earlier + 1):
+        for k in range(1, earlier + 1):
             some = some | (F.col(f"e{i}_x") == F.col(f"e{k}_y"))
     return F.coalesce(some, F.lit(False))
 
 
-def pairs_between(rows: DataFrame, rule: Rule) -> DataFrame:
+def pairs_between(rows: DataFrame, rule: Rule, earlier: int = EARLIER) -> DataFrame:
     """sid, n and ell of x and y, for pairs of different components that the n-grams of `rows` leave in question.
 
     `rows` has all rows of each n-gram that several components have: token, sid, n, ell, pos, comp, major (the
@@ -320,7 +320,7 @@ def pairs_between(rows: DataFrame, rule: Rule) -> DataFrame:
     minor = _side(rows.where("comp <> major"), "x").drop("major_x")
     return minor.join(_side(rows, "y"), "token").where(
         "comp_x <> comp_y AND (comp_y = major_y OR sid_x < sid_y)").where(
-        _first_match(rule) & ~_earlier_match() & _may_be_near(rule)).select(
+        _first_match(rule) & ~_earlier_match(earlier) & _may_be_near(rule)).select(
         *[f"{c}_{side}" for side in "xy" for c in ("sid", "n", "ell")])
 
 
@@ -386,7 +386,8 @@ def verified(pairs: DataFrame, stage: DataFrame, docs: DataFrame, rule: Rule, *,
     return both.where(linked("left", "right")).select("a", "b").distinct()
 
 
-def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str = "text", doc_id: str = "doc_id",
+                   earlier: int = 0) -> DataFrame:
     """node, root (set hashes): the components of all links between different sets.
 
     First, each set is compared with one other: of those that come first in the lists of its n-grams
@@ -410,12 +411,12 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
             *rows.columns, F.coalesce("root", "sid").alias("comp")), "placed")
         sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
         several = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("k")).where("k > 1")
-        open_rows = kept(with_earlier(placed.join(several.select("token", "major"), "token")))
+        open_rows = kept(with_earlier(placed.join(several.select("token", "major"), "token"), earlier))
     asked = lookup(open_rows.select("sid").distinct())
     own = stage.join(asked, "sid").select("sid", "n", "tokens", "odd").dropDuplicates(["sid"])
     prefix = lookup(own.select("sid", "tokens"))
-    open_rows = open_rows.join(lookup(own.select("sid", _useful_sketch(rule))), "sid")
-    met = pairs_between(open_rows, rule).distinct()
+    open_rows = open_rows.join(lookup(own.select("sid", _useful_sketch(rule) if earlier else "odd")), "sid")
+    met = pairs_between(open_rows, rule, earlier).distinct()
     with short_lived(docs.sparkSession) as kept:
         met = written(met, "met")
         rest = met.join(_renamed(prefix, "x"), "sid_x").join(_renamed(prefix, "y"), "sid_y").where(_shares_enough(rule)).select(
@@ -425,7 +426,8 @@ def set_components(stage: DataFrame, docs: DataFrame, rule: Rule, *, text: str =
     return components(first.unionByName(second))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, text: str = "text", doc_id: str = "doc_id",
+                       earlier: int = 0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, sid.
 
     A-Z are lower-cased, words are what lies between blanks and the controls 9 to 13, and a text of fewer
@@ -436,12 +438,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, text: str = "tex
     Other columns are left out.
 
     Sets are compared by 64-bit hashes of their n-grams; equal hashes of different n-grams are not
-    expected below some 10**9 in one pair.
+    expected below some 10**9 in one pair. With `earlier` n-grams a row (EARLIER, say), sets that share long
+    passages make fewer rows, for more bytes a row; the result is the same.
     """
     spark = docs.sparkSession
     with short_lived(spark) as kept, arrow_rows(spark, BATCH_ROWS):
         stage = prefixes(docs, rule, text=text, doc_id=doc_id)
-        roots = set_components(stage, docs, rule, text=text, doc_id=doc_id)
+        roots = set_components(stage, docs, rule, text=text, doc_id=doc_id, earlier=earlier)
         ids = stage.select("doc_id", "n", "sid")
         rooted = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(
             roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
