@@ -22,14 +22,17 @@ from gonggo.session import cut_lineage, ensure_checkpoint_dir
 RECIPE = M.Recipe()
 
 
-def labelled(spark, sf_dir) -> DataFrame:
-    """row_id, source, raw_text, y (rule v5), y_old (rule v2), measurable, add."""
-    new = U.score_postings(postings(spark, sf_dir).select("row_id", "source", "raw_text", "final_techs",
-                                                          "hard_skills"), keep_inner=True)
-    new = new.select("row_id", "source", "raw_text", "final_techs", "hard_skills", "measurable",
+def labelled(spark, sf_dir, measurable: bool | None = None) -> DataFrame:
+    """row_id, source, raw_text, y (rule v5), y_old (rule v2), measurable, add; with `measurable`, only the
+    postings that are so, or are not: told by the text alone, so the others are left out before they are scored."""
+    rows = postings(spark, sf_dir).select("row_id", "source", "raw_text", "final_techs", "hard_skills")
+    if measurable is not None:
+        rows = rows.where(U.is_measurable(F.col("raw_text")) == measurable)
+    new = U.score_postings(rows, keep_inner=True)
+    new = new.select("row_id", "source", "raw_text", "final_techs", "hard_skills", "measurable", "vocabulary",
                      F.col("urgency_score").alias("y"),
                      U.vocabulary_points(F.col("vocabulary")).alias("add"))
-    old = U.score_postings(new.drop("measurable"), pack=U.V2)
+    old = U.score_postings(new, pack=U.V2, known=True)
     return old.select("row_id", "source", "raw_text", "final_techs", "hard_skills", "measurable", "y",
                       F.col("urgency_score").alias("y_old"), "add")
 
@@ -248,7 +251,7 @@ def fallback_choice(spark, sf_dir):
       WHERE NOT measurable) GROUP BY base, scale""", LABELLED_SQL),
        BIGINT=("zero_evidence", *(f"level_{c}" for c in E.CLASSES)))
 def unmeasurable_shift(spark, sf_dir):
-    return E.unmeasurable_shift(labelled(spark, sf_dir).where("not measurable"),
+    return E.unmeasurable_shift(labelled(spark, sf_dir, measurable=False),
                                 [(3, 1.0), (2, 0.25), (1, 0.5)])
 
 
@@ -311,7 +314,7 @@ def label_history(spark, sf_dir):
 
 def parts(spark, sf_dir):
     """(train, validation, test) of the measurable postings, copies kept together."""
-    rows = labelled(spark, sf_dir).where("measurable").select(
+    rows = labelled(spark, sf_dir, measurable=True).select(
         "row_id", "source", "raw_text", "final_techs", "hard_skills", "y", "y_old", "add")
     kept = X.absorb_rare(X.drop_exact_copies(cut_lineage(rows)), "y")
     split = cut_lineage(X.group_split(kept))
@@ -395,7 +398,7 @@ def _checked(figures: DataFrame, *keys: str) -> DataFrame:
     _held_out_sql(tag, y, ("balanced", "plain")) for tag, y in (("v2", "y_old"), ("v5", "y"))), LABELLED_SQL, _MEASURED))
 def transfer_study(spark, sf_dir):
     """Leave one source out, under old and new labels, with and without class weights."""
-    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    rows = cut_lineage(labelled(spark, sf_dir, measurable=True))
     return _checked(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)))
 
 
@@ -404,21 +407,21 @@ def transfer_study(spark, sf_dir):
     LABELLED_SQL, _MEASURED))
 def struct_ablation(spark, sf_dir):
     """The same on text, text and structured features, and structured features only."""
-    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    rows = cut_lineage(labelled(spark, sf_dir, measurable=True))
     return _checked(M.struct_ablation(rows, "y", RECIPE, 50), "feature_set")
 
 
 @query("transfer_figures")
 def transfer_figures(spark, sf_dir):
     """The transfer study's own figures: kappa, error and gain of the model in each held-out source."""
-    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    rows = cut_lineage(labelled(spark, sf_dir, measurable=True))
     return E.rounded(M.transfer(rows, {"v2": "y_old", "v5": "y"}, RECIPE, 50, (True, False)), 4)
 
 
 @query("struct_figures")
 def struct_figures(spark, sf_dir):
     """The figures of the study on text and structured features."""
-    rows = cut_lineage(labelled(spark, sf_dir).where("measurable"))
+    rows = cut_lineage(labelled(spark, sf_dir, measurable=True))
     return E.rounded(M.struct_ablation(rows, "y", RECIPE, 50), 4)
 
 
