@@ -301,7 +301,7 @@ def label_gain(spark, sf_dir):
     UNION ALL SELECT 'v5', source, count(*), round(avg(y), 6) FROM labelled GROUP BY source""", LABELLED_SQL))
 def label_history(spark, sf_dir):
     """Results measured again replace the kept rows of the same label."""
-    rows = labelled(spark, sf_dir)
+    rows = cut_lineage(labelled(spark, sf_dir).select("source", "y", "y_old"))
 
     def measured(tag, label):
         return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(label), 6)
