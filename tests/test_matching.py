@@ -211,3 +211,21 @@ def test_proxy_finds_the_postings_queries_were_cut_from(spark):
     expected = X.random_expected(own, 10).first()
     assert abs(expected["recall"] - 10 / 240) < 1e-12
     assert X.random_baseline(own, queries, 240).agg(F.min("recall")).first()[0] == 1.0
+
+
+def test_several_schemes_make_no_row_per_pair(spark, monkeypatch):
+    """Queries and profiles that all share a skill: products of matrices choose, and only chosen pairs become rows."""
+    chosen = []
+    monkeypatch.setattr(M, "_rejoined", lambda a, b, run=M._rejoined: chosen.append(a.count()) or run(a, b))
+    rows = [(i, f"j{i // 2}" if i < 40 else None if i == 40 else f"k{i}", ["A"] + [t for b, t in enumerate("BCDEFGH") if i >> b & 1], None) for i in range(128)]
+    pool = spark.createDataFrame(rows, "row_id long, job_id string, techs array<string>, location string")
+    asks = spark.createDataFrame([(q, ["A", "BCDEFGH"[q % 7], "unknown"]) for q in range(20)], "query_id long, techs array<string>")
+    w = spark.createDataFrame([(t, 0.5 + i) for i, t in enumerate("ABCDEFGH")], "tech string, idf double").withColumn("idf", F.col("idf").cast("decimal(18,12)"))
+
+    def run():
+        out = M.top_matches_by_scheme(asks, pool, w, 3, list(M.SCORERS))
+        return sorted(map(str, out.select("scheme", "query_id", "rank", "job_id", "score", "matched_techs").collect()))
+    got = run()
+    assert chosen and max(chosen) <= 3 * 20 * len(M.SCORERS) * 4
+    monkeypatch.setattr(M, "MOST_QUERIES", 0)
+    assert got == run()
